@@ -21,7 +21,7 @@ from earshot.constants import COMPARE_AT, FA_BUDGETS, THRESHOLDS
 from earshot.operators import events
 from earshot.session import broadcast_if_small, pin
 
-PROBES = 16
+PROBES = 32
 LADDER_STEPS = 40
 
 

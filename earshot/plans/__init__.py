@@ -6,7 +6,7 @@ import importlib
 
 from earshot.plans import registry
 
-_MODULES = ["evaluation"]
+_MODULES = ["evaluation", "curation"]
 
 
 def _load() -> None:

@@ -58,17 +58,23 @@ curve AS MATERIALIZED (
 
 
 def exact_sql(rounds: int = 18) -> str:
-    """Bisect the ranked thresholds of every set, candidate and budget."""
+    """Bisect the ranked thresholds of every set, candidate and budget.
+
+    The fold keeps count * 10^12 + first unblocked frame in one number.
+    """
     steps = []
     for r in range(1, rounds + 1):
         steps.append(f"""
 m{r} AS MATERIALIZED (SELECT *, (lo + hi) // 2 AS mid FROM b{r - 1}),
-h{r} AS MATERIALIZED (
-  SELECT set_name, candidate, budget, stream_id, frame_idx
-  FROM m{r} JOIN ranked t USING (set_name, candidate) JOIN fa USING (set_name, candidate)
-  WHERE t.idx = mid AND score > t.threshold AND hi - lo > 1),
-{events_cte(f"e{r}", f"h{r}", "set_name, candidate, budget, stream_id")},
-c{r} AS (SELECT set_name, candidate, budget, count(*) AS n FROM e{r} GROUP BY ALL),
+c{r} AS MATERIALIZED (
+  SELECT set_name, candidate, budget, sum(list_reduce(
+           [CAST(0 AS BIGINT)] || list_transform(
+             list_filter(marks, lambda m: m.score > t.threshold), lambda m: m.frame_idx),
+           lambda acc, f: CASE WHEN f >= acc % 1000000000000
+             THEN (acc // 1000000000000 + 1) * 1000000000000 + f + {fx.GROUPING + 1}
+             ELSE acc END) // 1000000000000) AS n
+  FROM m{r} JOIN ranked t USING (set_name, candidate) JOIN streams USING (set_name, candidate)
+  WHERE t.idx = mid AND hi - lo > 1 GROUP BY ALL),
 b{r} AS MATERIALIZED (
   SELECT set_name, candidate, budget, allowed,
          CASE WHEN hi - lo <= 1 OR coalesce(n, 0) <= allowed THEN lo ELSE mid END AS lo,
@@ -76,6 +82,10 @@ b{r} AS MATERIALIZED (
   FROM m{r} LEFT JOIN c{r} USING (set_name, candidate, budget))""")
     return (
         "WITH RECURSIVE" + fx.CANDIDATES_SQL + f""",
+streams AS MATERIALIZED (
+  SELECT set_name, candidate, stream_id,
+         list({{'frame_idx': frame_idx, 'score': score}} ORDER BY frame_idx) AS marks
+  FROM fa GROUP BY ALL),
 ranked AS MATERIALIZED (
   SELECT set_name, candidate, threshold,
          row_number() OVER (PARTITION BY set_name, candidate ORDER BY threshold) - 1 AS idx
