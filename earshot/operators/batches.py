@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.constants import (
-    AUGMENT_BATCH, AUGMENT_PROBABILITY, BACKGROUND_SNR_DB, CONDITIONS, SECONDS_PER_FRAME,
+    AUGMENT_BATCH, AUGMENT_PROBABILITY, BACKGROUND_SNR_DB, BATCH_ROWS, CONDITIONS,
+    SECONDS_PER_FRAME,
 )
 from earshot.functions import scalars
 from earshot.session import broadcast_if_small

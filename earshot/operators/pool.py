@@ -182,3 +182,18 @@ def babble(members: DataFrame, speech: DataFrame, segment: int) -> DataFrame:
     return parts.select(
         "babble", F.size("parts").alias("talkers"), mix.alias("pcm")
     ).withColumn("pcm", scalars.level_normalise("pcm"))
+
+
+def reserve_audio(held: DataFrame, content: str, text: bool = False) -> DataFrame:
+    """Rows (role, parts, n_samples, content): a role's reserve as one piece.
+
+    The reserve is ``STRESS_RESERVE`` segments per role, which bounds the piece.
+    """
+    parts = F.transform(
+        F.array_sort(F.collect_list(F.struct("seg", content))), lambda p: p[content]
+    )
+    joined = F.array_join(parts, "") if text else F.flatten(parts)
+    return held.groupBy("role").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n_samples").alias("n_samples"),
+        joined.alias(content),
+    )

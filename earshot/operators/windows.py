@@ -85,8 +85,7 @@ def frame_starts(length: Column, hop: int = FRAME_SAMPLES, drop_exact_last: bool
     ``drop_exact_last`` stops earlier, losing a final frame that ends the clip.
     """
     count = F.floor((length - 1) / hop) if drop_exact_last else F.floor(length / hop)
-    last = F.when(drop_exact_last and (length <= hop), 0).otherwise(count) if drop_exact_last else count
     none = F.filter(F.array(F.lit(0).cast("long")), lambda _: F.lit(False))
     return F.when(
-        last > 0, F.transform(F.sequence(F.lit(0).cast("long"), last - 1), lambda i: i * hop)
+        count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: i * hop)
     ).otherwise(none)

@@ -6,7 +6,7 @@ import importlib
 
 from earshot.plans import registry
 
-_MODULES = ["evaluation", "curation"]
+_MODULES = ["evaluation", "curation", "arrays"]
 
 
 def _load() -> None:
