@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,10 +147,20 @@ def indexed_name(index: str | Column, width: int = 5) -> Column:
 
 
 def fixed_point(value: str | Column, digits: int = 3) -> Column:
-    """Fixed-point text with ``-`` for a missing value."""
-    return F.coalesce(F.format_string(f"%.{builtins.int(digits)}f", _col(value)), F.lit("-"))
+    """Fixed-point text, exact ties to even, with ``-`` for a missing value."""
+    pattern = F.lit("0." + "0" * digits)
+    return F.coalesce(F.call_function("format_number", _col(value), pattern), F.lit("-"))
+
+
+# --- time ------------------------------------------------------------------------------
+
+
+def iso_utc(moment: str | Column) -> Column:
+    """ISO text of a timestamp; the session time zone must be UTC."""
+    return F.date_format(_col(moment), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def shown(value: str | Column, digits: int = 3) -> Column:
-    value = _col(value)
-    return F.when(value.isNull(), F.lit("-")).otherwise(F.format_string(f"%.{digits}f", value))
+def elapsed_seconds(start: str | Column, stop: str | Column, digits: int = 1) -> Column:
+    at = lambda moment: F.unix_micros(_col(moment).cast("timestamp"))
+    micros = at(stop) - at(start)
+    return F.round(micros / 1_000_000, digits)

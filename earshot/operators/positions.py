@@ -90,7 +90,11 @@ def _split_hot_groups(
     keep_one_in = max(1, rows // (splits * OVERSAMPLE))
     types = dict(df.dtypes)
     key = F.struct(
-        *[(F.unix_micros(c) if types[c] == "timestamp" else F.col(c)).alias(c) for c in order]
+        *[
+            (F.unix_micros(F.col(c).cast("timestamp")) if types[c].startswith("timestamp")
+             else F.col(c)).alias(c)
+            for c in order
+        ]
     )
     sample = df.where(F.pmod(F.xxhash64(*order), F.lit(keep_one_in)) == 0).agg(
         F.array_sort(F.collect_list(key)).alias("keys")

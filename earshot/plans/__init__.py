@@ -6,7 +6,7 @@ import importlib
 
 from earshot.plans import registry
 
-_MODULES = ["evaluation", "curation", "arrays"]
+_MODULES = ["evaluation", "curation", "arrays", "reports"]
 
 
 def _load() -> None:

@@ -16,6 +16,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(folder: str) -> str:
+    """The path under which tasks open files of a shared folder themselves."""
+    scheme, rest = folder.split(":", 1) if ":" in folder else ("file", folder)
+    if scheme != "file":
+        raise ValueError(f"{folder} is not a mounted folder")
+    return "/" + rest.lstrip("/")
+
+
 def checksums(artifacts: DataFrame) -> DataFrame:
     """(name, length, sha256) from (name, content)."""
     return artifacts.select(
