@@ -12,12 +12,11 @@ everything that uses its thresholds reads ``score > threshold``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.constants import COMPARE_AT, FA_BUDGETS, THRESHOLDS
+from earshot.functions import scalars
 from earshot.operators import events
 from earshot.session import broadcast_if_small, pin
 
@@ -326,3 +325,59 @@ def against_baseline(rows: DataFrame, baseline: str) -> DataFrame:
     return rows.where(F.col("candidate") != baseline).join(reference, keys).withColumn(
         "delta", F.round(F.col("recall") - F.col("baseline_recall"), 6)
     )
+
+
+def split_half_transfer(
+    false_accepts: DataFrame, positives: DataFrame, sets: DataFrame, seeds: list[int],
+    budgets=FA_BUDGETS,
+) -> DataFrame:
+    """How a threshold chosen on one half of a set does on the other half.
+
+    Streams are dealt to halves by seed, so no event is cut in two. Rows (set_name
+    as set/seed, candidate, budget, threshold, recall, events, rate), the last two
+    measured on the half that was not used to choose.
+    """
+    drawn = F.array(*[
+        F.struct(F.lit(s).alias("seed"),
+                 F.pmod(scalars.seeded_bits(s, "stream_id"), F.lit(2)).alias("half"))
+        for s in seeds
+    ])
+    dealt = false_accepts.select("*", F.inline(drawn)).withColumn(
+        "set_name", F.concat_ws("/", "set_name", F.col("seed").cast("string"))
+    ).drop("seed")
+    sizes = dealt.groupBy("set_name", "candidate").agg(
+        F.count_if(F.col("half") == 0).alias("chosen"), F.count(F.lit(1)).alias("all")
+    ).groupBy("set_name").agg(F.max(F.col("chosen") / F.col("all")).alias("share"))
+    halves = pin(
+        sizes.withColumn("_set", F.substring_index("set_name", "/", 1))
+        .join(sets.withColumnRenamed("set_name", "_set"), "_set")
+        .select("set_name", "grouping", (F.col("hours") * F.col("share")).alias("hours"),
+                (F.col("hours") * (1 - F.col("share"))).alias("rest_hours"))
+    )
+    chosen = pin(exact_profile(
+        dealt.where("half = 0").drop("half"), positives,
+        halves.select("set_name", "hours", "grouping"), budgets,
+    ))
+    pair = ["set_name", "candidate"]
+    probes = chosen.groupBy(*pair).agg(
+        F.array_distinct(F.collect_list("threshold")).alias("probes"),
+        F.min("threshold").alias("floor"),
+    )
+    rest = (
+        dealt.where("half = 1").join(broadcast_if_small(probes), pair)
+        .where("score > floor")
+    )
+    chunks = events.chunk_hits(rest, [*pair, "stream_id"]).join(
+        broadcast_if_small(probes.select(*pair, "probes")), pair
+    ).join(broadcast_if_small(halves.select("set_name", "grouping")), "set_name")
+    measured = (
+        events.refractory_counts(
+            chunks, [*pair, "stream_id"], F.col("probes"), F.col("grouping"), strict=True)
+        .groupBy(*pair, "threshold").agg(F.sum("events").alias("events"))
+    )
+    return (
+        chosen.join(measured, [*pair, "threshold"], "left").na.fill(0, ["events"])
+        .join(broadcast_if_small(halves.select("set_name", "rest_hours")), "set_name")
+        .select(*pair, "budget", "threshold", "recall", "events",
+                F.round(F.col("events") / F.col("rest_hours"), 4).alias("rate"))
+    )

@@ -6,7 +6,7 @@ import importlib
 
 from earshot.plans import registry
 
-_MODULES = ["evaluation", "curation", "arrays", "reports"]
+_MODULES = ["evaluation", "curation", "arrays", "reports", "live", "sound"]
 
 
 def _load() -> None:

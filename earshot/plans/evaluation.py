@@ -57,7 +57,7 @@ curve AS MATERIALIZED (
 )
 
 
-def exact_sql(rounds: int = 18) -> str:
+def exact_sql(rounds: int = 18, inputs: str = fx.CANDIDATES_SQL) -> str:
     """Bisect the ranked thresholds of every set, candidate and budget.
 
     The fold keeps count * 10^12 + first unblocked frame in one number.
@@ -81,7 +81,7 @@ b{r} AS MATERIALIZED (
          CASE WHEN hi - lo > 1 AND coalesce(n, 0) <= allowed THEN mid ELSE hi END AS hi
   FROM m{r} LEFT JOIN c{r} USING (set_name, candidate, budget))""")
     return (
-        "WITH RECURSIVE" + fx.CANDIDATES_SQL + f""",
+        "WITH RECURSIVE" + inputs + f""",
 streams AS MATERIALIZED (
   SELECT set_name, candidate, stream_id,
          list({{'frame_idx': frame_idx, 'score': score}} ORDER BY frame_idx) AS marks
@@ -113,6 +113,36 @@ cond AS MATERIALIZED (
 
 
 EXACT_SQL = exact_sql()
+
+
+def transfer_sql(splits: int) -> str:
+    """Choose thresholds on half 0 of each split, count events on half 1."""
+    seeds = ", ".join(f"({i})" for i in range(splits))
+    half = "CAST('0x' || substr(sha256(seed || '|' || stream_id), 1, 12) AS BIGINT) % 2"
+    inputs = (
+        fx.CANDIDATES_SQL.replace("fa AS (", "whole AS (").replace(
+            "eval_sets AS (", "whole_sets AS (").replace("FROM fa WHERE", "FROM whole WHERE")
+        + f""",
+dealt AS MATERIALIZED (
+  SELECT set_name || '/' || seed AS set_name, set_name AS base, candidate, stream_id, frame_idx,
+         score, {half} AS half FROM whole CROSS JOIN (VALUES {seeds}) s(seed)),
+eval_sets AS MATERIALIZED (
+  SELECT d.set_name, hours * n AS hours, hours * (1 - n) AS rest_hours
+  FROM (SELECT set_name, base, count(*) FILTER (half = 0) / count(*) AS n FROM dealt
+        WHERE candidate = 'final' GROUP BY ALL) d JOIN whole_sets w ON w.set_name = d.base),
+fa AS MATERIALIZED (SELECT set_name, candidate, stream_id, frame_idx, score FROM dealt WHERE half = 0)"""
+    )
+    return exact_sql(18, inputs) + f""",
+rest AS MATERIALIZED (
+  SELECT set_name, candidate, budget, stream_id, frame_idx
+  FROM dealt JOIN thresholds USING (set_name, candidate) WHERE half = 1 AND score > threshold),
+{events_cte("rest_ev", "rest", "set_name, candidate, budget, stream_id")}
+SELECT set_name, candidate, budget, threshold, recall, coalesce(n, 0) AS events,
+       round(coalesce(n, 0) / rest_hours, 4) AS rate
+FROM exact LEFT JOIN (SELECT set_name, candidate, budget, count(*) AS n FROM rest_ev GROUP BY ALL)
+  USING (set_name, candidate, budget) JOIN eval_sets USING (set_name)"""
+
+
 PROFILE_SQL = CURVE_SQL + f""",
 profile AS (
   SELECT set_name, candidate, budget,

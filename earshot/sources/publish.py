@@ -75,3 +75,36 @@ def record_stage(stage: DataFrame, path: str) -> None:
 def config_hash(columns: list[str]) -> Column:
     """SHA-256 of compact JSON with sorted keys. Leave run labels out of ``columns``."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def write_archives(members: DataFrame, folder: str) -> None:
+    """Pack (path, content) rows into one zip archive per non-empty partition.
+
+    An archive has one name per partition and appears in one step, so a task that
+    runs again replaces its own output.
+    """
+
+    def pack(batches):
+        import os
+        import zipfile
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        task = TaskContext.get()
+        name = os.path.join(folder, f"{task.partitionId():06d}.zip")
+        part, rows = f"{name}.{task.taskAttemptId()}", 0
+        with zipfile.ZipFile(part, "w") as archive:
+            for batch in batches:
+                for path, content in zip(batch.column("path").to_pylist(),
+                                         batch.column("content").to_pylist()):
+                    archive.writestr(path, content)
+                    rows += 1
+        if rows:
+            os.replace(part, name)
+        else:
+            os.remove(part)
+        yield pa.RecordBatch.from_pydict({"n_rows": pa.array([rows], pa.int64())})
+
+    members.select("path", "content").mapInArrow(pack, "n_rows bigint").agg({"n_rows": "sum"}).collect()
