@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import LongType, StructField, StructType
 
 
-@udtf(returnType="frame_idx: bigint")
+@udtf(returnType=StructType([StructField("frame_idx", LongType())]))
 class RefractoryEvents:
     """``refractory_events(marks, grouping)``: the frames of one array that start events."""
 

@@ -10,26 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 from earshot.constants import SAMPLE_RATE, WINDOW_FRAMES
 from earshot.functions import dsp, scalars
 from earshot.session import broadcast_if_small
 
 
-@pandas_udf("array<float>")
+# Types are objects here: strings would need a session at import time.
+@pandas_udf(ArrayType(FloatType()))
 def decode(content: pd.Series) -> pd.Series:
     """Mono 16 kHz samples of a PCM WAV; NULL when it cannot be read."""
     return content.map(dsp.decode_wav)
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def encode(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([
         dsp.encode_wav(s, int(r), int(c)) for s, r, c in zip(samples, rate, channels)
     ])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def reverb(voice: pd.Series, response: pd.Series) -> pd.Series:
     return pd.Series([dsp.reverberate(v, r) for v, r in zip(voice, response)])
 

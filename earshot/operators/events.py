@@ -202,41 +202,55 @@ def peak_hold(scores: DataFrame, keys: list[str], chunk_frames: int = CHUNK_FRAM
 def _chunk_tables(chunks, keys, thresholds, grouping, strict, chunk_frames) -> DataFrame:
     """One row per (keys, chunk, threshold) with ``table``, ``start`` and ``frames``.
 
-    ``table`` has one entry when the first hit is past the frames that can be
-    blocked on entry; otherwise it has one for each number of blocked frames.
+    ``table`` has one entry when no hit is among the frames that can be blocked on
+    entry; otherwise it has one for each number of blocked frames. Each entry is
+    one pass over the hits.
     """
-    start = F.col("chunk") * chunk_frames
+    zero = F.lit(0).cast("long")
+
+    def passes(hit, threshold):
+        return hit["score"] > threshold if strict else hit["score"] >= threshold
+
+    def walk(threshold, blocked):
+        entered = F.struct(
+            zero.alias("n"), (F.col("start") + blocked).alias("until"), zero.alias("seen")
+        )
+
+        def take(state, hit):
+            fired = F.struct(
+                (state["n"] + 1).alias("n"), (hit["frame_idx"] + F.col("g") + 1).alias("until"),
+                (state["seen"] + 1).alias("seen"),
+            )
+            muted = F.struct(
+                state["n"].alias("n"), state["until"].alias("until"),
+                (state["seen"] + 1).alias("seen"),
+            )
+            return F.when(~passes(hit, threshold), state).when(
+                hit["frame_idx"] >= state["until"], fired).otherwise(muted)
+
+        return F.aggregate("hits", entered, take)
 
     def reduce_at(threshold):
-        passing = F.filter(
-            "hits", lambda h: h["score"] > threshold if strict else h["score"] >= threshold
+        feels_past = (F.col("chunk") > 0) & F.exists(
+            "hits",
+            lambda h: (h["frame_idx"] < F.col("start") + F.col("g")) & passes(h, threshold),
         )
+        entries = F.sequence(zero, F.when(feels_past, F.col("g")).otherwise(zero))
         return F.struct(
             threshold.alias("threshold"),
-            F.transform(passing, lambda h: h["frame_idx"]).alias("marks"),
+            F.transform(entries, lambda blocked: walk(threshold, blocked)).alias("table"),
         )
 
-    per_threshold = chunks.select(
-        *keys, "chunk", start.alias("start"), grouping.cast("long").alias("g"),
-        F.inline(F.transform(thresholds, reduce_at)),
-    ).where(F.size("marks") > 0)
-
-    def take(state, mark):
-        fired = F.struct((state["n"] + 1).alias("n"), (mark + F.col("g") + 1).alias("until"))
-        return F.when(mark >= state["until"], fired).otherwise(state)
-
-    def walk(blocked):
-        entered = F.struct(
-            F.lit(0).cast("long").alias("n"), (F.col("start") + blocked).alias("until")
+    sized = chunks.select(
+        *keys, "chunk", (F.col("chunk") * chunk_frames).alias("start"),
+        grouping.cast("long").alias("g"), "hits", thresholds.alias("_thresholds"),
+    )
+    return (
+        sized.select(
+            *keys, "chunk", "start", F.inline(F.transform("_thresholds", reduce_at))
         )
-        return F.aggregate("marks", entered, take)
-
-    feels_past = (F.col("chunk") > 0) & (F.col("marks")[0] < F.col("start") + F.col("g"))
-    entries = F.sequence(F.lit(0).cast("long"), F.when(feels_past, F.col("g")).otherwise(0))
-    return per_threshold.select(
-        *keys, "threshold", "chunk", "start",
-        F.size("marks").cast("long").alias("frames"),
-        F.transform(entries, walk).alias("table"),
+        .withColumn("frames", F.col("table")[0]["seen"])
+        .where("frames > 0")
     )
 
 
@@ -263,9 +277,10 @@ def _fold(children: Column, until: Column) -> Column:
 
 def _entries(children: Column, until: Column) -> Column:
     """Array of (id, until): the state in which each child is entered."""
-    nothing = F.array_remove(F.array(F.struct(
-        F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("until"))),
-        F.struct(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("until")))
+    zero = F.lit(0).cast("long")
+    nothing = F.filter(
+        F.array(F.struct(zero.alias("id"), zero.alias("until"))), lambda _: F.lit(False)
+    )
     start = F.struct(until.cast("long").alias("until"), nothing.alias("seen"))
 
     def step(state, child):

@@ -20,8 +20,8 @@ from earshot.functions import scalars
 from earshot.operators import events
 from earshot.session import broadcast_if_small, pin
 
-PROBES = 32
-LADDER_STEPS = 40
+PROBES = 8
+LADDER_STEPS = 16
 
 
 def grid(thresholds: list[float] = THRESHOLDS) -> Column:
@@ -184,9 +184,9 @@ def _first_bracket(false_accepts, limits, pair) -> DataFrame:
 
     ``lo`` is known not to fit (-2 when nothing is known) and ``hi`` to fit.
     """
-    shares = [1.0] + [1.0 - 2.0 ** -i for i in range(1, LADDER_STEPS + 1)]
+    shares = [1.0] + [1.0 - 4.0 ** -i for i in range(1, LADDER_STEPS + 1)]
     ladder = false_accepts.groupBy(*pair).agg(
-        F.percentile_approx("score", shares, 100_000).alias("rungs"),
+        F.percentile_approx("score", shares, 50_000).alias("rungs"),
         F.max("score").alias("top"),
     )
     ladder = ladder.withColumn("rungs", F.array_distinct("rungs"))

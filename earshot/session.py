@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "earshot", **conf: str) ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("EARSHOT_SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
