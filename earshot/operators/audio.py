@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 from earshot.constants import SAMPLE_RATE, WINDOW_FRAMES
 from earshot.functions import dsp, scalars
-from earshot.session import broadcast_if_small
+from earshot.session import broadcast_if_small, pin
 
 
 # Types are objects here: strings would need a session at import time.
@@ -68,7 +68,8 @@ def interference_slices(
     segments of ``segment`` samples numbered from 0; only the segments that a
     stretch touches are joined, so the pool is never copied whole.
     """
-    levels = pools.select("role", F.col("pcm")).transform(pool_levels)
+    levels = pin(pool_levels(pools))
+    pools = broadcast_if_small(pools)
     room = F.col("pool_len") - F.col("need")
     fits = F.assert_true(room > 0, F.lit("pool is shorter than a padded clip"))
     start = (
@@ -204,7 +205,8 @@ def apply_augmentation(planned: DataFrame, responses: DataFrame, seed: int) -> D
         (scalars.seeded_unit(seed, F.lit("noise_snr"), *key) * 27 + 3).alias("noise_snr"),
         scalars.seeded_bits(seed, F.lit("noise_key"), *key).alias("noise_key"),
     )
-    return planned.join(broadcast_if_small(responses, 10_000), "rir_no", "left").withColumn(
+    used = responses.select("rir_no", F.slice("response", 1, SAMPLE_RATE).alias("response"))
+    return planned.join(broadcast_if_small(used), "rir_no", "left").withColumn(
         "augmented", treat("pcm", "noise", "response", draws)
     )
 

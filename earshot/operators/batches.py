@@ -85,10 +85,8 @@ def draw_backgrounds(rows: DataFrame, pool: DataFrame, files: int, seed: int) ->
 def draw_shares(drawn: DataFrame) -> DataFrame:
     """A role's share of draws; it follows from its share of files, not of hours."""
     counts = drawn.groupBy("role").agg(F.count(F.lit(1)).alias("draws"))
-    total = counts.agg(F.sum("draws").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "role", "draws", F.round(F.col("draws") / F.col("total"), 6).alias("share")
-    )
+    total = counts.agg(F.sum("draws")).scalar()
+    return counts.select("role", "draws", F.round(F.col("draws") / total, 6).alias("share"))
 
 
 def augmentation_plan(

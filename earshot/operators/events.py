@@ -14,11 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from earshot.constants import METER_DECAY
+from earshot.functions import refractory
 
 CHUNK_FRAMES = 4096
 FANOUT = 4096
+HITS_PER_BLOCK = 2_000_000
 
 # Past this many frames METER_DECAY ** age times any score below 1e6 is exactly 0.
 METER_HALO = 2200
@@ -203,55 +206,71 @@ def _chunk_tables(chunks, keys, thresholds, grouping, strict, chunk_frames) -> D
     """One row per (keys, chunk, threshold) with ``table``, ``start`` and ``frames``.
 
     ``table`` has one entry when no hit is among the frames that can be blocked on
-    entry; otherwise it has one for each number of blocked frames. Each entry is
-    one pass over the hits.
+    entry; otherwise it has one for each number of blocked frames. Chunks come in
+    as Arrow batches, cut so that ``HITS_PER_BLOCK`` hits are worked on at a time.
     """
-    zero = F.lit(0).cast("long")
-
-    def passes(hit, threshold):
-        return hit["score"] > threshold if strict else hit["score"] >= threshold
-
-    def walk(threshold, blocked):
-        entered = F.struct(
-            zero.alias("n"), (F.col("start") + blocked).alias("until"), zero.alias("seen")
-        )
-
-        def take(state, hit):
-            fired = F.struct(
-                (state["n"] + 1).alias("n"), (hit["frame_idx"] + F.col("g") + 1).alias("until"),
-                (state["seen"] + 1).alias("seen"),
-            )
-            muted = F.struct(
-                state["n"].alias("n"), state["until"].alias("until"),
-                (state["seen"] + 1).alias("seen"),
-            )
-            return F.when(~passes(hit, threshold), state).when(
-                hit["frame_idx"] >= state["until"], fired).otherwise(muted)
-
-        return F.aggregate("hits", entered, take)
-
-    def reduce_at(threshold):
-        feels_past = (F.col("chunk") > 0) & F.exists(
-            "hits",
-            lambda h: (h["frame_idx"] < F.col("start") + F.col("g")) & passes(h, threshold),
-        )
-        entries = F.sequence(zero, F.when(feels_past, F.col("g")).otherwise(zero))
-        return F.struct(
-            threshold.alias("threshold"),
-            F.transform(entries, lambda blocked: walk(threshold, blocked)).alias("table"),
-        )
-
     sized = chunks.select(
-        *keys, "chunk", (F.col("chunk") * chunk_frames).alias("start"),
-        grouping.cast("long").alias("g"), "hits", thresholds.alias("_thresholds"),
+        *keys, "chunk", grouping.cast("long").alias("g"),
+        F.transform("hits", lambda h: h["frame_idx"] - F.col("chunk") * chunk_frames).alias("local"),
+        F.transform("hits", lambda h: h["score"].cast("double")).alias("score"),
+        thresholds.cast("array<double>").alias("_thresholds"),
     )
-    return (
-        sized.select(
-            *keys, "chunk", "start", F.inline(F.transform("_thresholds", reduce_at))
+    entry = StructType([StructField("n", LongType()), StructField("until", LongType())])
+    schema = StructType([
+        *[sized.schema[k] for k in keys], StructField("threshold", DoubleType()),
+        StructField("chunk", LongType()), StructField("start", LongType()),
+        StructField("frames", LongType()), StructField("table", ArrayType(entry)),
+    ])
+
+    def reduce(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lengths = np.diff(batch.column("local").offsets.to_numpy())
+            block = np.cumsum(lengths) // HITS_PER_BLOCK
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:]):
+                part = batch.slice(start, stop - start)
+                yield from _reduce_block(part, keys, strict, chunk_frames, np, pa)
+
+    return sized.mapInArrow(reduce, schema)
+
+
+def _reduce_block(batch, keys, strict, chunk_frames, np, pa):
+    """Result batches for one block of chunks, one per position in the threshold arrays."""
+    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    lengths = lambda name: np.diff(batch.column(name).offsets.to_numpy())
+    owner = np.repeat(np.arange(batch.num_rows), lengths("local"))
+    local, score = flat("local"), flat("score")
+    chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+    gap = batch.column("g").to_numpy(zero_copy_only=False)
+    limits, sizes = flat("_thresholds"), lengths("_thresholds")
+    first_limit = np.cumsum(sizes) - sizes
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        has = sizes > k
+        limit = np.full(batch.num_rows, np.inf)
+        limit[has] = limits[first_limit[has] + k]
+        passing = score > limit[owner] if strict else score >= limit[owner]
+        rows, seen, entries, events, until = refractory.entry_tables(
+            local, owner, passing, chunk, gap, chunk_frames
+        )
+        if not len(rows):
+            continue
+        begin = chunk[rows] * chunk_frames
+        table = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(entries)), pa.int32()),
+            pa.StructArray.from_arrays(
+                [pa.array(events, pa.int64()), pa.array(until + np.repeat(begin, entries), pa.int64())],
+                names=["n", "until"]),
+        )
+        picked = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(key).take(picked) for key in keys], pa.array(limit[rows]),
+             pa.array(chunk[rows], pa.int64()), pa.array(begin, pa.int64()),
+             pa.array(seen, pa.int64()), table],
+            names=[*keys, "threshold", "chunk", "start", "frames", "table"],
         )
-        .withColumn("frames", F.col("table")[0]["seen"])
-        .where("frames > 0")
-    )
 
 
 def _children(order: str = "super") -> Column:

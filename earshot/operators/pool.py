@@ -52,10 +52,12 @@ def recut(
     strings with ``text``. A segment is put together from its own pieces only.
     """
     length = F.length(content) if text else F.size(content)
-    sized = clips.withColumn("_len", length.cast("long"))
-    pieces = segment_overlaps(sized, order, "_len", segment, **scan)
+    # Offsets are worked out on lengths alone; the audio joins its own pieces after.
+    sizes = clips.select("role", *order, length.cast("long").alias("_len"))
+    pieces = segment_overlaps(sizes, order, "_len", segment, **scan)
     if cap is not None:
         pieces = pieces.where(F.col("seg") < cap)
+    pieces = pieces.join(clips, ["role", *order])
     first, take = (F.col("first") + 1).cast("int"), F.col("take").cast("int")
     part = (
         F.substring(F.col(content), first, take) if text else F.slice(content, first, take)
@@ -75,7 +77,8 @@ def hold_back_reserve(segments: DataFrame, reserve: int = STRESS_RESERVE) -> Dat
     """Add ``reserved``: the last ``reserve`` segments of each role leave the pool.
 
     Only (role, seg) is ranked, and a rank filter keeps ``reserve`` rows per role
-    in each task before anything is shuffled.
+    in each task before anything is shuffled. The broadcast has ``reserve`` rows
+    per role.
     """
     last = Window.partitionBy("role").orderBy(F.desc("seg"))
     held = (
@@ -93,8 +96,8 @@ def role_counts(segments: DataFrame, hours: float, reserve: int = STRESS_RESERVE
     counts = segments.groupBy("role").agg(
         F.count_if(~F.col("reserved")).alias("pool"), F.count(F.lit(1)).alias("total")
     )
-    least = counts.agg(F.min("pool").alias("balanced"))
-    return counts.crossJoin(F.broadcast(least)).withColumns({
+    least = counts.agg(F.min("pool")).scalar()
+    return counts.withColumn("balanced", least).withColumns({
         "has_reserve": F.col("total") > reserve, "above_floor": F.col("balanced") >= floor,
     })
 
@@ -102,13 +105,11 @@ def role_counts(segments: DataFrame, hours: float, reserve: int = STRESS_RESERVE
 def balance(segments: DataFrame, seed: int, **scan) -> DataFrame:
     """Cut every role's pool at random to the size of the smallest."""
     pool = segments.where(~F.col("reserved"))
-    least = pool.groupBy("role").count().agg(F.min("count").alias("_least"))
-    keyed = pool.withColumn("_key", scalars.seeded_key(seed, "role", "seg"))
+    least = pool.groupBy("role").count().agg(F.min("count")).scalar()
+    keyed = pool.select("role", "seg", scalars.seeded_key(seed, "role", "seg").alias("_key"))
     placed = row_positions(keyed, ["role"], ["_key", "seg"], "_place", **scan)
-    return (
-        placed.crossJoin(F.broadcast(least)).where(F.col("_place") < F.col("_least"))
-        .drop("_key", "_place", "_least")
-    )
+    chosen = placed.where(F.col("_place") < least).select("role", "seg")
+    return pool.join(chosen, ["role", "seg"], "left_semi")
 
 
 def pool_summary(pool: DataFrame, reserve: DataFrame) -> DataFrame:

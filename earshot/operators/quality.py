@@ -32,8 +32,8 @@ def shape_audit(arrays: DataFrame, keys: list[str], value: str, frames: int, wid
 
 def same_counts(counts: DataFrame, reference: str, key: str = "condition") -> DataFrame:
     """Rows whose count differs from the reference row's; conditions must be the same clips."""
-    want = counts.where(F.col(key) == reference).select(F.col("n_rows").alias("want"))
-    return counts.crossJoin(F.broadcast(want)).where(F.col("n_rows") != F.col("want"))
+    want = counts.where(F.col(key) == reference).select("n_rows").scalar()
+    return counts.withColumn("want", want).where(F.col("n_rows") != F.col("want"))
 
 
 def probe_checksum(frames: DataFrame, value: str, rows: int | None = None) -> DataFrame:

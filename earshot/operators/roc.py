@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from earshot.constants import COMPARE_AT, FA_BUDGETS, THRESHOLDS
 from earshot.functions import scalars
 from earshot.operators import events
-from earshot.session import broadcast_if_small, pin
+from earshot.session import broadcast_if_small, for_each, pin
 
-PROBES = 8
 LADDER_STEPS = 16
+LADDER_SAMPLE = 4_000_000
 
 
 def grid(thresholds: list[float] = THRESHOLDS) -> Column:
@@ -59,7 +59,7 @@ def curve(
     recalls = recall_at_thresholds(positives, ["candidate"], thresholds)
     rate = lambda n: F.round(F.col(n) / F.col("hours"), 4)
     return (
-        recalls.crossJoin(sets.select("set_name", "hours"))
+        for_each(recalls, sets.select("set_name", "hours"))
         .join(counts, ["set_name", "candidate", "threshold"], "left")
         .na.fill(0, ["events", "frames"])
         .select(
@@ -121,8 +121,8 @@ def exact_thresholds(
     The search is many-way and distributed. Two scans without a row shuffle
     bracket the answer: at most ``allowed`` frames always fit, more than
     ``allowed * (grouping + 1)`` frames never do. Only frames above the lower
-    bracket are shuffled, once, and each round narrows every bracket by
-    ``PROBES`` exact counts until nothing lies inside.
+    bracket are shuffled, once, and each round narrows every bracket by several
+    exact counts until nothing lies inside.
     """
     pair = ["set_name", "candidate"]
     sets = broadcast_if_small(sets)
@@ -141,14 +141,16 @@ def exact_thresholds(
             [*pair, "stream_id", "grouping"],
         )
     )
+    hits = chunks.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    # Brackets and probes keep one row per pair and budget, or fewer, all the way.
+    hint = F.broadcast if bracket.count() <= 100_000 else (lambda df: df)
     while True:
-        probes = pin(_probes(chunks, bracket, pair))
+        probes = pin(_probes(chunks, hint(bracket), bracket, pair, _probe_count(hits)))
         if probes.isEmpty():
             break
-        bracket = pin(_narrow(chunks, bracket, probes, pair))
+        bracket = pin(_narrow(chunks.join(hint(probes), pair), bracket, probes, pair))
     return (
-        candidates.select("candidate").distinct().crossJoin(sets.select("set_name"))
-        .crossJoin(limits.select("budget").distinct())
+        for_each(candidates.select("candidate").distinct(), limits.select("set_name", "budget"))
         .join(bracket.select(*pair, "budget", F.col("hi").alias("threshold")),
               [*pair, "budget"], "left")
         .select(*pair, "budget", "threshold")
@@ -185,11 +187,16 @@ def _first_bracket(false_accepts, limits, pair) -> DataFrame:
     ``lo`` is known not to fit (-2 when nothing is known) and ``hi`` to fit.
     """
     shares = [1.0] + [1.0 - 4.0 ** -i for i in range(1, LADDER_STEPS + 1)]
+    # Rungs only guide the search, so a hash sample will do: what is known about
+    # each rung is counted over all frames below.
+    one_in = max(1, false_accepts.count() // LADDER_SAMPLE)
+    sampled = F.pmod(F.xxhash64("stream_id", "frame_idx"), F.lit(one_in)) == 0
     ladder = false_accepts.groupBy(*pair).agg(
-        F.percentile_approx("score", shares, 50_000).alias("rungs"),
+        F.percentile_approx(F.when(sampled, F.col("score")), shares, 10_000).alias("rungs"),
         F.max("score").alias("top"),
     )
-    ladder = ladder.withColumn("rungs", F.array_distinct("rungs"))
+    ladder = ladder.withColumn("rungs", F.array_distinct(
+        F.coalesce("rungs", F.array("top"))))
     above = lambda rung: F.count_if(F.col("score") > F.get("rungs", F.lit(rung)))
     counted = (
         false_accepts.join(broadcast_if_small(pin(ladder)), pair)
@@ -210,16 +217,21 @@ def _first_bracket(false_accepts, limits, pair) -> DataFrame:
     )
 
 
-def _probes(chunks, bracket, pair) -> DataFrame:
+def _probe_count(hits: int) -> int:
+    """Probes per bracket and round: many cost passes over hits, few cost rounds."""
+    return 32 if hits <= 200_000 else 16 if hits <= 2_000_000 else 8
+
+
+def _probes(chunks, brackets, bracket, pair, count) -> DataFrame:
     """Rows (pair, probes): thresholds strictly inside the open brackets."""
     inside = (F.col("score") > F.col("lo")) & (F.col("score") < F.col("hi"))
-    picks = [i / (PROBES + 1) for i in range(1, PROBES + 1)]
+    picks = [i / (count + 1) for i in range(1, count + 1)]
     scores = (
         chunks.select(*pair, F.explode(F.array_distinct(F.transform("hits", lambda h: h["score"]))).alias("score"))
-        .join(broadcast_if_small(bracket), pair)
+        .join(brackets, pair)
         .where(inside)
         .groupBy(*pair, "budget")
-        .agg(F.percentile_approx("score", picks, 10_000).alias("probes"))
+        .agg(F.percentile_approx("score", picks, 1_000).alias("probes"))
         .select(*pair, F.explode("probes").alias("probe"))
     )
     lowest = bracket.where("lo < -1 and hi > -1").select(*pair, F.lit(-1.0).alias("probe"))
@@ -233,8 +245,7 @@ def _narrow(chunks, bracket, probes, pair) -> DataFrame:
     keys = [*pair, "stream_id"]
     counted = (
         events.refractory_counts(
-            chunks.join(broadcast_if_small(probes), pair), keys,
-            F.col("probes"), F.col("grouping"), strict=True,
+            chunks, keys, F.col("probes"), F.col("grouping"), strict=True,
         )
         .groupBy(*pair, "threshold").agg(F.sum("events").alias("events"))
     )
@@ -306,10 +317,9 @@ def candidate_matrix(false_accepts: DataFrame, conditions: DataFrame, sets: Data
     clips = conditions.groupBy("candidate", "condition").agg(
         F.count(F.lit(1)).alias("clips"), F.max("score").alias("clip_top")
     )
-    cells = (
-        clips.select("candidate").distinct()
-        .crossJoin(sets.select("set_name"))
-        .crossJoin(clips.select("condition").distinct())
+    cells = for_each(
+        for_each(clips.select("candidate").distinct(), sets.select("set_name")),
+        clips.select("condition").distinct(),
     )
     return cells.join(fa, ["set_name", "candidate"], "left").join(
         clips, ["candidate", "condition"], "left"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.positions import row_positions
@@ -15,33 +17,26 @@ def exact_percentile(df: DataFrame, column: str, unique: str, share: float, **sc
     """
     values = df.select(column, unique).where(F.col(column).isNotNull())
     ranked = row_positions(values, [], [column, unique], "_rank", **scan)
-    size = values.agg(F.count(F.lit(1)).alias("_n"))
-    at = F.lit(share) * (F.col("_n") - 1)
-    near = ranked.crossJoin(F.broadcast(size)).where(
-        (F.col("_rank") == F.floor(at)) | (F.col("_rank") == F.ceil(at))
-    )
+    at = share * (values.count() - 1)
+    near = ranked.where(F.col("_rank").isin(math.floor(at), math.ceil(at)))
     low, high = F.min(column), F.max(column)
-    part = F.first(at) - F.floor(F.first(at))
-    return near.agg((low + (high - low) * part).alias(column))
+    return near.agg((low + (high - low) * (at - math.floor(at))).alias(column))
 
 
-def percentile_gates(checkpoints: DataFrame, **scan) -> DataFrame:
-    """One row (accuracy, recall, fp_per_hr): the 90th, 90th and 10th percentiles."""
+def percentile_gates(checkpoints: DataFrame, **scan) -> dict[str, Column]:
+    """The 90th, 90th and 10th percentiles, by gate name, as scalar subqueries."""
     wanted = {"val_accuracy": 0.9, "val_recall": 0.9, "val_fp_per_hr": 0.1}
     filled = checkpoints.na.fill(0.0, ["val_fp_per_hr"])
-    gates = None
-    for column, share in wanted.items():
-        gate = exact_percentile(filled, column, "ckpt", share, **scan).withColumnRenamed(
-            column, column.replace("val_", "gate_")
-        )
-        gates = gate if gates is None else gates.crossJoin(F.broadcast(gate))
-    return gates
+    return {
+        column.replace("val_", "gate_"): exact_percentile(
+            filled, column, "ckpt", share, **scan).scalar()
+        for column, share in wanted.items()
+    }
 
 
 def pass_percentile_gates(checkpoints: DataFrame, **scan) -> DataFrame:
     """Checkpoints that clear all three percentile gates, with the gates."""
-    gates = percentile_gates(checkpoints, **scan)
-    return checkpoints.crossJoin(F.broadcast(gates)).where(
+    return checkpoints.withColumns(percentile_gates(checkpoints, **scan)).where(
         (F.col("val_accuracy") >= F.col("gate_accuracy"))
         & (F.col("val_recall") >= F.col("gate_recall"))
         & (F.coalesce("val_fp_per_hr", F.lit(0.0)) <= F.col("gate_fp_per_hr"))

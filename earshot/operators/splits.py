@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import scalars
@@ -62,43 +62,32 @@ def smallest_total(
     marked = speakers.join(
         held_out.select("speaker", F.lit(True).alias("_held")), "speaker", "left"
     ).select("speaker", F.coalesce("_held", F.lit(False)).alias("held"))
-    size = marked.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("held").alias("v")
+    n, v = marked.agg(F.count(F.lit(1)), F.count_if("held")).first()
+    kept = (n - v) * (n - v)
+    split = lambda name, quota, whole, mixed, period: F.struct(
+        F.lit(name).alias("split"), F.lit(quota).alias("quota"), F.lit(period).alias("period"),
+        F.when(F.col("held"), whole).otherwise(mixed).alias("got"),
     )
-    per_row = marked.crossJoin(F.broadcast(size)).select(
-        "speaker", "held", "n", "v",
-        F.explode(F.array(
-            F.struct(F.lit("train").alias("split"), F.lit(n_train).alias("quota"),
-                     F.when(F.col("held"), 0).otherwise(F.col("n") - F.col("v")).alias("got"),
-                     ((F.col("n") - F.col("v")) * (F.col("n") - F.col("v"))).alias("period")),
-            F.struct(F.lit("val").alias("split"), F.lit(n_val).alias("quota"),
-                     F.when(F.col("held"), F.col("n")).otherwise(F.col("v")).alias("got"),
-                     (F.col("n") * F.col("n")
-                      - (F.col("n") - F.col("v")) * (F.col("n") - F.col("v"))).alias("period")),
-        )).alias("s"),
-    ).select("speaker", "held", "n", "s.*").where("got > 0 and quota > 0")
+    per_row = marked.select("speaker", "held", F.inline(F.array(
+        split("train", n_train, 0, n - v, kept), split("val", n_val, n, v, n * n - kept),
+    ))).where("got > 0 and quota > 0")
     filled = prefix_sum(per_row, ["split"], ["speaker"], "got", "before")
     full = F.floor((F.col("quota") - 1) / F.col("period"))
     need = F.col("quota") - full * F.col("period") - F.col("before")
-    row = filled.withColumn("full", full).withColumn("need", need).where(
+    row = filled.withColumns({"full": full, "need": need}).where(
         (F.col("need") > 0) & (F.col("need") <= F.col("got"))
     )
-    # The need-th second speaker of that class, in a row that mixes both classes.
+    # A held-out first speaker fills a whole row of pairs; otherwise the second
+    # speaker is the need-th of the split's own class.
     inner = row_positions(marked, ["held"], ["speaker"], "rank").select(
-        F.col("speaker").alias("second"), F.col("held").alias("second_held"), "rank"
-    )
-    whole_row = F.col("held")
-    same_class = F.col("second_held") == (F.col("split") == "val")
-    hit = F.when(whole_row, F.col("second") == F.col("need") - 1).otherwise(
-        same_class & (F.col("rank") == F.col("need") - 1)
-    )
-    index = (
-        F.col("full") * F.col("n") * F.col("n") + F.col("speaker") * F.col("n") + F.col("second")
-    )
-    # ``row`` holds one row per split, so this pairs two rows with n, not n with n.
-    return F.broadcast(row).crossJoin(inner).where(hit).agg(
-        F.coalesce(F.max(index + 1), F.lit(0)).cast("long").alias("total")
+        F.col("speaker").alias("second"), F.col("held").alias("val"), "rank"
     )
+    found = row.withColumns({
+        "val": F.when(~F.col("held"), F.col("split") == "val"), "rank": F.col("need") - 1,
+    }).join(inner, ["val", "rank"], "left")
+    second = F.when(F.col("held"), F.col("need") - 1).otherwise(F.col("second"))
+    index = F.col("full") * n * n + F.col("speaker") * n + second
+    return found.agg(F.coalesce(F.max(index + 1), F.lit(0)).cast("long").alias("total"))
 
 
 def cap_to_quota(examples: DataFrame, quotas: dict[str, int], order: str = "idx") -> DataFrame:

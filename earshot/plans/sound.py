@@ -10,6 +10,7 @@ from earshot.operators import audio, batches, positions, roc, scoring, stress
 from earshot.plans import evaluation, live
 from earshot.plans import fixtures as fx
 from earshot.plans.registry import query, table
+from earshot.session import broadcast_if_small
 from earshot.sources import ingest, npy, publish
 
 SEED = 3
@@ -28,10 +29,10 @@ def pools(spark, sf_dir):
     """(role, seg, pcm): the vectors of a role laid end to end."""
     label = F.col("label")
     role = F.when(label < 5, "speech").when(label < 7, "music").otherwise("env")
-    rows = vectors(spark, sf_dir).where("label >= 2").select(
-        role.alias("role"), "vec_id", F.col("embedding").alias("pcm")
-    )
-    return positions.row_positions(rows, ["role"], ["vec_id"], "seg").drop("vec_id")
+    rows = vectors(spark, sf_dir).where("label >= 2").select(role.alias("role"), "vec_id")
+    placed = positions.row_positions(rows, ["role"], ["vec_id"], "seg")
+    audio_of = vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("pcm"))
+    return placed.join(audio_of, "vec_id").drop("vec_id")
 
 
 # --- levels -----------------------------------------------------------------------
@@ -219,7 +220,7 @@ def reverb(spark, sf_dir):
     label = F.col("label")
     role = F.when(label < 5, "speech").when(label < 7, "music").otherwise("env")
     rows = vectors(spark, sf_dir).select("vec_id", role.alias("role"), F.col("embedding").alias("voice"))
-    wet = rows.join(F.broadcast(rooms), "role").select(
+    wet = rows.join(broadcast_if_small(rooms), "role").select(
         "vec_id", audio.reverb("voice", "response").alias("wet")
     )
     return wet.select("vec_id", F.size("wet").alias("n_samples"), F.round(scalars.rms("wet"), 6).alias("rms"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 
 def local_session(cores: int | str = "*", app: str = "earshot", **conf: str) -> SparkSession:
@@ -53,11 +54,52 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else a shuffle join.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20
+) -> DataFrame:
+    """Broadcast ``df`` only when rows and bytes are counted and small; else a shuffle join.
 
     The count stops after ``max_rows`` + 1 rows, so it stays cheap on a large side.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows, size = (
+        df.limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    )
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        size = size + F.coalesce(_extra_bytes(F.col(f"`{field.name}`"), field.dataType), F.lit(0))
+    return size
+
+
+def _extra_bytes(column: Column, kind: DataType) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.octet_length(column).cast("long")
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (ArrayType, StringType, BinaryType)):
+        return F.aggregate(
+            column, F.lit(0).cast("long"),
+            lambda total, item: total + 16 + F.coalesce(_extra_bytes(item, kind.elementType), F.lit(0)),
+        )
+    if isinstance(kind, ArrayType):
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 1
+        return F.size(column).cast("long") * 16 * fields
+    if isinstance(kind, MapType):
+        return F.size(column).cast("long") * 64
+    return F.lit(0).cast("long")
+
+
+def for_each(df: DataFrame, choices: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Every row of ``df`` with every row of a small table of choices.
+
+    For tables such as sets, budgets and conditions, whose number is a matter of
+    configuration. The choices ride along as one array, read once; more than
+    ``max_rows`` of them is an error.
+    """
+    packed = choices.agg(F.collect_list(F.struct(*choices.columns)).alias("all"))
+    if choices.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} choices")
+    return df.withColumn("_choices", packed.scalar()).select(*df.columns, F.inline("_choices"))

@@ -67,41 +67,82 @@ def scan_audio_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, path, content) of the audio members of zip and tar files under ``root``."""
+    """(archive, path, content) of the audio members of zip and tar files under ``root``.
+
+    Members of zip and plain tar files are listed first and then read one by one
+    by many tasks, so one large archive is not one task. Compressed tar files can
+    only be read from the start and stay whole. ``root`` is on mounted storage.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .where(scalars.path_suffix("path").isin("zip", "tar", "gz", "tgz"))
-        .select("path", "content")
+        .select(F.regexp_replace("path", "^file:/*", "/").alias("archive"))
     )
-
-    def members(batches):
-        import io
-        import tarfile
-        import zipfile
-
-        import pandas as pd
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                stream = io.BytesIO(content)
-                if path.lower().endswith(".zip"):
-                    with zipfile.ZipFile(stream) as archive:
-                        for name in sorted(archive.namelist()):
-                            if name.lower().rsplit(".", 1)[-1] in AUDIO_SUFFIXES:
-                                yield pd.DataFrame(
-                                    {"archive": [path], "path": [name],
-                                     "content": [archive.read(name)]})
-                else:
-                    with tarfile.open(fileobj=stream) as archive:
-                        for member in archive:
-                            if member.isfile() and (
-                                member.name.lower().rsplit(".", 1)[-1] in AUDIO_SUFFIXES
-                            ):
-                                yield pd.DataFrame(
-                                    {"archive": [path], "path": [member.name],
-                                     "content": [archive.extractfile(member).read()]})
-
-    return files.mapInPandas(members, "archive string, path string, content binary")
+    suffix = scalars.path_suffix("archive")
+    listed = files.where(suffix.isin("zip", "tar")).mapInPandas(
+        _list_members, "archive string, path string, at bigint, size bigint"
+    )
+    out = "archive string, path string, content binary"
+    seekable = listed.repartition("archive", "path").mapInPandas(_read_members, out)
+    packed = files.where(suffix.isin("gz", "tgz")).mapInPandas(_unpack, out)
+    return seekable.unionByName(packed)
+
+
+def _is_audio(name: str) -> bool:
+    return "." in name and name.rsplit(".", 1)[-1].lower() in AUDIO_SUFFIXES
+
+
+def _list_members(batches):
+    import tarfile
+    import zipfile
+
+    import pandas as pd
+
+    for batch in batches:
+        for path in batch["archive"]:
+            if path.lower().endswith(".zip"):
+                with zipfile.ZipFile(path) as archive:
+                    found = [(i.filename, i.header_offset, i.file_size)
+                             for i in archive.infolist() if not i.is_dir()]
+            else:
+                with tarfile.open(path) as archive:
+                    found = [(m.name, m.offset_data, m.size) for m in archive if m.isfile()]
+            rows = [(path, *row) for row in found if _is_audio(row[0])]
+            yield pd.DataFrame(rows, columns=["archive", "path", "at", "size"])
+
+
+def _read_members(batches):
+    import zipfile
+
+    import pandas as pd
+
+    for batch in batches:
+        for archive, members in batch.groupby("archive"):
+            if archive.lower().endswith(".zip"):
+                with zipfile.ZipFile(archive) as opened:
+                    for name in members["path"]:
+                        yield pd.DataFrame(
+                            {"archive": [archive], "path": [name], "content": [opened.read(name)]})
+            else:
+                with open(archive, "rb") as opened:
+                    for name, at, size in zip(members["path"], members["at"], members["size"]):
+                        opened.seek(at)
+                        yield pd.DataFrame(
+                            {"archive": [archive], "path": [name], "content": [opened.read(size)]})
+
+
+def _unpack(batches):
+    import tarfile
+
+    import pandas as pd
+
+    for batch in batches:
+        for path in batch["archive"]:
+            with tarfile.open(path, mode="r|gz") as archive:
+                for member in archive:
+                    if member.isfile() and _is_audio(member.name):
+                        yield pd.DataFrame({
+                            "archive": [path], "path": [member.name],
+                            "content": [archive.extractfile(member).read()]})
 
 
 def budget_cap(hours: float, rate: int) -> int:

@@ -88,9 +88,15 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def read_frames(spark: SparkSession, folder: str, schema: str = FRAME_SCHEMA,
-                lateness: str = "10 minutes") -> DataFrame:
-    """A stream of frames from Parquet files as they land."""
-    return spark.readStream.schema(schema).parquet(folder).withWatermark("ts", lateness)
+                lateness: str = "10 minutes", max_files: int | None = None) -> DataFrame:
+    """A stream of frames from Parquet files as they land.
+
+    ``max_files`` bounds a trigger, and with it what one stream brings to a task.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder).withWatermark("ts", lateness)
 
 
 def activations(frames: DataFrame, threshold: float, grouping: int) -> DataFrame:

@@ -52,10 +52,14 @@ def test_file_and_archive_scans(spark, tmp_path):
         info = tarfile.TarInfo("f.ogg")
         info.size = len(wav)
         archive.addfile(info, io.BytesIO(wav))
+    with tarfile.open(tmp_path / "z.tar.gz", "w:gz") as archive:
+        info = tarfile.TarInfo("deep/g.MP3")
+        info.size = len(wav)
+        archive.addfile(info, io.BytesIO(wav))
     files = {os.path.basename(r.path) for r in ingest.scan_audio_files(spark, str(tmp_path)).collect()}
     assert files == {"a.wav", "b.FLAC"}
-    members = {r.path for r in ingest.scan_archives(spark, str(tmp_path)).collect()}
-    assert members == {"in/e.wav", "f.ogg"}
+    members = {r.path: r.content for r in ingest.scan_archives(spark, str(tmp_path)).collect()}
+    assert {k: bytes(v) for k, v in members.items()} == {"in/e.wav": wav, "f.ogg": wav, "deep/g.MP3": wav}
 
 
 def test_audio_rows_with_and_without_labels(spark, tmp_path):
