@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from earshot.constants import FRAME_SAMPLES, GROUPING_SECONDS, SAMPLE_RATE
 
@@ -147,9 +150,16 @@ def indexed_name(index: str | Column, width: int = 5) -> Column:
 
 
 def fixed_point(value: str | Column, digits: int = 3) -> Column:
-    """Fixed-point text, exact ties to even, with ``-`` for a missing value."""
-    pattern = F.lit("0." + "0" * digits)
-    return F.coalesce(F.call_function("format_number", _col(value), pattern), F.lit("-"))
+    """Fixed-point text of the exact binary value, with ``-`` for a missing one.
+
+    The JVM formatters round the shortest decimal form instead: 0.0005 and 0.0625
+    would come out differently. Reports are small, so a batched UDF will do.
+    """
+
+    def show(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: "-" if pd.isna(v) else f"{v:.{digits}f}")
+
+    return pandas_udf(show, StringType())(_col(value).cast("double"))
 
 
 # --- time ------------------------------------------------------------------------------

@@ -367,7 +367,28 @@ def condition_report(spark, sf_dir):
     return report.condition_report(runs(spark, sf_dir), BUDGET)
 
 
-@query("agg18_leaderboard")
+def board_cell(budget: float) -> str:
+    column = f"recall_at_{budget}".replace(".", "_")
+    return f"coalesce(max(printf('%.3f', recall)) FILTER (budget = {budget}), '-') AS {column}"
+
+
+@query("agg18_leaderboard", RUNS_SQL + f""", {EFFECTIVE_SQL},
+odd AS (
+  SELECT stream_id, count(*) AS n FROM effective e WHERE recall IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM curve c WHERE c.stream_id = e.stream_id AND c.recall = e.recall)
+  GROUP BY 1),
+half AS (
+  SELECT stream_id, printf('%.3f', recall) AS recall_at_half, printf('%.2f', rate) AS rate_at_half,
+         printf('%.2f', CASE WHEN events = 0 THEN 0.0 ELSE greatest(0.0, events * pow(1 - 1 / (9.0 * events) - 1.96 / (3 * sqrt(events)), 3)) END / hours)
+         || '-' ||
+         printf('%.2f', CASE WHEN events = 0 THEN 3.69 ELSE (events + 1) * pow(1 - 1 / (9.0 * (events + 1)) + 1.96 / (3 * sqrt(events + 1)), 3) END / hours) AS interval
+  FROM curve WHERE threshold = 0.5),
+cells AS (
+  SELECT stream_id, {', '.join(board_cell(b) for b in FA_BUDGETS)} FROM effective GROUP BY 1)
+SELECT substr(name, 1, 18) || CASE WHEN stream_id % 3 = 2 OR stream_id % 5 = 0 OR coalesce(n, 0) > 0 THEN '' ELSE ' ~' END AS run,
+       'final' AS selected, cells.* EXCLUDE (stream_id), half.* EXCLUDE (stream_id),
+       CASE WHEN stream_id % 2 = 0 THEN CAST(stream_id % 7 AS VARCHAR) ELSE '-' END AS merged
+FROM runs JOIN cells USING (stream_id) JOIN half USING (stream_id) LEFT JOIN odd USING (stream_id)""")
 def leaderboard(spark, sf_dir):
     return report.leaderboard(runs(spark, sf_dir))
 

@@ -315,7 +315,17 @@ def split_half(spark, sf_dir):
     )
 
 
-@query("agg24_half_precision")
+# Half precision keeps 11 significant bits, fewer below 2 ** -14.
+HALF_SQL = """),
+scored AS (
+  SELECT * EXCLUDE (score, step), round_even(score * step, 0) / step AS score FROM (
+    SELECT *, CASE WHEN score < pow(2, -14) THEN pow(2, 24)
+              ELSE pow(2, 10 - floor(log2(score))) END AS step FROM wide)),
+fa AS ("""
+
+
+@query("agg24_half_precision", evaluation.CURVE_SQL.replace("scored AS (", "wide AS (", 1).replace(
+    "),\nfa AS (", HALF_SQL, 1) + "SELECT * FROM curve")
 def half_precision(spark, sf_dir):
     scores, _, sets = evaluation.scores_and_sets(spark, sf_dir)
     narrow = scoring.half_precision(scores)

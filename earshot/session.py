@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ def local_session(cores: int | str = "*", app: str = "earshot", **conf: str) ->
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", os.environ.get("EARSHOT_SHUFFLE_PARTITIONS", "8"))
+        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    named = context.getConf().get("spark.checkpoint.dir", "") or ""
+    named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         context.setCheckpointDir(named)
     elif context.master.startswith("local"):

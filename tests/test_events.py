@@ -88,3 +88,11 @@ def test_more_hits_never_mean_fewer_events():
         extra = marks | {rng.randrange(30)}
         g = rng.randint(1, 6)
         assert len(brute.events(extra, g)) >= len(brute.events(marks, g))
+
+
+def test_the_floor_reaches_the_scan(spark, scores, tmp_path):
+    scores.write.parquet(str(tmp_path / "scores"))
+    chunks = events.chunk_hits(spark.read.parquet(str(tmp_path / "scores")), ["stream_id"], 0.5)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(score,0.5)" in plan
+    assert plan.count("Exchange") == 1

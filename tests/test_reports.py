@@ -31,8 +31,8 @@ def test_poisson_interval(spark):
     assert (round(row.a, 3), round(row.b, 3), row.c, row.d) == (1.611, 11.668, 0.0, 3.69)
 
 
-def test_fixed_point_rounds_ties_to_even(spark):
-    values = [0.0625, 0.1875, 0.5, 12.3456, -0.0004, None]
+def test_fixed_point_shows_the_exact_value(spark):
+    values = [0.0625, 0.0005, 0.5125, 0.1875, 0.5, 12.3456, -0.0004, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r.s for r in df.select(scalars.fixed_point("v").alias("s")).collect()] == [
         "-" if v is None else f"{v:.3f}" for v in values]
