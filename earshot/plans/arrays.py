@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from earshot.constants import AUGMENT_PROBABILITY, CONDITIONS
+from earshot.constants import AUGMENT_PROBABILITY, BATCH_ROWS, CONDITIONS
 from earshot.functions import scalars
 from earshot.operators import batches, pool, positions, quality, windows
 from earshot.plans import fixtures as fx
 from earshot.plans.registry import query, table
-from earshot.sources import publish
 
 SEED = 5
 SEGMENT, SHORTEST = 2000, 600
@@ -297,7 +296,7 @@ def cyclic_batches(spark, sf_dir):
         examples = rows if examples is None else examples.unionByName(rows)
     sizes = {r["class"]: r["count"] for r in examples.groupBy("class").count().collect()}
     steps = -(-2 * sizes["negative"] // 1024)
-    plan = batches.batch_plan(spark, steps, sizes, batches.BATCH_ROWS)
+    plan = batches.batch_plan(spark, steps, sizes, BATCH_ROWS)
     return plan.join(examples, ["class", "idx"]).groupBy("step", "class", "label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"), F.sum("id").alias("id_sum")
     )

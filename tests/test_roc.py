@@ -2,7 +2,6 @@ import random
 
 import brute
 import pytest
-from pyspark.sql import functions as F
 
 from earshot.operators import roc
 
