@@ -105,3 +105,14 @@ def test_half_precision(spark):
     rows = spark.createDataFrame([(0.1,), (0.5,), (0.99951,)], "score double")
     got = sorted(r.score for r in scoring.half_precision(rows).collect())
     assert got == [float(np.float16(v)) for v in (0.1, 0.5, 0.99951)]
+
+def test_weighted_fit_separates_and_obeys_the_weight(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i % 2, (rng.standard_normal(3) + (i % 2)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "label int, x array<double>")
+    mean = lambda weight: df.withColumn("s", scoring.linear_score(
+        F.col("x"), (m := scoring.fit_weighted(df, "x", weight)).coefficients.tolist(), float(m.intercept))
+    ).groupBy("label").agg(F.avg("s")).collect()
+    light, heavy = (dict(map(tuple, mean(w))) for w in (1.0, 20.0))
+    assert light[1] > light[0] + 0.3
+    assert heavy[0] < light[0] and heavy[1] < light[1]
