@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import contamination, fingerprints, language, lines, pieces, pii, sharding, tokenfiles
+from earshot.llm import contamination, fingerprints, language, lines, pieces, pii, sharding, tokenfiles, warc
 from earshot.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,10 @@ def op7_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and text records of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc.derivatives(warc.responses(pages), "page_id")
