@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import contamination, fingerprints, language, lines, pieces, pii, sharding, tokenfiles, warc
+from earshot.llm import contamination, fingerprints, jaccard, language, lines, pieces, pii, sharding, tokenfiles, warc
 from earshot.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and text records of every page."""
     pages = _table(spark, sf_dir, "pages")
     return warc.derivatives(warc.responses(pages), "page_id")
+
+
+@query
+def op1_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of shingles, and its component."""
+    return jaccard.join(_table(spark, sf_dir, "documents"))
