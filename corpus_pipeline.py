@@ -2,24 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from earshot.llm import contamination, jaccard, language, lines, pieces
+from earshot.session import ensure_checkpoint_dir
+
 
-from earshot.llm import lines
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told go; missing labels are filled in."""
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    told = language.predict(docs, model).where(F.col("lang_pred") != language.UNDECIDED)
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of three-line passages go; documents stay."""
+    """Later copies of three-line passages go; every document stays."""
     return lines.drop_repeated_windows(docs).select(docs.columns)
 
 
-STAGES = [("line dedup", line_dedup)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of alike documents the one with the smallest id stays.
+
+    Documents without an id can't be told apart and stay.
+    """
+    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.contamination(docs, items).where(~contamination.is_contaminated()).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, beside its columns."""
+    ids = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return ids.withColumn("n_ids", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("sentencepiece", tokens),
+]
 
-#: Language ID, similarity joins and tokenizers are not SQL.
+#: Hypervectors and piece lattices are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the tables between them are in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,13 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import contamination, fingerprints, jaccard, language, lines, pieces, pii, sharding, tokenfiles, warc
+from earshot.llm import contamination, fingerprints, jaccard, language, lines, oracles, pieces, pii, sharding, tokenfiles, warc
 from earshot.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_count_vector_tree": oracles.OP1,
+    "op5_line_windows": oracles.OP5,
+    "op6_aho_corasick": oracles.OP6,
+}
 
 
 def query(fn: Query) -> Query:
