@@ -54,11 +54,13 @@ _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _OPEN, _SHUT = r"[(\[{<]", r"[)\]}>]"
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
 _DOT = rf"\s{{0,9}}{_OPEN}\s{{0,9}}(?:{_DOT_WORD}|\.)\s{{0,9}}{_SHUT}\s{{0,9}}|(?<=[\w)])\s{{1,9}}{_DOT_WORD}\s{{1,9}}(?=\w)"
+#: A bare "at" is only a sign before a domain that is spelled out to one of these.
+_TOP = "(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|at|ch|fr|be|ca|es|mx|it|nl|pl|ru|example|test)"
 _DISGUISE = re.compile(
     rf"(?P<digits>(?<!\w){_WORD}(?:[\s,-]{{1,3}}{_WORD})*(?!\w))"
     rf"|(?P<plus>(?<!\w)plus\s{{1,9}}(?=[0-9]|{_WORD}\b))"
     rf"|(?P<at>\s{{0,9}}{_OPEN}\s{{0,9}}(?:at|@)\s{{0,9}}{_SHUT}\s{{0,9}}"
-    rf"|\s{{1,9}}at\s{{1,9}}(?=[A-Za-z0-9-]{{1,63}}(?:{_DOT})))"
+    rf"|\s{{1,9}}at\s{{1,9}}(?=(?:[A-Za-z0-9-]{{1,63}}(?:{_DOT})){{1,4}}{_TOP}\b))"
     rf"|(?P<dot>{_DOT})",
     re.IGNORECASE,
 )
