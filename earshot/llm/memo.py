@@ -7,21 +7,27 @@ from itertools import chain
 
 
 class Memo:
-    """Bytes for each word. Over ``bound`` words it starts afresh, so memory is bounded."""
+    """Bytes for each word. Two generations of at most ``bound`` words are kept: when the
+    young one is full it becomes the old one, and words still in use move on."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], bound: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], bound: int = 250_000):
         self.encode = encode
         self.bound = bound
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def join_all(self, texts: list[list[str]]) -> list[bytes]:
-        """The bytes of each list of words, end to end."""
-        words = set(chain.from_iterable(texts))
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A table with (at least) these words."""
         new = words.difference(self.known)
         if new and len(self.known) + len(new) > self.bound:
-            self.known.clear()
-            new = words
+            self.old, self.known, new = self.known, {}, words
         if new:
-            listed = list(new)
+            self.known |= {w: self.old[w] for w in new.intersection(self.old)}
+            listed = list(new.difference(self.old))
             self.known.update(zip(listed, self.encode(listed)))
-        return [b"".join(map(self.known.__getitem__, x)) for x in texts]
+        return self.known
+
+    def join_all(self, texts: list[list[str]]) -> list[bytes]:
+        """The bytes of each list of words, end to end."""
+        known = self.of(set(chain.from_iterable(texts)))
+        return [b"".join(map(known.__getitem__, x)) for x in texts]

@@ -58,8 +58,9 @@ _END = struct.Struct("<QQ8s")
 _WHITE = re.compile(r"\s+")
 _LATIN = re.compile(r"[\x00-ɏ]*")
 #: The word pattern of the tokenizer file, over lower-cased Latin text.
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:(?!\d)[^\w\s]|_)+")
+_PART = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:(?!\d)[^\w\s]|_)+")
 #: Characters in this range that are numbers or modifiers to one library only.
+_MARK = b"\xff\xff\xff\xff"
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 
 
@@ -77,7 +78,7 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words = Memo(self._words)
+        self.words = Memo(self._words, 400_000)
         self.parts = Memo(self._parts)
         self.by_word = True
         sample = "It's a TEST, of l'été; 10 words_and a\tü—ß."
@@ -88,21 +89,32 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """All parts in one text; the ids that end a word tell them apart."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
-            return self._whole(parts)
-        at = [0, *(4 * cuts).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+        """Many parts in one text; the ids that end a word tell them apart."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 5000):
+            some = parts[at:at + 5000]
+            raw = self._whole([" ".join(some)])[0]
+            ends = 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)
+            cuts = [0, *ends.tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(ends) == len(some) else self._whole(some)
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
-        split = self.parts.join_all([_PART.findall(w.lower()) for w, ok in zip(words, plain) if ok])
-        rest = iter(self._whole([w for w, ok in zip(words, plain) if not ok]) if not all(plain) else ())
-        simple = iter(split)
-        return [next(simple) if ok else next(rest) for ok in plain]
+        """Cut into parts all at once; a mark that is no id keeps the words apart."""
+        if not words:
+            return []
+        lines = "\n".join(words)
+        if not _PLAIN.fullmatch(lines) or "<|" in lines:
+            plain = [bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
+            simple = iter(self._words([w for w, ok in zip(words, plain) if ok]))
+            other = iter(self._whole([w for w, ok in zip(words, plain) if not ok]))
+            return [next(simple) if ok else next(other) for ok in plain]
+        parts = _PART.findall(lines.lower())
+        known = self.parts.of(set(parts) - {"\n"})
+        known["\n"] = _MARK
+        raw = b"".join(map(known.__getitem__, parts)).split(_MARK)
+        del known["\n"]
+        return raw
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
