@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
+#: Words are hashed in segments of so many bytes of text.
+SEGMENT = 1 << 18
 
 _FOLD = bytes(
     32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)
@@ -33,7 +35,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 20, 1 << n.bit_length())
+        size = max(2 * SEGMENT, 1 << int(n).bit_length())
         inverse = pow(_BASE, -1, 1 << 64)
         steps = [np.full(size, base, np.uint64) for base in (_BASE, inverse)]
         for step in steps:
@@ -48,9 +50,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     content = flat != 32
     starts = np.flatnonzero(content[1:] & ~content[:-1]) + 1
     ends = np.flatnonzero(content[:-1] & ~content[1:]) + 1
-    up, down = _powers(len(flat) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[flat] * up[:len(flat)], dtype=np.uint64)])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    stops = np.searchsorted(starts, np.arange(0, len(flat) + SEGMENT, SEGMENT))
+    for a, b in zip(stops[:-1], stops[1:]):
+        if a == b:
+            continue
+        first, last = starts[a], ends[b - 1]
+        up, down = _powers(last - first + 1)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_OF_BYTE[flat[first:last]] * up[:last - first], out=sums[1:])
+        hashes[a:b] = (sums[ends[a:b] - first] - sums[starts[a:b] - first]) * down[starts[a:b] - first]
+    hashes = mixed(hashes)
     firsts = np.cumsum([1] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(firsts, starts, side="right") - 1
 
