@@ -28,12 +28,19 @@ def decode_wav(content: bytes, rate: int = SAMPLE_RATE):
         with wave.open(io.BytesIO(content)) as reader:
             width, channels = reader.getsampwidth(), reader.getnchannels()
             source, raw = reader.getframerate(), reader.readframes(reader.getnframes())
-    except (wave.Error, EOFError, TypeError):
+    except (wave.Error, EOFError, TypeError, ValueError):
         return None
+    if channels < 1 or source < 1:
+        return None
+    raw = raw[:len(raw) // (width * channels) * width * channels]  # a cut-off file ends inside a frame
     if width == 1:
         samples = (np.frombuffer(raw, dtype=np.uint8).astype(np.float32) - 128) / 128
     elif width in (2, 4):
         samples = np.frombuffer(raw, dtype=f"<i{width}").astype(np.float32) / 2.0 ** (8 * width - 1)
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), dtype=np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
+        samples = wide.view("<i4")[:, 0].astype(np.float32) / 2.0 ** 31
     else:
         return None
     mono = samples.reshape(-1, channels).mean(axis=1)

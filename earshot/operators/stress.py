@@ -9,8 +9,6 @@ from earshot.constants import BACKGROUND_ROLES, STRESS_SNRS
 from earshot.operators.positions import row_positions
 from earshot.session import broadcast_if_small
 
-_MAX_BUDGETS = 4
-
 
 def stress_grid(positives: DataFrame, roles=BACKGROUND_ROLES, snrs=STRESS_SNRS) -> DataFrame:
     """Every positive in every (role, snr) cell, and once clean (snr NULL)."""
@@ -47,31 +45,52 @@ def summary(scored: DataFrame, thresholds: DataFrame, unique: str = "clip_id") -
     """Per cell and budget: lowest and median score, share strictly above the threshold.
 
     ``scored`` has (candidate, role, snr, clip_id, score), ``thresholds`` has
-    (candidate, budget, threshold) with at most four budgets per candidate. The
-    budgets ride along as one array, so clips are not multiplied by them.
+    (candidate, budget, threshold), any number of budgets. The budgets ride along as
+    one array, so clips are not multiplied by them.
     """
     cell = ["candidate", "role", "snr"]
-    rows = scored.join(broadcast_if_small(_packed(thresholds)), "candidate")
-    clear = rows.groupBy(*cell, "profile").agg(F.min("score").alias("min"), *[
-        F.avg((F.col("score") > F.get("profile", F.lit(i))["threshold"]).cast("double"))
-        .alias(f"_{i}") for i in range(_MAX_BUDGETS)
-    ])
-    shares = F.zip_with("profile", F.array(*[F.col(f"_{i}") for i in range(_MAX_BUDGETS)]),
-                        lambda p, s: F.struct(p["budget"].alias("budget"), s.alias("share")))
+    counts = _cleared(
+        scored, thresholds, cell, lambda score, limit: score > limit, F.min("score").alias("min")
+    )
+    shares = counts.groupBy(*cell, "budget", "threshold").agg(
+        F.min("min").alias("min"),
+        (F.sum(F.when(F.col("level") >= F.col("needed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
+    )
     medians = exact_median(
         scored.withColumn("snr", F.coalesce("snr", F.lit(-1))), cell, unique
     )
     return (
-        clear.select(*cell, "min", F.inline(shares)).where("budget is not null")
-        .withColumn("_snr", F.coalesce("snr", F.lit(-1)))
+        shares.withColumn("_snr", F.coalesce("snr", F.lit(-1)))
         .join(medians.withColumnRenamed("snr", "_snr"), ["candidate", "role", "_snr"])
         .select(
             *cell, "budget", F.round("min", 4).alias("min"), F.round("median", 4).alias("median"),
-            F.round("share", 3).alias("clear_frac"),
+            F.when(F.col("threshold").isNotNull(), F.round("share", 3)).alias("clear_frac"),
         )
     )
 
 
+def _cleared(scored, thresholds, keys, clears, *more) -> DataFrame:
+    """Per key, level and budget: ``n`` rows that clear ``level`` thresholds of the
+    candidate, and the level ``needed`` to clear the budget's.
+
+    A row that clears a threshold clears all lower ones, so the number it clears tells
+    which. Rows are counted by level before the budgets multiply them, whatever their
+    number.
+    """
+    packed = broadcast_if_small(_packed(thresholds))
+    limits = F.filter(F.transform("profile", lambda p: p["threshold"]), lambda t: t.isNotNull())
+    level = F.size(F.filter(limits, lambda t: F.coalesce(clears(F.col("score"), t), F.lit(False))))
+    counts = (
+        scored.join(packed, "candidate").withColumn("level", level)
+        .groupBy(*keys, "level").agg(F.count("score").alias("n"), *more)
+    )
+    needed = F.transform("profile", lambda p: F.struct(
+        p["budget"].alias("budget"), p["threshold"].alias("threshold"),
+        F.size(F.filter("profile", lambda q: q["threshold"] <= p["threshold"])).alias("needed"),
+    ))
+    return counts.join(packed, "candidate").select(*counts.columns, F.inline(needed))
+
+
 def _packed(thresholds: DataFrame) -> DataFrame:
     """One row per candidate with its budgets and thresholds in budget order."""
     return thresholds.groupBy("candidate").agg(
@@ -92,15 +111,15 @@ def cleared_budgets(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def interference_only(frames: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Per pool and budget: the peak score and frames at or above the threshold."""
-    rows = frames.join(broadcast_if_small(_packed(thresholds)), "candidate")
-    counts = rows.groupBy("candidate", "pool", "profile").agg(F.max("score").alias("peak"), *[
-        F.count_if(F.col("score") >= F.get("profile", F.lit(i))["threshold"]).alias(f"_{i}")
-        for i in range(_MAX_BUDGETS)
-    ])
-    cells = F.zip_with("profile", F.array(*[F.col(f"_{i}") for i in range(_MAX_BUDGETS)]),
-                       lambda p, n: F.struct(p["budget"].alias("budget"), n.alias("frames")))
-    return counts.select("candidate", "pool", F.round("peak", 4).alias("peak"), F.inline(cells)).where(
-        "budget is not null"
+    keys = ["candidate", "pool"]
+    counts = _cleared(
+        frames, thresholds, keys, lambda score, limit: score >= limit, F.max("score").alias("peak")
+    )
+    return counts.groupBy(*keys, "budget", "threshold").agg(
+        F.round(F.max("peak"), 4).alias("peak"),
+        F.coalesce(F.sum(F.when(F.col("level") >= F.col("needed"), F.col("n"))), F.lit(0)).alias("all"),
+    ).select(
+        *keys, "peak", "budget", F.when(F.col("threshold").isNull(), 0).otherwise(F.col("all")).alias("frames")
     )
 
 

@@ -31,10 +31,10 @@ clips AS (
     FROM documents)),
 firsts AS (
   SELECT role, stem, arg_min(n_samples, (source, doc_id)) AS first_samples,
-         arg_min(doc_id, (source, doc_id)) AS first_doc
+         arg_min(doc_id, (source, doc_id)) AS first_doc, min((source, doc_id)) AS first_place
   FROM clips WHERE allowed AND n_samples IS NOT NULL GROUP BY ALL),
 scan AS (
-  SELECT c.*, CASE WHEN allowed AND n_samples IS NOT NULL THEN first_samples ELSE 0 END AS counted,
+  SELECT c.*, CASE WHEN allowed AND (source, doc_id) >= first_place THEN first_samples ELSE 0 END AS counted,
          coalesce(allowed AND n_samples IS NOT NULL AND first_doc = doc_id, false) AS stored
   FROM clips c LEFT JOIN firsts USING (role, stem)),
 met AS (
@@ -134,11 +134,12 @@ def storage_keys(spark, sf_dir):
 
 
 @query("src7_ingest_report", f"""WITH {CLIPS_SQL}
-SELECT role, round(sum(counted) / {RATE} / 3600, 2) AS hours,
+SELECT role, CAST(sum(counted) AS BIGINT) AS samples, round(sum(counted) / {RATE} / 3600, 2) AS hours,
        count(*) FILTER (allowed) AS rows_kept, count(*) FILTER (NOT allowed) AS dropped_by_label
 FROM met GROUP BY role""")
 def ingest_report(spark, sf_dir):
-    return ingest.require_audio(ingest.ingest_report(met_clips(spark, sf_dir), RATE))
+    asked = spark.createDataFrame([("speech",), ("music",), ("env",)], "role string")
+    return ingest.require_audio(ingest.ingest_report(met_clips(spark, sf_dir), RATE), asked)
 
 
 @query("src8_clip_seconds", """
@@ -207,10 +208,14 @@ def pending_stages(spark, sf_dir):
 
 
 @query("snk5_config_hash", """
-SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_size":' || p_size ||
+SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_size":' ||
+                         CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE p_size::VARCHAR END ||
                          ',"p_type":"' || p_type || '"}') AS config_hash FROM part""")
 def config_hash(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
+    settings = table(spark, sf_dir, "part").withColumn(
+        "p_size", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
+    )
+    return settings.select(
         "p_partkey", publish.config_hash(["p_type", "p_size", "p_brand"]).alias("config_hash")
     )
 

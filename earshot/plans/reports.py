@@ -39,6 +39,23 @@ stressed AS (
 """
 
 
+#: More budgets than a run reports: every number of them has to come out.
+STRESS_BUDGETS = [0.1, *FA_BUDGETS, 4.0]
+STRESS_PROFILE = [
+    (c, b, None if t is None else round(t + lift, 2))
+    for c, _, t in [row for row in PROFILE if row[1] == 0.5]
+    for b, lift in zip(STRESS_BUDGETS, (0.2, 0.15, 0.0, -0.1, -0.1, -0.3))
+] + [("unmatched", 0.2, 0.5)]
+STRESS_PROFILE[0] = (*STRESS_PROFILE[0][:2], None)
+STRESS_PROFILE_SQL = "(VALUES " + ", ".join(
+    f"('{c}', {b}::DOUBLE, {'NULL' if t is None else t}::DOUBLE)" for c, b, t in STRESS_PROFILE
+) + ") p(candidate, budget, threshold)"
+
+
+def stress_thresholds(spark):
+    return spark.createDataFrame(STRESS_PROFILE, "candidate string, budget double, threshold double")
+
+
 def thresholds(spark):
     return spark.createDataFrame(PROFILE, "candidate string, budget double, threshold double")
 
@@ -59,9 +76,9 @@ def stress_grid(spark, sf_dir):
 @query("agg11_stress_summary", STRESS_SQL + f"""
 SELECT candidate, role, snr, budget, round(min(score), 4) AS min, round(median(score), 4) AS median,
        round(avg(CASE WHEN threshold IS NOT NULL THEN CASE WHEN score > threshold THEN 1.0 ELSE 0.0 END END), 3) AS clear_frac
-FROM stressed JOIN {PROFILE_SQL} USING (candidate) GROUP BY ALL""")
+FROM stressed JOIN {STRESS_PROFILE_SQL} USING (candidate) GROUP BY ALL""")
 def stress_summary(spark, sf_dir):
-    return stress.summary(stressed(spark, sf_dir), thresholds(spark))
+    return stress.summary(stressed(spark, sf_dir), stress_thresholds(spark))
 
 
 @query("agg12_cleared_budgets", STRESS_SQL + f"""
@@ -78,11 +95,11 @@ def cleared_budgets(spark, sf_dir):
 @query("agg13_interference_only", "WITH" + fx.CANDIDATES_SQL + f"""
 SELECT candidate, event_type AS pool, budget, round(max(score), 4) AS peak,
        count(*) FILTER (score >= threshold) AS frames
-FROM scored JOIN {PROFILE_SQL} USING (candidate) WHERE event_type <> 'purchase' GROUP BY ALL""")
+FROM scored JOIN {STRESS_PROFILE_SQL} USING (candidate) WHERE event_type <> 'purchase' GROUP BY ALL""")
 def interference_only(spark, sf_dir):
     frames = fx.candidate_scores(spark, sf_dir).where("event_type <> 'purchase'")
     return stress.interference_only(
-        frames.withColumnRenamed("event_type", "pool"), thresholds(spark)
+        frames.withColumnRenamed("event_type", "pool"), stress_thresholds(spark)
     )
 
 

@@ -58,12 +58,11 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Broadcast ``df`` only when rows and bytes are counted and small; else a shuffle join.
 
-    The count stops after ``max_rows`` + 1 rows, so it stays cheap on a large side.
+    The count stops after ``max_rows`` + 1 rows, so it stays cheap on a large side. Only
+    one number for each row is moved for it, never the row.
     """
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
-    )
+    sizes = df.select(row_bytes(df).alias("bytes")).limit(max_rows + 1)
+    rows, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
@@ -92,13 +91,18 @@ def _extra_bytes(column: Column, kind: DataType) -> Column:
 
 
 def for_each(df: DataFrame, choices: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Every row of ``df`` with every row of a small table of choices.
+    """Every row of ``df`` with every row of a table of choices.
 
     For tables such as sets, budgets and conditions, whose number is a matter of
-    configuration. The choices ride along as one array, read once; more than
-    ``max_rows`` of them is an error.
+    configuration. Up to ``max_rows`` of them ride along as one array, read once; more
+    are dealt into packs of ``max_rows``, and every row meets each pack by an equi-join
+    on the pack's number.
     """
-    packed = choices.agg(F.collect_list(F.struct(*choices.columns)).alias("all"))
-    if choices.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} choices")
-    return df.withColumn("_choices", packed.scalar()).select(*df.columns, F.inline("_choices"))
+    count = choices.count()
+    if count <= max_rows:
+        packed = choices.agg(F.collect_list(F.struct(*choices.columns)).alias("all"))
+        return df.withColumn("_choices", packed.scalar()).select(*df.columns, F.inline("_choices"))
+    packs = -(-count // max_rows)
+    dealt = choices.withColumn("_pack", F.pmod(F.xxhash64(*choices.columns), F.lit(packs)).cast("int"))
+    numbered = df.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    return numbered.join(dealt, "_pack").select(*df.columns, *choices.columns)

@@ -83,10 +83,15 @@ def scan_archives(spark: SparkSession, root: str) -> DataFrame:
     )
     out = "archive string, path string, content binary"
     seekable = listed.repartition("archive", "path").mapInPandas(_read_members, out)
-    packed = files.where(suffix.isin("gz", "tgz")).mapInPandas(_unpack, out)
+    name = F.lower("archive")
+    packed = files.where(name.rlike(_COMPRESSED)).mapInPandas(_unpack, out)
     return seekable.unionByName(packed)
 
 
+#: Compressed tar files; a plain .gz of a single file is none.
+_COMPRESSED = r"\.(tgz|tbz2|txz|tar\.gz|tar\.bz2|tar\.xz)$"
+
+
 def _is_audio(name: str) -> bool:
     return "." in name and name.rsplit(".", 1)[-1].lower() in AUDIO_SUFFIXES
 
@@ -137,7 +142,7 @@ def _unpack(batches):
 
     for batch in batches:
         for path in batch["archive"]:
-            with tarfile.open(path, mode="r|gz") as archive:
+            with tarfile.open(path, mode="r|*") as archive:
                 for member in archive:
                     if member.isfile() and _is_audio(member.name):
                         yield pd.DataFrame({
@@ -158,14 +163,17 @@ def budgeted_ingest(
     ``clips`` has ``role, stem, n_samples, allowed`` (n_samples NULL when it cannot
     be decoded) and a unique ``order`` within the role. A row is met while the total
     before it is below ``cap``, so the row that crosses is kept. A stem that was
-    already stored is not written again, but the stored clip's length counts again.
+    already stored is neither decoded nor written again, and the stored clip's length
+    counts again for every allowed row after it, readable or not.
     """
     usable = F.col("allowed") & F.col("n_samples").isNotNull()
+    place = F.struct(*order)
+    first = F.struct(*[F.col(f"first.{c}").alias(c) for c in order])
     firsts = clips.where(usable).groupBy("role", "stem").agg(
         F.min(F.struct(*order, "n_samples")).alias("first")
     )
-    counted = F.when(usable, F.col("first.n_samples")).otherwise(0)
-    is_first = usable & (F.struct(*order) == F.struct(*[F.col(f"first.{c}") for c in order]))
+    counted = F.when(F.col("allowed") & (place >= first), F.col("first.n_samples")).otherwise(0)
+    is_first = usable & (place == first)
     scan = clips.join(firsts, ["role", "stem"], "left").select(
         *clips.columns, counted.cast("long").alias("counted"),
         F.coalesce(is_first, F.lit(False)).alias("stored"),
@@ -175,18 +183,34 @@ def budgeted_ingest(
     return scan.where(F.col("before") < cap).withColumn("kept", F.col("allowed"))
 
 
+def storage_keys(rows: DataFrame, shard: str = "shard", number: str = "n", path: str = "path") -> DataFrame:
+    """Add ``stem``: the file name without folder and suffix, or shard_number for rows
+    without a path."""
+    own = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
+    return rows.withColumn(
+        "stem", F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat_ws("_", shard, number))
+    )
+
+
 def ingest_report(met: DataFrame, rate: int) -> DataFrame:
     """Hours added, rows kept and rows dropped by label, per role."""
     return met.groupBy("role").agg(
+        F.sum("counted").alias("samples"),
         F.round(F.sum("counted") / rate / 3600, 2).alias("hours"),
         F.count_if("kept").alias("rows_kept"),
         F.count_if(~F.col("kept")).alias("dropped_by_label"),
     )
 
 
-def require_audio(report: DataFrame) -> DataFrame:
-    """Fail the job when a role has ingested nothing."""
+def require_audio(report: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Fail the job when a role has ingested nothing, also when it had no rows at all.
+
+    ``roles`` lists the roles that were asked for; without it only those in the report
+    can be checked. The test is on samples, not on rounded hours.
+    """
+    if roles is not None:
+        report = roles.select("role").distinct().join(report, "role", "left")
     check = F.assert_true(
-        F.col("hours") > 0, F.concat(F.lit("no audio ingested for role "), F.col("role"))
+        F.coalesce("samples", F.lit(0)) > 0, F.concat(F.lit("no audio ingested for role "), F.col("role"))
     )
     return report.where(check.isNull())

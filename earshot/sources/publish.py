@@ -73,8 +73,9 @@ def record_stage(stage: DataFrame, path: str) -> None:
 
 
 def config_hash(columns: list[str]) -> Column:
-    """SHA-256 of compact JSON with sorted keys. Leave run labels out of ``columns``."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """SHA-256 of compact JSON with sorted keys, NULL settings as null. Leave run labels
+    out of ``columns``."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def write_archives(members: DataFrame, folder: str) -> None:

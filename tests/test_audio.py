@@ -1,3 +1,6 @@
+import io
+import wave
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,16 @@ def test_wav_round_trip_and_bad_input():
     x = np.sin(np.arange(3200) / 20) * 0.5
     assert np.allclose(dsp.decode_wav(dsp.encode_wav(x)), np.trunc(x * 32767) / 32768)
     assert len(dsp.decode_wav(dsp.encode_wav(x, 32000))) == 1600
+    whole = dsp.encode_wav(x)
+    for cut in (1, 2, 3):
+        assert len(dsp.decode_wav(whole[:-cut])) in (len(x) - 1, len(x) - 2)
+    wide = io.BytesIO()
+    with wave.open(wide, "wb") as writer:
+        writer.setnchannels(1)
+        writer.setsampwidth(3)
+        writer.setframerate(16000)
+        writer.writeframes(b"".join(int(v * (1 << 23)).to_bytes(3, "little", signed=True) for v in (-1, -0.5, 0, 0.25)))
+    assert dsp.decode_wav(wide.getvalue()).tolist() == [-1, -0.5, 0, 0.25]
     assert dsp.decode_wav(b"not audio") is None and dsp.decode_wav(None) is None
 
 

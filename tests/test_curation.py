@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import io
 import os
 import tarfile
@@ -26,18 +28,41 @@ def test_budget_keeps_the_row_that_crosses_and_counts_repeats(spark):
     rows = [
         (0, "r", "a", 10, True), (1, "r", "a", 99, True), (2, "r", "b", None, True),
         (3, "r", "c", 10, False), (4, "r", "d", 10, True), (5, "r", "e", 10, True),
+        (0, "q", "a", None, True), (1, "q", "a", 7, True), (2, "q", "a", None, True), (3, "q", "a", None, False),
+        (4, "q", "b", 1, True),
     ]
     clips = spark.createDataFrame(rows, "n long, role string, stem string, n_samples long, allowed boolean")
-    met = {r.n: r for r in ingest.budgeted_ingest(clips, ["n"], 25, rows_per_task=2).collect()}
+    found = ingest.budgeted_ingest(clips, ["n"], 25, rows_per_task=2).collect()
+    # Once stored, a repeat counts whether or not it can be read; before that it doesn't.
+    assert sorted((r.n, r.before) for r in found if r.role == "q") == [(0, 0), (1, 0), (2, 7), (3, 14), (4, 14)]
+    met = {r.n: r for r in found if r.role == "r"}
     assert sorted(met) == [0, 1, 2, 3, 4]
     assert [met[i].before for i in range(5)] == [0, 10, 20, 20, 20]
     assert [i for i in met if met[i].stored] == [0, 4]
 
 
 def test_a_role_without_audio_fails(spark):
-    report = spark.createDataFrame([("env", 0.0)], "role string, hours double")
+    columns = "role string, samples long, hours double"
+    report = spark.createDataFrame([("env", 0, 0.0)], columns)
     with pytest.raises(Exception, match="no audio ingested"):
         ingest.require_audio(report).collect()
+    little = spark.createDataFrame([("env", 16_000, 0.0)], columns)
+    assert ingest.require_audio(little).count() == 1
+    with pytest.raises(Exception, match="no audio ingested for role music"):
+        ingest.require_audio(little, spark.createDataFrame([("env",), ("music",)], "role string")).collect()
+
+
+def test_rows_without_a_path_are_stored_by_shard_and_number(spark):
+    rows = spark.createDataFrame(
+        [("a/b.c.wav", "s1", 0), (None, "s1", 1), ("", "s2", 2), ("x", "s2", 3)], "path string, shard string, n int"
+    )
+    assert [r.stem for r in ingest.storage_keys(rows).orderBy("n").collect()] == ["b.c", "s1_1", "s2_2", "x"]
+
+
+def test_config_hash_tells_null_from_absent(spark):
+    row = spark.createDataFrame([(1, None)], "a int, b int")
+    both, one = (row.select(publish.config_hash(c)).first()[0] for c in (["a", "b"], ["a"]))
+    assert both != one and both == hashlib.sha256(b'{"a":1,"b":null}').hexdigest()
 
 
 def test_file_and_archive_scans(spark, tmp_path):
@@ -56,10 +81,17 @@ def test_file_and_archive_scans(spark, tmp_path):
         info = tarfile.TarInfo("deep/g.MP3")
         info.size = len(wav)
         archive.addfile(info, io.BytesIO(wav))
+    for suffix, mode in (("tar.bz2", "w:bz2"), ("txz", "w:xz")):
+        with tarfile.open(tmp_path / f"p.{suffix}", mode) as archive:
+            info = tarfile.TarInfo(f"{suffix}.wav")
+            info.size = len(wav)
+            archive.addfile(info, io.BytesIO(wav))
+    (tmp_path / "notes.gz").write_bytes(gzip.compress(b"no archive"))
     files = {os.path.basename(r.path) for r in ingest.scan_audio_files(spark, str(tmp_path)).collect()}
     assert files == {"a.wav", "b.FLAC"}
     members = {r.path: r.content for r in ingest.scan_archives(spark, str(tmp_path)).collect()}
-    assert {k: bytes(v) for k, v in members.items()} == {"in/e.wav": wav, "f.ogg": wav, "deep/g.MP3": wav}
+    assert {k: bytes(v) for k, v in members.items()} == {"in/e.wav": wav, "f.ogg": wav, "deep/g.MP3": wav,
+        "tar.bz2.wav": wav, "txz.wav": wav}
 
 
 def test_audio_rows_with_and_without_labels(spark, tmp_path):
