@@ -138,11 +138,14 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, key: str, text: str) -> bytes:
     """A dictionary of at most ``DICTIONARY_BYTES`` from a bounded sample of the table."""
-    chosen = docs.where(F.length(text) > 0).select(
-        F.xxhash64(F.col(key)).alias("order"), F.substring(text, 1, SAMPLE_CHARS).alias("text")
+    order = F.xxhash64(F.col(key))
+    keys = docs.where(F.length(text) > 0).select(F.col(key).alias("_chosen"), order.alias("_order"))
+    chosen = keys.orderBy("_order", "_chosen").limit(SAMPLE).distinct()
+    rows = (
+        docs.join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi")
+        .select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE).collect()
     )
-    rows = chosen.orderBy("order", "text").limit(SAMPLE).collect()
-    samples = [narrow(b) for b in encoder(tokenizer).encode([r.text for r in rows])]
+    samples = [narrow(b) for b in encoder(tokenizer).encode([r.text for r in rows if r.text])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
