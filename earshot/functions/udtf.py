@@ -9,13 +9,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 @udtf(returnType=StructType([StructField("frame_idx", LongType())]))
 class RefractoryEvents:
-    """``refractory_events(marks, grouping)``: the frames of one array that start events."""
+    """``refractory_events(marks, grouping, free)``: the frames of one array that start
+    events, when frames before ``free`` are blocked by what came earlier (NULL: none)."""
 
-    def eval(self, marks: list, grouping: int):
-        blocked = None
+    def eval(self, marks: list, grouping: int, free: int):
         for mark in sorted(marks or []):
-            if blocked is None or mark > blocked:
-                blocked = mark + grouping
+            if free is None or mark >= free:
+                free = mark + grouping + 1
                 yield (mark,)
 
 

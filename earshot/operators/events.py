@@ -74,16 +74,18 @@ def refractory_counts(
     )
 
 
-def refractory_events(
-    scores: DataFrame,
+def chunk_entries(
+    chunks: DataFrame,
     keys: list[str],
     threshold: float,
     grouping: int,
     chunk_frames: int = CHUNK_FRAMES,
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """Rows (keys, frame_idx, score): one per event, at the frame that starts it."""
-    chunks = chunk_hits(scores, keys, threshold, chunk_frames)
+    """Rows (keys, chunk, until): the first frame that isn't blocked as a chunk begins.
+
+    ``chunks`` comes from :func:`chunk_hits` with the same ``chunk_frames``.
+    """
     limits = F.array(F.lit(float(threshold)))
     tables = _chunk_tables(
         chunks, keys, limits, F.lit(grouping), False, chunk_frames
@@ -97,13 +99,26 @@ def refractory_events(
         .select(*keys, F.explode(_entries(F.col("children"), free)).alias("e"))
         .select(*keys, F.col("e.id").alias("super"), F.col("e.until").alias("until"))
     )
-    chunk_entry = (
+    return (
         tables.withColumn("super", F.floor(F.col("chunk") / fanout))
         .groupBy(*keys, "super").agg(_children("chunk"))
         .join(super_entry, [*keys, "super"])
         .select(*keys, F.explode(_entries(F.col("children"), F.col("until"))).alias("e"))
         .select(*keys, F.col("e.id").alias("chunk"), F.col("e.until").alias("until"))
     )
+
+
+def refractory_events(
+    scores: DataFrame,
+    keys: list[str],
+    threshold: float,
+    grouping: int,
+    chunk_frames: int = CHUNK_FRAMES,
+    fanout: int = FANOUT,
+) -> DataFrame:
+    """Rows (keys, frame_idx, score): one per event, at the frame that starts it."""
+    chunks = chunk_hits(scores, keys, threshold, chunk_frames)
+    chunk_entry = chunk_entries(chunks, keys, threshold, grouping, chunk_frames, fanout)
     start = F.struct(
         F.col("until").alias("until"),
         F.filter("hits", lambda h: F.lit(False)).alias("events"),

@@ -67,7 +67,7 @@ def with_profiles(runs: DataFrame) -> DataFrame:
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:
-    """The printed table: one text row per run."""
+    """The printed table: one text row per run, ``run`` cut to its width, ``name`` in full."""
     low = scalars.poisson_low(F.col("half.events")) / F.col("val_set_hrs")
     high = scalars.poisson_high(F.col("half.events")) / F.col("val_set_hrs")
     budgets = [
@@ -76,7 +76,7 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     ]
     label = F.concat(F.substring("name", 1, 18), F.when(F.col("exact"), "").otherwise(" ~"))
     return runs.select(
-        label.alias("run"), F.coalesce("selected", F.lit("-")).alias("selected"), *budgets,
+        "name", label.alias("run"), F.coalesce("selected", F.lit("-")).alias("selected"), *budgets,
         scalars.fixed_point("half.recall").alias("recall_at_half"),
         scalars.fixed_point("half.false_accepts_per_hour", 2).alias("rate_at_half"),
         F.concat_ws("-", scalars.fixed_point(low, 2), scalars.fixed_point(high, 2)).alias("interval"),
@@ -85,11 +85,15 @@ def leaderboard(runs: DataFrame) -> DataFrame:
 
 
 def condition_report(runs: DataFrame, budget: float) -> DataFrame:
-    """Recall by condition and stress-grid clear share at one budget, ``-`` for missing."""
+    """Recall by condition and stress-grid clear share at one budget, ``-`` for missing.
+
+    ``line`` is ``run``, or ``baseline`` for the baseline that a run was compared with;
+    a baseline has no stress cells.
+    """
     key = F.lit(str(budget))
 
-    def condition(name):
-        by_budget = F.element_at("recall_at_fa_by_condition", F.lit(name))
+    def condition(source, name):
+        by_budget = F.element_at(source, F.lit(name))
         return scalars.fixed_point(F.element_at(by_budget, key)["recall"]).alias(name)
 
     def stress(cell):
@@ -97,20 +101,35 @@ def condition_report(runs: DataFrame, budget: float) -> DataFrame:
         share = F.element_at(F.element_at(rows, F.lit(cell))["clear_frac"], key)
         return scalars.fixed_point(share).alias(cell.replace("@", "_"))
 
-    return runs.select(
-        "name", *[condition(c) for c in CONDITIONS], *[stress(c) for c in STRESS_CELLS]
+    own = runs.select(
+        "name", F.lit("run").alias("line"),
+        *[condition(F.col("recall_at_fa_by_condition"), c) for c in CONDITIONS], *[stress(c) for c in STRESS_CELLS],
+    )
+    if "baseline" not in runs.columns:
+        return own
+    theirs = runs.where("baseline is not null").select(
+        "name", F.lit("baseline").alias("line"),
+        *[condition(F.col("baseline.recall_at_fa_by_condition"), c) for c in CONDITIONS],
+        *[F.lit(None).cast("string").alias(c.replace("@", "_")) for c in STRESS_CELLS],
     )
+    return own.unionByName(theirs)
 
 
 def at_budget(runs: DataFrame, budget: float, condition: str | None = None) -> DataFrame:
-    """Add ``recall`` at a budget, on the mixed set or on one condition."""
+    """Add ``recall`` at a budget, on the mixed set or on one condition.
+
+    On a condition the run's profile is that one value, so mean recall and budget wins
+    follow the ranking.
+    """
     key = F.lit(str(budget))
     if condition is None:
-        recall = F.element_at("profile", key)
-    else:
-        by_budget = F.element_at("recall_at_fa_by_condition", F.lit(condition))
-        recall = F.element_at(by_budget, key)["recall"]
-    return runs.withColumn("recall", recall)
+        return runs.withColumn("recall", F.element_at("profile", key))
+    by_budget = F.element_at("recall_at_fa_by_condition", F.lit(condition))
+    recall = F.element_at(by_budget, key)["recall"]
+    return runs.withColumn("recall", recall).withColumn(
+        "profile", F.when(F.col("recall").isNotNull(), F.create_map(key, F.col("recall")))
+        .otherwise(F.create_map().cast("map<string,double>")),
+    )
 
 
 def ranking(runs: DataFrame, order: str, **scan) -> DataFrame:

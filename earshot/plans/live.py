@@ -104,13 +104,15 @@ def live_rates(spark, sf_dir):
 
 @query("udtf_refractory_events", evaluation.FRAME_EVENTS_SQL + "SELECT stream_id, frame_idx FROM ev")
 def udtf_events(spark, sf_dir):
-    """The table function on arrays of one chunk each; streams here fit in one chunk."""
+    """The table function on arrays of one chunk each, entered as the chunk before left off."""
     udtf.register(spark)
-    chunks = events.chunk_hits(fx.frames(spark, sf_dir), ["stream_id"], HIT, 1 << 20)
-    chunks.select(
-        "stream_id", F.transform("hits", lambda h: h["frame_idx"]).alias("marks")
+    frames, keys, width = fx.frames(spark, sf_dir), ["stream_id"], 32
+    chunks = events.chunk_hits(frames, keys, HIT, width)
+    entries = events.chunk_entries(chunks, keys, HIT, fx.GROUPING, width)
+    chunks.join(entries, [*keys, "chunk"]).select(
+        "stream_id", F.transform("hits", lambda h: h["frame_idx"]).alias("marks"), "until"
     ).createOrReplaceTempView("stream_marks")
     return spark.sql(
         "SELECT stream_id, e.frame_idx FROM stream_marks, "
-        f"LATERAL refractory_events(marks, {fx.GROUPING}) e"
+        f"LATERAL refractory_events(marks, {fx.GROUPING}, until) e"
     )

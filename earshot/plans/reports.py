@@ -283,6 +283,10 @@ def run_metrics(spark, sf_dir):
         F.when(stream % 2 == 0, F.struct((stream % 7).cast("int").alias("merged"))).alias("selection"),
         F.create_map(F.lit("final"), F.struct(cells.alias("rows"))).alias("stress"),
         F.concat(F.lit("lab/exp-"), stream).alias("repo"),
+        F.when(stream % 3 == 0, F.struct(F.lit("stock").alias("model"), F.create_map(*[
+            x for c in CONDITIONS[:3] for x in (F.lit(c), F.create_map(key, F.struct(
+                (F.col(f"`{c}`") / 2).alias("recall"), F.col("gate").alias("threshold"))))
+        ]).alias("recall_at_fa_by_condition"))).alias("baseline"),
     )
 
 
@@ -373,13 +377,41 @@ def budget_wins(spark, sf_dir):
     return report.budget_wins(report.leader_and_runner_up(rows, "stream_id"))
 
 
+#: With a condition, that condition's recall at the one budget is all there is of a profile.
+ON_SPEECH_SQL = RUNS_SQL + """, spoken AS (
+  SELECT stream_id, name, recall, row_number() OVER (ORDER BY recall DESC NULLS LAST, stream_id) AS place
+  FROM runs LEFT JOIN (SELECT * FROM cond WHERE condition = 'speech') USING (stream_id))
+"""
+
+
+@query("agg15_condition_mean_recall", ON_SPEECH_SQL + """
+SELECT name, stream_id, round(coalesce(round(recall, 9), 0.0), 6) AS mean_recall,
+       CAST(recall IS NOT NULL AS INTEGER) AS budgets,
+       row_number() OVER (ORDER BY coalesce(round(recall, 9), 0) DESC, stream_id) - 1 AS place
+FROM spoken""")
+def condition_mean_recall(spark, sf_dir):
+    return report.mean_recall(report.at_budget(runs(spark, sf_dir), BUDGET, "speech"), "stream_id")
+
+
+@query("agg17_condition_wins", ON_SPEECH_SQL + """
+SELECT CAST(a.recall > b.recall AS INTEGER) AS wins, 1 AS seen
+FROM spoken a JOIN spoken b ON a.place = 1 AND b.place = 2 AND b.recall IS NOT NULL""")
+def condition_wins(spark, sf_dir):
+    rows = report.at_budget(runs(spark, sf_dir), BUDGET, "speech")
+    return report.budget_wins(report.leader_and_runner_up(rows, "stream_id"))
+
+
 def shown(condition: str, alias: str) -> str:
     return f"coalesce(max(printf('%.3f', recall)) FILTER (condition = '{condition}'), '-') AS {alias}"
 
 
-@query("agg18_condition_report", RUNS_SQL + "SELECT name, " + ", ".join(
+@query("agg18_condition_report", RUNS_SQL + "SELECT name, 'run' AS line, " + ", ".join(
     shown(c, c.replace("@", "_")) for c in [*CONDITIONS, *STRESS_CELLS]
-) + " FROM runs LEFT JOIN cond USING (stream_id) GROUP BY name")
+) + " FROM runs LEFT JOIN cond USING (stream_id) GROUP BY name UNION ALL SELECT name, 'baseline', " + ", ".join(
+    shown(c, c) for c in CONDITIONS
+) + "".join(", NULL" for _ in STRESS_CELLS) + f""" FROM runs LEFT JOIN (
+  SELECT stream_id, condition, recall / 2 AS recall FROM cond WHERE condition IN {tuple(CONDITIONS[:3])}) USING (stream_id)
+WHERE stream_id % 3 = 0 GROUP BY name""")
 def condition_report(spark, sf_dir):
     return report.condition_report(runs(spark, sf_dir), BUDGET)
 
@@ -402,7 +434,7 @@ half AS (
   FROM curve WHERE threshold = 0.5),
 cells AS (
   SELECT stream_id, {', '.join(board_cell(b) for b in FA_BUDGETS)} FROM effective GROUP BY 1)
-SELECT substr(name, 1, 18) || CASE WHEN stream_id % 3 = 2 OR stream_id % 5 = 0 OR coalesce(n, 0) > 0 THEN '' ELSE ' ~' END AS run,
+SELECT name, substr(name, 1, 18) || CASE WHEN stream_id % 3 = 2 OR stream_id % 5 = 0 OR coalesce(n, 0) > 0 THEN '' ELSE ' ~' END AS run,
        'final' AS selected, cells.* EXCLUDE (stream_id), half.* EXCLUDE (stream_id),
        CASE WHEN stream_id % 2 = 0 THEN CAST(stream_id % 7 AS VARCHAR) ELSE '-' END AS merged
 FROM runs JOIN cells USING (stream_id) JOIN half USING (stream_id) LEFT JOIN odd USING (stream_id)""")
