@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from earshot.constants import SEGMENT_SECONDS, SILENCE_RMS, STRESS_RESERVE
 from earshot.functions import scalars
 from earshot.operators.positions import prefix_sum, row_positions
+from earshot.session import pin
 
 
 def drop_silent(clips: DataFrame, samples: str = "pcm", floor: float = SILENCE_RMS) -> DataFrame:
@@ -20,6 +21,16 @@ def unit_rms(clips: DataFrame, samples: str = "pcm") -> DataFrame:
     return clips.withColumn(samples, scalars.scaled(samples, scalars.rms(samples)))
 
 
+def segment_cap(hours: float, reserve: int = STRESS_RESERVE) -> int:
+    """Segments a role may have: the hours asked for, and the reserve."""
+    return int(hours * 3600 / SEGMENT_SECONDS) + reserve
+
+
+def segment_floor(hours: float) -> int:
+    """Segments a balanced role must have: half the hours asked for, at least one."""
+    return max(int(0.5 * hours * 3600 / SEGMENT_SECONDS), 1)
+
+
 def segment_overlaps(
     clips: DataFrame, order: list[str], length: str, segment: int, **scan
 ) -> DataFrame:
@@ -92,7 +103,7 @@ def hold_back_reserve(segments: DataFrame, reserve: int = STRESS_RESERVE) -> Dat
 
 def role_counts(segments: DataFrame, hours: float, reserve: int = STRESS_RESERVE) -> DataFrame:
     """Per role: pool size, balanced size, and whether both are large enough."""
-    floor = max(int(0.5 * hours * 3600 / SEGMENT_SECONDS), 1)
+    floor = segment_floor(hours)
     counts = segments.groupBy("role").agg(
         F.count_if(~F.col("reserved")).alias("pool"), F.count(F.lit(1)).alias("total")
     )
@@ -198,3 +209,39 @@ def reserve_audio(held: DataFrame, content: str, text: bool = False) -> DataFram
         F.count(F.lit(1)).alias("parts"), F.sum("n_samples").alias("n_samples"),
         joined.alias(content),
     )
+
+
+def build(
+    clips: DataFrame, order: list[str], segment: int, shortest: int, hours: float, seed: int,
+    reserve: int = STRESS_RESERVE, **scan,
+) -> tuple[DataFrame, DataFrame]:
+    """The pool and the stress reserve, rows (role, seg, n_samples, pcm), from clips.
+
+    Silent clips go, the rest are brought to unit RMS, re-cut up to the hours asked for
+    and levelled; the reserve is held back, the roles are balanced, and babble is made
+    of the speech that is left, apart for the pool and for the reserve, as many as the
+    other roles have. Fails if a role has no more than the reserve, or a balanced role
+    is below half the hours.
+    """
+    spark = clips.sparkSession
+    cut = recut(
+        unit_rms(drop_silent(clips)), order, "pcm", segment, shortest, segment_cap(hours, reserve), **scan
+    )
+    cut = pin(hold_back_reserve(cut.withColumn("pcm", scalars.level_normalise("pcm")), reserve))
+    counts = role_counts(cut, hours, reserve).select(
+        "role", "balanced",
+        F.assert_true("has_reserve", F.concat("role", F.lit(": no more segments than the reserve"))).alias("_a"),
+        F.assert_true("above_floor", F.lit("the balanced pool is below its floor")).alias("_b"),
+    ).where("_a is null and _b is null")
+    size = counts.agg(F.min("balanced")).first()[0] or 0
+    out = []
+    for part, wanted in ((balance(cut, seed, **scan), size), (cut.where("reserved"), reserve)):
+        part = part.select("role", "seg", "n_samples", "pcm")
+        speech = row_positions(part.where("role = 'speech'").select("seg", "pcm"), [], ["seg"], "pos", **scan)
+        draws = babble_members(spark.range(wanted).withColumnRenamed("id", "babble"), wanted, segment, seed)
+        mixed = babble(draws, speech, segment).select(
+            F.lit("babble").alias("role"), F.col("babble").alias("seg"),
+            F.size("pcm").cast("long").alias("n_samples"), "pcm",
+        )
+        out.append(part.unionByName(mixed))
+    return out[0], out[1]

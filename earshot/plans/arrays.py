@@ -12,7 +12,9 @@ from earshot.plans.registry import query, table
 
 SEED = 5
 SEGMENT, SHORTEST = 2000, 600
-CAP = 400
+#: Hours of each role that the pool asks for; the cap of a role and the floor follow from it.
+HOURS = 0.25
+CAP = pool.segment_cap(HOURS)
 WINDOW = 16
 
 # --- pool ------------------------------------------------------------------------
@@ -25,7 +27,7 @@ segments AS (
   SELECT role, seg, length(content) AS n_samples, content,
          seg > max(seg) OVER (PARTITION BY role) - 6 AS reserved
   FROM (SELECT role, seg, substring(content, seg * {SEGMENT} + 1, {SEGMENT}) AS content
-        FROM laid, LATERAL (SELECT unnest(range(0, least(CAST(ceil(total / {SEGMENT}) AS BIGINT), {CAP}))) AS seg))
+        FROM laid, LATERAL (SELECT unnest(range(0, CAST(ceil(total / {SEGMENT}) AS BIGINT))) AS seg))
   WHERE length(content) >= {SHORTEST}),
 least AS (SELECT min(n) AS balanced FROM (SELECT count(*) AS n FROM segments WHERE NOT reserved GROUP BY role)),
 balanced AS (
@@ -36,11 +38,11 @@ balanced AS (
   WHERE place <= balanced)"""
 
 
-def segments(spark, sf_dir):
+def segments(spark, sf_dir, cap=None):
     clips = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("role"), "doc_id", F.col("text").alias("content")
     )
-    cut = pool.recut(clips, ["doc_id"], "content", SEGMENT, SHORTEST, CAP, text=True)
+    cut = pool.recut(clips, ["doc_id"], "content", SEGMENT, SHORTEST, cap, text=True)
     return pool.hold_back_reserve(cut)
 
 
@@ -83,6 +85,15 @@ def recut_segments(spark, sf_dir):
     )
 
 
+@query("aud2_capped_segments", f"""WITH {SEGMENTS_SQL}
+SELECT role, seg, CAST(n_samples AS BIGINT) AS n_samples, sha256(content) AS digest FROM segments WHERE seg < {CAP}""")
+def capped_segments(spark, sf_dir):
+    """The hours asked for, and no more, of each role."""
+    return segments(spark, sf_dir, CAP).select(
+        "role", "seg", "n_samples", F.sha2("content", 256).alias("digest")
+    )
+
+
 @query("smp6_reserve", f"WITH {SEGMENTS_SQL} SELECT role, seg, reserved FROM segments")
 def reserve(spark, sf_dir):
     return segments(spark, sf_dir).select("role", "seg", "reserved")
@@ -98,7 +109,7 @@ SELECT role, count(*) FILTER (NOT reserved) AS pool, count(*) AS total, any_valu
        count(*) > 6 AS has_reserve, any_value(balanced) >= 45 AS above_floor
 FROM segments CROSS JOIN least GROUP BY role""")
 def pool_floor(spark, sf_dir):
-    return pool.role_counts(segments(spark, sf_dir), 0.25)
+    return pool.role_counts(segments(spark, sf_dir), HOURS)
 
 
 @query("agg2_pool_summary", f"""WITH {SEGMENTS_SQL}
@@ -110,6 +121,33 @@ def pool_summary(spark, sf_dir):
     return pool.pool_summary(pool.balance(cut, SEED), cut.where("reserved"))
 
 
+JOB_SEGMENT, JOB_SHORTEST, JOB_HOURS = 80, 24, 0.2
+
+
+@query("agg2_pool_job", f"""
+WITH laid AS (
+  SELECT ['speech', 'music', 'env'][label % 3 + 1] AS role, sum(len(embedding)) AS total
+  FROM embeddings WHERE vec_id % 11 <> 0 GROUP BY 1),
+cut AS (
+  SELECT role, least(total // {JOB_SEGMENT} + CASE WHEN total % {JOB_SEGMENT} >= {JOB_SHORTEST} THEN 1 ELSE 0 END,
+                     {pool.segment_cap(JOB_HOURS)}) AS n FROM laid),
+size AS (SELECT CAST(min(n) - 6 AS BIGINT) AS files FROM cut)
+SELECT role, files, CAST(6 AS BIGINT) AS stress_reserve, round(files * 10 / 3600, 2) AS hours, true AS level
+FROM size CROSS JOIN (VALUES ('speech'), ('music'), ('env'), ('babble')) r(role)""")
+def pool_job(spark, sf_dir):
+    """From clips to the balanced pool with babble; every segment comes out at one level."""
+    role = F.element_at(F.array(F.lit("speech"), F.lit("music"), F.lit("env")), F.col("label") % 3 + 1)
+    silent = F.when(F.col("vec_id") % 11 == 0, 0.0).otherwise(1.0)
+    clips = table(spark, sf_dir, "embeddings").select(
+        role.alias("role"), "vec_id", F.transform("embedding", lambda v: v.cast("double") * silent).alias("pcm")
+    )
+    made, held = pool.build(clips, ["vec_id"], JOB_SEGMENT, JOB_SHORTEST, JOB_HOURS, SEED)
+    peak = F.aggregate("pcm", F.lit(0.0), lambda top, v: F.greatest(top, F.abs(v)))
+    right = (F.abs(scalars.rms("pcm") - 0.1) < 1e-6) | (F.abs(peak - 0.99) < 1e-6)
+    level = made.groupBy("role").agg(F.bool_and(right).alias("level"))
+    return pool.pool_summary(made, held).join(level, "role")
+
+
 @query("aud12_stress_assets", f"""WITH {SEGMENTS_SQL}
 SELECT role, count(*) AS parts, CAST(sum(n_samples) AS BIGINT) AS n_samples,
        sha256(string_agg(content, '' ORDER BY seg)) AS digest
