@@ -21,7 +21,6 @@ from earshot.operators import events
 from earshot.session import broadcast_if_small, for_each, pin
 
 LADDER_STEPS = 16
-LADDER_SAMPLE = 4_000_000
 
 
 def grid(thresholds: list[float] = THRESHOLDS) -> Column:
@@ -187,16 +186,12 @@ def _first_bracket(false_accepts, limits, pair) -> DataFrame:
     ``lo`` is known not to fit (-2 when nothing is known) and ``hi`` to fit.
     """
     shares = [1.0] + [1.0 - 4.0 ** -i for i in range(1, LADDER_STEPS + 1)]
-    # Rungs only guide the search, so a hash sample will do: what is known about
-    # each rung is counted over all frames below.
-    one_in = max(1, false_accepts.count() // LADDER_SAMPLE)
-    sampled = F.pmod(F.xxhash64("stream_id", "frame_idx"), F.lit(one_in)) == 0
+    # Rungs only guide the search, so rough ranks will do: what is known about each
+    # rung is counted over all frames below.
     ladder = false_accepts.groupBy(*pair).agg(
-        F.percentile_approx(F.when(sampled, F.col("score")), shares, 10_000).alias("rungs"),
+        F.array_distinct(F.percentile_approx("score", shares, 1_000)).alias("rungs"),
         F.max("score").alias("top"),
     )
-    ladder = ladder.withColumn("rungs", F.array_distinct(
-        F.coalesce("rungs", F.array("top"))))
     above = lambda rung: F.count_if(F.col("score") > F.get("rungs", F.lit(rung)))
     counted = (
         false_accepts.join(broadcast_if_small(pin(ladder)), pair)
