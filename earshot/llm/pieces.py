@@ -68,12 +68,14 @@ class Pieces:
         usable = self.ids
         if self.merges:
             usable = {p: i for p, i in self.ids.items() if self._merged(p) == i}
-        self.trie: dict = {}
+        #: From a character to what may follow it and the piece that ends there (or None).
+        self.trie: dict[str, list] = {}
         for piece, i in usable.items():
-            node = self.trie
+            here, entry = self.trie, []
             for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = i
+                entry = here.setdefault(char, [{}, None])
+                here = entry[0]
+            entry[1] = i
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for p in proto.pieces]
         for value, i in enumerate(self.bytes):
             self.raw[i] = bytes([value])
@@ -143,6 +145,9 @@ class Stream:
 
     def feed(self, text: str) -> None:
         """Take more text. Its last ``longest`` characters wait for what may follow."""
+        if len(self.text) + len(text) <= self.pieces.longest:
+            self.text += text
+            return
         step = 4 * self.pieces.longest
         for at in range(0, len(text), step):
             self.text += text[at:at + step]
@@ -159,7 +164,7 @@ class Stream:
         """Push every path on from boundaries below ``upto``."""
         pieces, text, nodes = self.pieces, self.text, self.nodes
         nodes.extend([None] * (len(text) + 1 - len(nodes)))
-        merges, trie, end = pieces.merges, pieces.trie, len(text)
+        merges, trie, pairs, end = pieces.merges, pieces.trie, pieces.pairs, len(text)
         for start in range(self.done, upto):
             here = nodes[start]
             if here is None:
@@ -167,17 +172,23 @@ class Stream:
             score, _, before = here
             if start == 0:
                 before = self.last if self.last is not None else -1
-            node, at = trie, start
+            follow, at = trie, start
             single = False
-            while at < end and (node := node.get(text[at])) is not None:
+            while at < end:
+                entry = follow.get(text[at])
+                if entry is None:
+                    break
                 at += 1
-                piece = node.get("")
+                follow, piece = entry
                 if piece is None:
                     continue
-                single = single or at == start + 1
+                if at == start + 1:
+                    single = True
                 if merges:
-                    if nodes[at] is None and (before < 0 or pieces.may_follow(before, piece)):
-                        nodes[at] = (0.0, start, piece)
+                    if nodes[at] is None:
+                        fits = before < 0 or pairs.get((before, piece))
+                        if fits or fits is None and pieces.may_follow(before, piece):
+                            nodes[at] = (0.0, start, piece)
                 else:
                     total = score + pieces.score[piece]
                     if nodes[at] is None or total > nodes[at][0]:
