@@ -20,7 +20,8 @@ therefore first dealt into many small trees, without losing a link:
 * In each list, every text is first paired with the first. The links among these join
   most copies into components, and only texts of different components go through the
   trees: no list of copies is ever paired with itself.
-* Lists longer than ``BLOCK`` are dealt into blocks, and each pair of blocks is a tree
+* A list that fits in a leaf is one; its pairs are bounded once however many lists they
+  share. Lists longer than ``BLOCK`` are dealt into blocks, and each pair of blocks is a tree
   join of its own.
 
 Equal sets are one member of the join, the one with the smallest id.
@@ -33,7 +34,7 @@ to; extra columns aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,12 +116,29 @@ def keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """Numbers of shingles in a power of two of groups, at least as many as shingles."""
+    """Numbers of shingles in a power of two of groups, at least as many as shingles, packed."""
     groups = 1 << max(4, int(len(shingles)).bit_length())
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     if counts.max(initial=0) > 255:
         raise ValueError("a group of more than 255 shingles")
-    return counts.astype(np.uint8).tobytes()
+    return zlib.compress(counts.astype(np.uint8).tobytes(), 1)
+
+
+def coordinates(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The point in fewer groups."""
+    return np.minimum(counts.reshape(-1, groups).sum(axis=0), 65535).astype(np.uint16)
+
+
+def may_link(a: bytes, b: bytes, total: int, percent: int) -> bool:
+    """Whether the smaller coordinates, summed, leave two points the overlap of a link."""
+    x, y = coordinates(a), coordinates(b)
+    groups = min(len(x), len(y))
+    bound = int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64))
+    return bound * (100 + percent) >= percent * total
 
 
 # Passes over the texts.
@@ -304,11 +322,9 @@ def _leaf_pairs(left: Tree, a: int, right: Tree, b: int, percent: int, same: boo
 
 def _meet(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The tree join of one pair of blocks (or of one block with itself)."""
-    raw = rows.column("point").to_pylist()
+    raw = [coordinates(p) for p in rows.column("point").to_pylist()]
     groups = min(map(len, raw))
-    points = np.stack([
-        np.minimum(np.frombuffer(p, np.uint8).reshape(-1, groups).sum(axis=0), 65535).astype(np.uint16) for p in raw
-    ])
+    points = np.stack([folded(p, groups) for p in raw])
     sizes, labels, ids, block = (rows.column(c).to_numpy() for c in ("n", "label", "doc", "block"))
     sides = [
         Tree(points[block == k], sizes[block == k], labels[block == k], ids[block == k]) for k in np.unique(block)
@@ -337,6 +353,36 @@ def _tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("meet").sortWithinPartitions("meet").mapInArrow(run, "a long, b long")
 
 
+def _leaf_candidates(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` from rows (list, doc, label, n) of lists that fit in one leaf.
+
+    A pair usually shares many lists, so pairs are made distinct before they get their
+    points and are bounded.
+    """
+    items = rows.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("doc", "n", "label"))).alias("items"))
+
+    def partners(x, i):
+        close = lambda y: (y["label"] != x["label"]) & (
+            F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+        )
+        later = F.filter(F.slice("items", i + 2, LEAF), close)
+        return F.transform(later, lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b")))
+
+    pairs = items.select(F.inline(F.flatten(F.transform("items", partners)))).distinct()
+    of = lambda c: points.select(
+        F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("point_a").to_pylist(), batch.column("point_b").to_pylist()
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            ok = pa.array([may_link(p, q, t, percent) for p, q, t in zip(x, y, total.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal ``key`` from batches sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -449,11 +495,16 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     labelled = inside.join(rough, "doc", "left").select(
         "list", "doc", "n", F.coalesce("label", "doc").alias("label")
     )
-    open_ = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    mixed_ = pin(labelled.join(open_.select("list"), "list"))
-    points = _points(_only(named, mixed_.select(F.col("doc").alias("doc_id")).distinct()))
-    rows = mixed_.drop("n").join(points.withColumnRenamed("doc_id", "doc"), "doc")
-    others = pin(_tree_candidates(rows, percent).distinct().join(starred, ["a", "b"], "left_anti"))
+    sizes = labelled.groupBy("list").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
+    ).where("low < high")
+    split = pin(labelled.join(sizes.select("list", "size"), "list"))
+    points = pin(_points(_only(named, split.select(F.col("doc").alias("doc_id")).distinct())))
+    trees = split.where(F.col("size") > LEAF).drop("n", "size").join(points.withColumnRenamed("doc_id", "doc"), "doc")
+    found = _leaf_candidates(split.where(F.col("size") <= LEAF), points, percent).unionByName(
+        _tree_candidates(trees, percent)
+    )
+    others = pin(found.distinct().join(starred, ["a", "b"], "left_anti"))
     more = _verified(others, named, percent)
     lowest = firsts.groupBy("doc_id").agg(F.min("first").alias("a"))
     twins = firsts.join(lowest, "doc_id").where("a != first").select("a", F.col("first").alias("b"))

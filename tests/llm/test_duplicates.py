@@ -68,9 +68,10 @@ def brute_components(rows, percent=80):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_join_finds_the_components_of_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, leaf", [(4096, 32), (5, 2)])
+def test_join_finds_the_components_of_all_pairs(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
     rows = corpus()
     found = jaccard.join(table(spark, rows))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
@@ -108,9 +109,10 @@ def test_tree_rules_out_no_pair_that_links():
     bases = [words(rng, n) for n in (40, 60, 200)]
     texts = [" ".join(edited(rng, rng.choice(bases), rng.randrange(6))).encode() for _ in range(300)]
     sets, at = shingle_sets(texts)
-    points = [np.frombuffer(jaccard.point(sets[a:b]), np.uint8) for a, b in zip(at[:-1], at[1:])]
+    packed = [jaccard.point(sets[a:b]) for a, b in zip(at[:-1], at[1:])]
+    points = [jaccard.coordinates(p) for p in packed]
     groups = min(map(len, points))
-    folded = np.stack([p.reshape(-1, groups).sum(axis=0) for p in points]).astype(np.uint16)
+    folded = np.stack([jaccard.folded(p, groups) for p in points])
     ids = np.arange(len(texts))
     tree = jaccard.Tree(folded, np.diff(at), ids.copy(), ids)
     near = {(min(x, y), max(x, y)) for a, b in jaccard.tree_pairs(tree, tree, 80) for x, y in zip(a.tolist(), b.tolist())}
@@ -119,6 +121,8 @@ def test_tree_rules_out_no_pair_that_links():
         if similar(sets[at[i]:at[i + 1]], sets[at[j]:at[j + 1]], 80)
     }
     assert links and links <= near and len(near) < len(texts) ** 2 / 3
+    sizes = np.diff(at).tolist()
+    assert all(jaccard.may_link(packed[i], packed[j], sizes[i] + sizes[j], 80) for i, j in links)
 
 
 def test_lists_of_a_hot_key_are_written_in_parts(monkeypatch):
