@@ -96,7 +96,7 @@ def _split_hot_groups(
             for c in order
         ]
     )
-    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(keep_one_in)) == 0).agg(
+    sample = df.where(F.pmod(F.xxhash64(*group, *order), F.lit(keep_one_in)) == 0).agg(
         F.array_sort(F.collect_list(key)).alias("keys")
     )
     every = F.greatest(F.lit(1), F.ceil(F.size("keys") / splits)).cast("int")

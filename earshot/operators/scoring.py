@@ -65,8 +65,7 @@ def score_windows(windows: DataFrame, column: str, scorer) -> DataFrame:
 
         for batch in batches:
             scores = [
-                np.asarray(scorer(np.stack([np.asarray(list(x), dtype=np.float32)
-                                            for x in batch.iloc[i:i + SCORE_BATCH]])), dtype=np.float64)
+                np.asarray(scorer(_stacked(batch.iloc[i:i + SCORE_BATCH])), dtype=np.float64)
                 for i in range(0, len(batch), SCORE_BATCH)
             ]
             yield pd.Series(np.concatenate(scores) if scores else [], dtype="float64")
@@ -74,6 +73,13 @@ def score_windows(windows: DataFrame, column: str, scorer) -> DataFrame:
     return windows.withColumn("score", run(column))
 
 
+def _stacked(rows: pd.Series):
+    """One float32 array of all rows, flat or nested, without a Python object for each value."""
+    import numpy as np
+
+    return np.stack([np.stack(x) if x.dtype == object else x for x in rows]).astype(np.float32, copy=False)
+
+
 def half_precision(scores: DataFrame) -> DataFrame:
     """Scores after a round trip through half precision."""
 

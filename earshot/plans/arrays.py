@@ -307,7 +307,7 @@ def tail_holdout(spark, sf_dir):
 
 
 @query("smp13_cyclic_batches", f"""WITH {BANK_SQL},
-pos AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderstatus = 'P'),
+pos AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderstatus <> 'F'),
 adv AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderstatus = 'F'),
 steps AS (SELECT unnest(range(0, (SELECT CAST(ceil(2 * count(*) / 1024) AS BIGINT) FROM lineitem))) AS step),
 draws AS (
@@ -323,10 +323,10 @@ SELECT step, class, label, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum, C
 FROM draws JOIN examples USING (class, idx) GROUP BY ALL""")
 def cyclic_batches(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    by_status = {"positive": "P", "adversarial": "F"}
+    adversarial = F.col("o_orderstatus") == "F"
     parts = {"negative": bank(spark, sf_dir).select("idx", F.col("l_orderkey").alias("id"))}
-    for name, status in by_status.items():
-        rows = orders.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("id"))
+    for name, chosen in {"positive": ~adversarial, "adversarial": adversarial}.items():
+        rows = orders.where(chosen).select(F.col("o_orderkey").alias("id"))
         parts[name] = positions.row_positions(rows, [], ["id"], "idx")
     examples = None
     for name, rows in parts.items():

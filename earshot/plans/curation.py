@@ -315,7 +315,7 @@ def split_accounting(spark, sf_dir):
 
 SLOT_SQL = """
 texts AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS text_no, text FROM benchmark),
-custom AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS text_no, text FROM conversations WHERE turn = 0),
+custom AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS text_no, text FROM conversations),
 slots AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS slot FROM customer),
 chosen AS (
   SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS j FROM (
@@ -333,9 +333,9 @@ def slot_tables(spark, sf_dir):
         table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"], "text_no"
     ).drop("item_id")
     custom = splits.numbered(
-        table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text"),
-        ["conv_id"], "text_no",
-    ).drop("conv_id")
+        table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"),
+        ["conv_id", "turn"], "text_no",
+    ).drop("conv_id", "turn")
     slots = splits.numbered(
         table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "slot"
     ).select("slot")

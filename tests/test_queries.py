@@ -16,7 +16,10 @@ SAMPLE = [
     "src5_budgeted_ingest", "snk1_publish_read_back", "smp5_quota_cap", "jn8_slot_overlay",
     "smp7_balanced_pool", "aud2_recut_segments", "aud7_augmentation_plan", "aud4_mix_at_snr",
     "smp13_cyclic_batches", "agg11_stress_summary", "agg18_condition_report", "win8_margin_verdict",
-    "src9_npy_scan", "smp17_choose_candidate",
+    "src9_npy_scan", "smp17_choose_candidate", "agg13_interference_only", "src6_storage_keys",
+    "src7_ingest_report", "snk5_config_hash", "agg2_pool_job", "agg15_condition_mean_recall",
+    "agg17_condition_wins", "agg18_leaderboard", "udtf_refractory_events", "smp9_custom_injection",
+    "ml1_score_windows",
 ]
 
 
