@@ -52,6 +52,8 @@ BLOCK = 4096
 LIST = 50_000
 #: Leaves of a tree hold so many points, nodes so many children.
 LEAF, FAN = 32, 8
+#: Copies of one set are dealt into so many parts.
+SALTS = 16
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -468,11 +470,14 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     given = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     members = pin(_members(given))
     named = given.where("doc_id is not null")
-    sets = (
-        members.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"))
+    whole = members.where("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sets = whole.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # Only sets with copies are joined back, each under every salt: copies may be many.
+    copied = sets.where("copies > 1").select(
+        "a", "b", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")
     )
     firsts = pin(
-        members.where("n > 0 and doc_id is not null").join(sets, ["a", "b", "n"]).select("doc_id", "first", "n")
+        whole.join(copied, ["a", "b", "n", "salt"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n")
     )
 
     lists = _lists(_keyed(named, percent))
