@@ -470,11 +470,11 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     given = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     members = pin(_members(given))
     named = given.where("doc_id is not null")
-    whole = members.where("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    whole = members.where("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     sets = whole.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # Only sets with copies are joined back, each under every salt: copies may be many.
     copied = sets.where("copies > 1").select(
-        "a", "b", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")
+        "a", "b", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
     firsts = pin(
         whole.join(copied, ["a", "b", "n", "salt"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n")
