@@ -2,8 +2,8 @@
 
 A stream fires on a frame that scores at least the threshold and is no longer
 blocked; it then stays blocked for ``grouping`` further frames. State per stream
-is four numbers. Frames at or below the last one seen are dropped, so a replayed
-or late frame never counts twice. ``session_window`` would be wrong here: a hit
+is six numbers. Frames at or below the last one seen are dropped, so a replayed
+or late frame never counts twice; ``late`` says how many were. ``session_window`` would be wrong here: a hit
 extends a session, but it does not extend a refractory period.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from earshot.constants import METER_DECAY
 
 FRAME_SCHEMA = "stream_id long, frame_idx long, ts timestamp, score double"
 EVENT_SCHEMA = "stream_id long, frame_idx long, ts timestamp, score double, activations long"
-RATE_SCHEMA = "stream_id long, activations long, frames long, hours double, per_hour double, recent double"
-_STATE = "activations long, blocked_until long, last_frame long, frames long, recent double"
+RATE_SCHEMA = "stream_id long, activations long, frames long, hours double, per_hour double, recent double, late long"
+_STATE = "activations long, blocked_until long, last_frame long, frames long, recent double, late long"
 
 
 class _Counter(StatefulProcessor):
@@ -36,22 +37,29 @@ class _Counter(StatefulProcessor):
 
     def advance(self, rows: Iterator[pd.DataFrame]):
         """Feed the new frames of a stream; returns the state and the frames that fired."""
-        held = self.state.get() if self.state.exists() else (0, -1, -1, 0, 0.0)
-        activations, blocked, last, frames, recent = held
+        held = self.state.get() if self.state.exists() else (0, -1, -1, 0, 0.0, 0)
+        activations, blocked, last, frames, recent, late = held
         fresh = pd.concat(list(rows), ignore_index=True)
-        fresh = fresh[fresh["frame_idx"] > last].drop_duplicates("frame_idx").sort_values("frame_idx")
-        fired, counts = [], []
-        for place, (frame, score) in enumerate(zip(fresh["frame_idx"], fresh["score"])):
-            recent = max(recent * METER_DECAY ** (frame - last if frames else 1), score)
-            frames, last = frames + 1, int(frame)
-            if score >= self.threshold and frame >= blocked:
-                activations += 1
-                blocked = int(frame) + self.grouping + 1
-                fired.append(place)
-                counts.append(activations)
-        state = (int(activations), int(blocked), int(last), int(frames), float(recent))
+        is_late = fresh["frame_idx"] <= last
+        late += int(is_late.sum())
+        fresh = fresh[~is_late].drop_duplicates("frame_idx").sort_values("frame_idx")
+        frame, score = fresh["frame_idx"].to_numpy(), fresh["score"].to_numpy()
+        fired = []
+        if len(frame):
+            # The level is the highest score, each faded by its age at the last frame.
+            faded = recent * METER_DECAY ** float(frame[-1] - last) if frames else 0.0
+            recent = max(faded, float((score * METER_DECAY ** (frame[-1] - frame).astype(float)).max()))
+            frames, last = frames + len(frame), int(frame[-1])
+            hits = np.flatnonzero(score >= self.threshold)
+            at = np.searchsorted(frame[hits], blocked)
+            while at < len(hits):  # once for each event, not for each frame
+                fired.append(hits[at])
+                blocked = int(frame[hits[at]]) + self.grouping + 1
+                at = np.searchsorted(frame[hits], blocked)
+        counts = range(activations + 1, activations + len(fired) + 1)
+        state = (int(activations + len(fired)), int(blocked), int(last), int(frames), float(recent), int(late))
         self.state.update(state)
-        return state, fresh.iloc[fired].assign(activations=counts)
+        return state, fresh.iloc[fired].assign(activations=list(counts))
 
 
 class EventProcessor(_Counter):
@@ -70,12 +78,12 @@ class RateProcessor(_Counter):
         self.step_seconds = step_seconds
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (activations, _, last, frames, recent), _ = self.advance(rows)
+        (activations, _, last, frames, recent, late), _ = self.advance(rows)
         hours = (last + 1) * self.step_seconds / 3600
         yield pd.DataFrame({
             "stream_id": [key[0]], "activations": [activations], "frames": [frames],
             "hours": [hours], "per_hour": [activations / hours if hours else 0.0],
-            "recent": [recent],
+            "recent": [recent], "late": [late],
         })
 
 
