@@ -35,17 +35,44 @@ from earshot.llm import arrow
 from earshot.llm.memo import Memo
 
 SPACE = "▁"
+MAX_PAIRS = 500_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
 
+def _load(path: str) -> model_format.ModelProto:
+    proto = model_format.ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
+    return proto
+
+
+class Decoder:
+    """The bytes of each id."""
+
+    def __init__(self, path: str):
+        proto = _load(path)
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.raw, byte = [], 0
+        for piece in proto.pieces:
+            if piece.type == _BYTE:
+                self.raw.append(bytes([byte]))
+                byte += 1
+            elif piece.type == _UNKNOWN:
+                self.raw.append(" ⁇ ".encode())
+            else:
+                self.raw.append(piece.piece.replace(SPACE, " ").encode() if piece.type == _NORMAL else b"")
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
 class Pieces:
     """The pieces of a model file, as a trie, with what the lattice asks about them."""
 
     def __init__(self, path: str):
-        proto = model_format.ModelProto()
-        with open(path, "rb") as file:
-            proto.ParseFromString(file.read())
+        proto = _load(path)
         form = proto.normalizer_spec
         if form.precompiled_charsmap or form.remove_extra_whitespaces or not form.escape_whitespaces:
             raise ValueError("only models that leave the text as it is can be read")
@@ -64,7 +91,8 @@ class Pieces:
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.halves: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: What is known of pairs, by left << 20 | right.
+        self.pairs: dict[int, bool] = {}
         usable = self.ids
         if self.merges:
             usable = {p: i for p, i in self.ids.items() if self._merged(p) == i}
@@ -76,10 +104,6 @@ class Pieces:
                 entry = here.setdefault(char, [{}, None])
                 here = entry[0]
             entry[1] = i
-        self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for p in proto.pieces]
-        for value, i in enumerate(self.bytes):
-            self.raw[i] = bytes([value])
-        self.raw[self.unknown] = " ⁇ ".encode()
 
     def _merged(self, piece: str) -> int | None:
         """The id merging gives for a piece alone, remembering its last merge; or None."""
@@ -104,11 +128,11 @@ class Pieces:
         Their merges are undone from the last to the first. If ever the pieces at the
         seam could have merged before the merge just undone, they would have.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 20 | right)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._holds(left, right)
+            known = self.pairs[left << 20 | right] = self._holds(left, right)
         return known
 
     def _holds(self, left: int, right: int) -> bool:
@@ -186,7 +210,7 @@ class Stream:
                     single = True
                 if merges:
                     if nodes[at] is None:
-                        fits = before < 0 or pairs.get((before, piece))
+                        fits = before < 0 or pairs.get(before << 20 | piece)
                         if fits or fits is None and pieces.may_follow(before, piece):
                             nodes[at] = (0.0, start, piece)
                 else:
@@ -238,8 +262,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.words = Memo(self._words)
-        self.stretches = Memo(lambda texts: map(self._search, texts))
+        self.words = Memo(self._words, 200_000)
+        self.stretches = Memo(lambda texts: map(self._search, texts), 200_000)
         self._cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.pieces.cuts_at_space else None
 
     def _search(self, text: str) -> bytes:
@@ -267,16 +291,17 @@ class Encoder:
         ready = [(SPACE if self.pieces.prefix and t else "") + t.replace(" ", SPACE) for t in texts]
         return self.words.join_all([self._cut.findall(t) if self._cut else [t] * bool(t) for t in ready])
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.pieces.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.pieces.prefix and text.startswith(" ") else text
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text (array of int)."""
 
@@ -298,7 +323,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
     """``docs`` with the text of each list of ids; null counts as no ids."""
 
     def make():
-        held = encoder(model)
+        held = decoder(model)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(ids)
