@@ -21,7 +21,8 @@ therefore first dealt into many small trees, without losing a link:
   most copies into components, and only texts of different components go through the
   trees: no list of copies is ever paired with itself.
 * A list that fits in a leaf is one; its pairs are bounded once however many lists they
-  share. Lists longer than ``BLOCK`` are dealt into blocks, and each pair of blocks is a tree
+  share. Longer lists with the same first text become one, so that each of their pairs
+  is bounded about once. Lists longer than ``BLOCK`` are dealt into blocks, and each pair of blocks is a tree
   join of its own.
 
 Equal sets are one member of the join, the one with the smallest id.
@@ -498,14 +499,18 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     rough = components(links, rounds=2)
 
     labelled = inside.join(rough, "doc", "left").select(
-        "list", "doc", "n", F.coalesce("label", "doc").alias("label")
+        "list", "doc", "n", first.alias("head"), F.coalesce("label", "doc").alias("label")
     )
     sizes = labelled.groupBy("list").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
     ).where("low < high")
     split = pin(labelled.join(sizes.select("list", "size"), "list"))
     points = pin(_points(_only(named, split.select(F.col("doc").alias("doc_id")).distinct())))
-    trees = split.where(F.col("size") > LEAF).drop("n", "size").join(points.withColumnRenamed("doc_id", "doc"), "doc")
+    # Long lists with one head overlap: together they are one list, which has all their pairs.
+    trees = (
+        split.where(F.col("size") > LEAF).select(F.col("head").alias("list"), "doc", "label").distinct()
+        .join(points.withColumnRenamed("doc_id", "doc"), "doc")
+    )
     found = _leaf_candidates(split.where(F.col("size") <= LEAF), points, percent).unionByName(
         _tree_candidates(trees, percent)
     )
