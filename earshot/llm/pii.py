@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, insort
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,21 +54,33 @@ _DIGIT_WORDS = {
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _OPEN, _SHUT = r"[(\[{<]", r"[)\]}>]"
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
-_DOT = rf"\s{{0,9}}{_OPEN}\s{{0,9}}(?:{_DOT_WORD}|\.)\s{{0,9}}{_SHUT}\s{{0,9}}|(?<=[\w)])\s{{1,9}}{_DOT_WORD}\s{{1,9}}(?=\w)"
-#: A bare "at" is only a sign before a domain that is spelled out to one of these.
+_BRACKETED = rf"\s{{0,9}}{_OPEN}\s{{0,9}}(?:{_DOT_WORD}|\.)\s{{0,9}}{_SHUT}\s{{0,9}}"
+_DOT = rf"{_BRACKETED}|(?<=[\w)])\s{{1,9}}{_DOT_WORD}\s{{1,9}}(?=\w)"
+#: A bare "at" is only a sign before a domain that is spelled out: to any ending after a
+#: bracketed dot or a "dot" that isn't a noun, and to one of these after "point", "punkt"
+#: and "punto" ("at this point in").
 _TOP = "(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|at|ch|fr|be|ca|es|mx|it|nl|pl|ru|example|test)"
-_DISGUISE = re.compile(
-    rf"(?P<digits>(?<!\w){_WORD}(?:[\s,-]{{1,3}}{_WORD})*(?!\w))"
-    rf"|(?P<plus>(?<!\w)plus\s{{1,9}}(?=[0-9]|{_WORD}\b))"
-    rf"|(?P<at>\s{{0,9}}{_OPEN}\s{{0,9}}(?:at|@)\s{{0,9}}{_SHUT}\s{{0,9}}"
-    rf"|\s{{1,9}}at\s{{1,9}}(?=(?:[A-Za-z0-9-]{{1,63}}(?:{_DOT})){{1,4}}{_TOP}\b))"
-    rf"|(?P<dot>{_DOT})",
-    re.IGNORECASE,
+_NOUN = (
+    r"(?:the|an?|this|that|these|those|each|every|any|some|one|no|its|his|her|their|my|our|your|which|what)\s{1,9}dot\b"
+)
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_DOMAIN_AHEAD = (
+    rf"(?=(?:{_LABEL}(?:{_DOT})){{1,4}}{_TOP}\b"
+    rf"|(?!{_NOUN})(?:{_LABEL}(?:{_DOT})){{0,3}}{_LABEL}(?:{_BRACKETED}|\s{{1,9}}dot\s{{1,9}})[a-z]{{2,63}}\b)"
 )
+_DISGUISES = {
+    "digits": rf"(?P<digits>(?<!\w){_WORD}(?:[\s,-]{{1,3}}{_WORD})*(?!\w))",
+    "plus": rf"(?P<plus>(?<!\w)plus\s{{1,9}}(?=[0-9]|{_WORD}\b))",
+    "signs": rf"(?P<at>\s{{0,9}}{_OPEN}\s{{0,9}}(?:at|@)\s{{0,9}}{_SHUT}\s{{0,9}}|\s{{1,9}}at\s{{1,9}}{_DOMAIN_AHEAD})"
+    rf"|(?P<dot>{_DOT})",
+}
 _EACH_WORD = re.compile(_WORD, re.IGNORECASE)
-_SIGN = re.compile(rf"{_OPEN}\s{{0,9}}(?:at|@|\.|{_DOT_WORD})\s{{0,9}}{_SHUT}|\s{_DOT_WORD}\s", re.IGNORECASE)
-#: Enough spelled digits for the shortest identifier, four numbers of one digit.
-_SPELLED = re.compile(rf"(?<!\w){_WORD}(?!\w)", re.IGNORECASE)
+_SIGN = re.compile(rf"{_OPEN}\s{{0,9}}(?:at|@|\.|{_DOT_WORD})\s{{0,9}}{_SHUT}", re.IGNORECASE)
+#: Runs of the letters that the words of the disguises are made of.
+_RUN = re.compile("[" + "".join(sorted(set("".join(_DIGIT_WORDS) + "abcdefghijklmnopqrstuvwxyz"))) + "]+")
+_DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
+#: Letters that ignoring case equates with ASCII ones, though lower() doesn't.
+_CASELESS = {0x130: "i", 0x131: "i", 0x17F: "s"}
 
 Span = tuple[str, int, int]
 
@@ -162,6 +175,9 @@ def _letters(source: Rewritten) -> Rewritten:
 
 def _signs(source: Rewritten) -> Rewritten:
     text = source.text
+    kinds = _kinds(text)
+    if not kinds:
+        return source
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
@@ -173,7 +189,7 @@ def _signs(source: Rewritten) -> Rewritten:
         ends.append(b)
 
     done = 0
-    for m in _DISGUISE.finditer(text):
+    for m in _pattern(kinds).finditer(text):
         out.append(text[done:m.start()])
         starts.extend(source.starts[done:m.start()])
         ends.extend(source.ends[done:m.start()])
@@ -189,22 +205,26 @@ def _signs(source: Rewritten) -> Rewritten:
     return Rewritten("".join(out), starts, ends)
 
 
-def _may_hide(text: str) -> bool:
-    low = text.lower()
-    if any(x in low for x in ("at", "@", "dot", "punkt", "point", "punto")) and _SIGN.search(text):
-        return True
-    spelled = 0
-    for _ in _SPELLED.finditer(text):
-        spelled += 1
-        if spelled >= 4:
-            return True
-    return False
+def _kinds(text: str) -> tuple[str, ...]:
+    """The parts of ``_DISGUISES`` that may match somewhere in a text.
+
+    A part that is left out can't: it needs one of its words, whole, or a bracketed sign.
+    """
+    words = set(_RUN.findall((text if text.isascii() else text.translate(_CASELESS)).lower()))
+    return tuple(kind for kind, may in (
+        ("digits", not words.isdisjoint(_DIGIT_WORDS)), ("plus", "plus" in words),
+        ("signs", not words.isdisjoint(_DOT_WORDS) or _SIGN.search(text)),
+    ) if may)
+
+
+@cache
+def _pattern(kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(_DISGUISES[kind] for kind in kinds), re.IGNORECASE)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only show once the text is rewritten."""
-    first = _letters(Rewritten(text))
-    second = _signs(first) if _may_hide(first.text) else first
+    second = _signs(_letters(Rewritten(text)))
     if second.text == text:
         return []
     taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}

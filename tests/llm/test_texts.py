@@ -138,6 +138,35 @@ def test_disguises(hidden, kind):
         assert [s for s in found if s[0] == kind or not kind] == want, found
 
 
+@pytest.mark.parametrize("hidden, kind", [
+    ("+1 415 five five five 0199", "phone"), ("plus 49 170 1234567", "phone"), ("PLUS 49 one seven 0 1234567", "phone"),
+    ("4111 1111 1111 one one one 1", "card"), ("192.168.one.one", "ip"), ("10(.)0(.)0(.)1", "ip"),
+    ("10.0.0.fıve", "ip"), ("10 punkt 0 punkt 0 punkt eins", "ip"),
+    ("john at example [dot] museum", "email"), ("john at example(.)museum", "email"),
+    ("john at mail dot example dot museum", "email"), ("john at example dot xyz", "email"),
+])
+def test_disguises_in_part(hidden, kind):
+    for after in ("", ", one of us", " (at) x dot y one two three four"):
+        text = f"Ça: {hidden}; that{after}"
+        assert (kind, 4, 4 + len(hidden)) in pii.disguised(text, pii.plain(text)), text
+
+
+def test_bare_at_before_prose_is_no_sign():
+    for text in ("We met at this point in time.", "Wait at every dot you see.", "See it at West Point in May; one plus one is two."):
+        assert pii.disguised(text, pii.plain(text)) == []
+
+
+def test_parts_left_out_of_a_text_match_nothing_in_it():
+    rng = random.Random(11)
+    bits = [*pii._DIGIT_WORDS, "PLUS ", " dot ", "(", ".", ")", " at ", "[AT]", " ", "1", "fİve", "fıve", "x", "é", "com", "_", "-", "{ Punkt }"]
+    for _ in range(4000):
+        source = pii._letters(pii.Rewritten("".join(rng.choice(bits) for _ in range(rng.randrange(12)))))
+        whole = pii._pattern(tuple(pii._DISGUISES)).finditer(source.text)
+        kinds = pii._kinds(source.text)
+        some = pii._pattern(kinds).finditer(source.text) if kinds else ()
+        assert [(m.lastgroup, m.span()) for m in whole] == [(m.lastgroup, m.span()) for m in some], source.text
+
+
 def test_clean_texts_have_no_disguised_spans():
     for text in ("Look at the dot on one of two maps.", "At example.com we met at two.", "one two three four five", "Ǆ ſeven İ fİve"):
         assert pii.disguised(text, pii.plain(text)) == []
