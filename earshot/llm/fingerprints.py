@@ -2,14 +2,16 @@
 
 A paragraph (a line that isn't blank, trimmed) becomes a wide vector: counts of itself
 and its sentences, its hash in ``EQUAL`` lanes, and the hashes of its sentences, each
-added in one lane of a fine part and, for one sentence in ``COARSE``, of a coarse one.
+added in one lane of a fine part and, for one sentence in ``COARSE``, of a coarser one,
+for one of those in ``COARSE`` of a still coarser one, and so on for ``PARTS`` parts.
 A document's fingerprint is the sum of these vectors, lane by lane, modulo powers of
 two. The order of paragraphs doesn't matter, equal multisets have equal fingerprints,
 and paragraphs go in or out by adding or subtracting their fingerprint (``combine``).
 
 Two fingerprints differ in a lane where a sentence of only one of them fell. The share
 of equal lanes thus tells how many sentences differ, and ``likeness`` sets that
-against how many there are.
+against how many there are. It uses the finest part with lanes to spare; the last part
+has them for any text that a string can hold.
 
 Cases: a null text counts as empty; a text without paragraphs has the zero
 fingerprint; repeated paragraphs count as often as they occur; rows that share an id
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 EQUAL = 4
 LANES = 64
 COARSE = 16
+PARTS = 7
 #: Hex digits of a count or paragraph lane (modulo 2^32) and of a sentence lane (2^16).
 WIDE, NARROW = 8, 4
 HEAD = 2 + EQUAL
@@ -57,6 +60,11 @@ def _bits(hashed: Column, shift: int, digits: int) -> Column:
     return F.pmod(F.shiftrightunsigned(hashed, shift), F.lit(1 << 4 * digits).cast("long"))
 
 
+def _drawn(hashed: Column, level: int) -> Column:
+    """0 for one hash in ``COARSE``: by four bits for each level that no lane reads."""
+    return F.pmod(F.shiftrightunsigned(hashed, 44 + 4 * level if level < 5 else 4 * level - 12), F.lit(COARSE))
+
+
 def _lanes(hashes: Column) -> Column:
     """Each hash's middle bits added in the lane its low bits name."""
     zero = F.array_repeat(F.lit(0).cast("long"), LANES)
@@ -89,11 +97,13 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         F.col("_np"), F.size("_s").cast("long"),
         *[_sum(F.col(of), shift, WIDE) for of in ("_a", "_b") for shift in (0, 32)],
     )
-    coarse = F.filter("_s", lambda h: _bits(h, 48, NARROW) % COARSE == 0)
-    return units.select(
-        *columns,
-        F.concat(_hex(wide, WIDE), _hex(_lanes(F.col("_s")), NARROW), _hex(_lanes(coarse), NARROW)).alias(out),
-    )
+    # The hashes are gone through once; each further draw only reads one in COARSE.
+    units = units.withColumn("_d", F.filter("_s", lambda h: _drawn(h, 1) == 0))
+    parts, kept = [_hex(_lanes(F.col("_s")), NARROW)], F.col("_d")
+    for level in range(1, PARTS):
+        kept = F.filter(kept, lambda h: _drawn(h, level) == 0) if level > 1 else kept
+        parts.append(F.when(F.size(kept) > 0, _hex(_lanes(kept), NARROW)).otherwise("0" * LANES * NARROW))
+    return units.select(*columns, F.concat(_hex(wide, WIDE), *parts).alias(out))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -108,7 +118,7 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), lane), "")
 
-    return F.concat(part(0, HEAD, WIDE), part(HEAD * WIDE, 2 * LANES, NARROW))
+    return F.concat(part(0, HEAD, WIDE), part(HEAD * WIDE, PARTS * LANES, NARROW))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,7 +126,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     The number of different sentences that one of ``n`` lanes' worth of sums tells apart
     follows from the share of lanes left equal. Counted so, the sentences of one side
-    only are set against those of both. The coarse part serves when the fine one is full.
+    only are set against those of both. A part that is full gives way to the next one.
     """
 
     def lane(v: Column, first: int, i: Column) -> Column:
@@ -139,12 +149,11 @@ def likeness(a: Column, b: Column) -> Column:
         total = different(left) + different(right)
         return F.when(total > 0, F.greatest(F.lit(0.0), 1 - different(same) / total)).otherwise(0.0)
 
-    fine = HEAD * WIDE
-    clear = F.least(*shares(fine)) > 0.05
-    return (
-        F.when(a == b, 1.0).when(clear, common(fine))
-        .otherwise(common(fine + LANES * NARROW)).cast("double")
-    )
+    starts = [HEAD * WIDE + k * LANES * NARROW for k in range(PARTS)]
+    out = common(starts[-1])
+    for first in reversed(starts[:-1]):
+        out = F.when(F.least(*shares(first)) > 0.05, common(first)).otherwise(out)
+    return F.when(a == b, 1.0).otherwise(out).cast("double")
 
 
 def with_next(df: DataFrame, key: str, carried: list[str], ties: list[str]) -> DataFrame:

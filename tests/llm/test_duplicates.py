@@ -218,6 +218,22 @@ def test_fingerprints_add_up(spark):
     assert row.same == 1 and row.none < 0.15 < row.part < 0.5  # 5 of 35 sentences: 10 / 40
 
 
+@pytest.mark.parametrize("n", [100, 3000, 5000, 12_000, 40_000])
+def test_likeness_of_long_texts(spark, n):
+    text = lambda first: "\n".join(f"sentence {k}." for k in range(first, first + n))
+    rows = [(0, text(0)), (1, text(n)), (2, text(n // 2)), (3, text(n) + "\n" + text(2 * n))]
+    prints = fingerprints.with_fingerprint(table(spark, rows), "text", "label")
+    found = {r.doc_id: r.label for r in prints.collect()}
+    pairs = spark.createDataFrame([(found[0], found[1]), (found[0], found[2])], "a string, b string")
+    none, half = (r[0] for r in pairs.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect())
+    assert none < 0.2 and 0.3 < half < 0.7, (none, half)
+    rest = spark.createDataFrame([(found[3], found[1])], "a string, b string").select(
+        fingerprints.combine(F.col("a"), F.col("b"), -1).alias("x")
+    ).first().x
+    after = fingerprints.with_fingerprint(table(spark, [(4, text(2 * n))]), "text", "label").first().label
+    assert rest == after
+
+
 @pytest.mark.parametrize("per_piece", [20_000, 4])
 def test_next_document_in_every_cut(spark, monkeypatch, per_piece):
     monkeypatch.setattr(fingerprints, "ROWS_PER_PIECE", per_piece)
