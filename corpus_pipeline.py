@@ -13,10 +13,14 @@ from earshot.session import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go; missing labels are filled in."""
+    """Documents without a letter go; missing labels are filled in.
+
+    Where nothing was learned, every document with a letter stays, with the label it has.
+    """
     model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    told = language.predict(docs, model).where(F.col("lang_pred") != language.UNDECIDED)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = F.col("lang_pred") != language.UNDECIDED
+    kept = language.predict(docs, model).where(found | F.col("score").isNull())
+    return kept.withColumn("lang", F.coalesce("lang", F.when(found, F.col("lang_pred")))).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ language whose prototype has the highest cosine with it, which is its score.
 Letters are lower-cased; anything else is a boundary, which also stands at both ends
 of a text, and n-grams reach over no boundary.
 
-Cases: a text that is null, empty or without a letter is ``und`` with score 0; so is
-every text when nothing was learned; rows without a text or a label teach nothing;
+Cases: a text that is null, empty or without a letter is ``und`` with score 0; any other
+is ``und`` with a null score when nothing was learned; rows without a text or a label teach nothing;
 equal cosines go to the label first in order; repeated rows count each time; extra
 columns pass through, and those named like a result give way to it. A text of any
 length is worked on whole, in memory in proportion to its length.
@@ -146,12 +146,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     names = sorted(prototypes)
     units = np.stack([prototypes[n] / max(1.0, np.linalg.norm(prototypes[n])) for n in names]) if names else None
 
-    def decide(texts: list[str]) -> list[tuple[str, float]]:
+    def decide(texts: list[str]) -> list[tuple[str, float | None]]:
         found = bundle(texts).astype(np.float64)
         lengths = np.linalg.norm(found, axis=1)
         has_letter = lengths > 0
         if units is None:
-            return [(UNDECIDED, 0.0)] * len(texts)
+            return [(UNDECIDED, None if ok else 0.0) for ok in has_letter]
         cosines = found @ units.T / np.maximum(lengths, 1e-9)[:, None]
         best = cosines.argmax(axis=1)
         return [

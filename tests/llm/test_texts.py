@@ -375,6 +375,18 @@ def test_movement_stays_in_the_subtree_whose_weight_changes(spark):
 # The pipeline.
 
 
+@pytest.mark.parametrize("labelled", [None, 0, 1])
+def test_language_stage_without_labels_to_learn_from(spark, labelled):
+    keys = spark.range(50).withColumn("aside", language.held_out(F.col("id"))).collect()
+    aside = next(r.id for r in keys if r.aside)
+    taught = next(r.id for r in keys if not r.aside)
+    label = {None: {}, 0: {aside: "en"}, 1: {taught: "en"}}[labelled]
+    rows = [(aside, "a clean text", label.get(aside)), (taught, "another text", label.get(taught)), (60, "12 3", None), (61, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == ({aside: "en", taught: "en"} if labelled else {aside: label.get(aside), taught: None})
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(3)
     prose = lambda n: " ".join("".join(rng.choice("aeioutrns") for _ in range(rng.randrange(1, 8))) for _ in range(n))
