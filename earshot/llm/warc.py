@@ -3,8 +3,11 @@
 A response record holds an HTTP message. From each one come a ``metadata`` record
 (``application/warc-fields``: title, language, outlinks, sizes) and a ``conversion``
 record (the text of its HTML), both of which name the response in ``WARC-Refers-To``,
-keep its target URI, date and the source headers it came with, and carry a block
-digest of their own; the metadata record also keeps the response's payload digest.
+keep its target URI, date and the headers it came with, and carry a block digest of
+their own and the digest of the response's payload as computed here. Source headers keep
+their names, but those that a record has of its own or that describe the source's block
+get the prefix ``Source-``, its stated digests among them. HTTP headers are fields of
+the metadata record.
 
 Records are rows: named header fields in order, and the block. ``serialise`` writes a
 row in the file format and ``parse`` reads such bytes back, so a file is a row's bytes
@@ -76,6 +79,25 @@ def record_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{kind} {source}')}>"
 
 
+#: Headers that on a derived record would speak of that record.
+_OF_SOURCE = frozenset(
+    "warc-type warc-record-id warc-date warc-target-uri warc-refers-to warc-refers-to-target-uri "
+    "warc-refers-to-date content-type content-length warc-block-digest warc-payload-digest warc-truncated "
+    "warc-identified-payload-type warc-profile warc-filename warc-segment-number warc-segment-origin-id "
+    "warc-segment-total-length".split()
+)
+
+
+def carried(source: dict) -> list[tuple[str, str]]:
+    """The source's headers as derived records have them, without what they say anyway."""
+    said = {"warc-record-id": "record_id", "warc-date": "date", "warc-target-uri": "target_uri"}
+    return [
+        (f"Source-{name}" if low in _OF_SOURCE else name, value)
+        for name, value in ((h["name"], h["value"] or "") for h in source["headers"])
+        if (low := name.lower()) not in said or value != source[said[low]]
+    ]
+
+
 class Page(NamedTuple):
     title: str
     lang: str
@@ -171,19 +193,16 @@ def derive(source: dict) -> list[dict]:
     page = read_page(text, source["target_uri"]) if is_html else Page("", "", [], "")
     facts = [
         ("http-status", status), ("http-content-type", media), ("payload-length", str(len(body))),
+        *[("http-header", f"{n}: {v}") for n, v in http],
         ("title", page.title), ("language", page.lang),
         *[("outlink", f"{' '.join(x.split())} L a/@href") for x in page.links],
     ]
     block = "".join(f"{n}: {v}\r\n" for n, v in facts if v).encode("utf-8", "replace")
-    # Headers of the source that name its origin go along with both records.
-    kept = [
-        (h["name"], h["value"]) for h in source["headers"]
-        if h["name"].lower() in ("warc-warcinfo-id", "warc-ip-address", "warc-concurrent-to", "warc-source-uri")
-    ]
+    kept = carried(source)
     payload = digest(body)
     out = [_record("metadata", source, "application/warc-fields", block, payload, kept)]
     if is_html:
-        out.append(_record("conversion", source, "text/plain; charset=utf-8", page.text.encode("utf-8", "replace"), None, kept))
+        out.append(_record("conversion", source, "text/plain; charset=utf-8", page.text.encode("utf-8", "replace"), payload, kept))
     return out
 
 

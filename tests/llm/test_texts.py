@@ -330,6 +330,35 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0)), "page_id").count() == 0
 
 
+def test_warc_derivatives_keep_every_source_header():
+    block = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nServer: x\r\nX-Empty:\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n<p>t"
+    headers = [
+        ("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("warc-date", "d"), ("WARC-Target-URI", "u"),
+        ("WARC-IP-Address", "1.2.3.4"), ("WARC-Identified-Payload-Type", "text/html"), ("WARC-Truncated", "length"),
+        ("X-Crawl", "7"), ("X-Crawl", "8"), ("WARC-Concurrent-To", "<q>"), ("WARC-Payload-Digest", "sha256:p"),
+        ("WARC-Block-Digest", "md5:b"), ("Content-Type", "application/http"), ("Content-Length", "99"),
+    ]
+    rows = warc.derive({
+        "record_id": "<r>", "target_uri": "u", "date": "d", "block": block,
+        "headers": [{"name": n, "value": v} for n, v in headers],
+    })
+    assert [r["warc_type"] for r in rows] == ["metadata", "conversion"]
+    same = ("WARC-IP-Address", "X-Crawl", "WARC-Concurrent-To")
+    want = [(n if n in same else f"Source-{n}", v) for n, v in headers if n not in ("WARC-Record-ID", "warc-date", "WARC-Target-URI")]
+    for r in rows:
+        found = [(h["name"], h["value"]) for h in r["headers"]]
+        assert [x for x in found if x in want] == want
+        own = dict(x for x in found if x not in want)
+        assert own["WARC-Payload-Digest"] == r["payload_digest"] == warc.digest(b"<p>t")
+        assert own["WARC-Block-Digest"] == warc.digest(r["block"]) and own["WARC-Refers-To"] == "<r>"
+        names = [n.lower() for n, _ in found if n != "X-Crawl"]
+        assert len(names) == len(set(names))
+    facts = rows[0]["block"].decode().split("\r\n")
+    assert [x for x in facts if x.startswith("http-header")] == [
+        f"http-header: {x}" for x in ("Content-Type: text/html", "Server: x", "X-Empty: ", "Set-Cookie: a", "Set-Cookie: b")
+    ]
+
+
 # Shards.
 
 
