@@ -45,9 +45,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, beside its columns."""
-    ids = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return ids.withColumn("n_ids", F.size("ids").cast("long"))
+    """The ids of each document, beside its columns, and whether they decode to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(docs, model), model)
+    return found.select(
+        *docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
 
 
 STAGES = [

@@ -416,6 +416,14 @@ def test_language_stage_without_labels_to_learn_from(spark, labelled):
     assert kept == ({aside: "en", taught: "en"} if labelled else {aside: label.get(aside), taught: None})
 
 
+def test_last_stage_decodes(spark):
+    texts = {1: "a text", 2: "with ▁ in it", 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = corpus_pipeline.tokens(spark, docs, "")
+    assert found.columns == ["doc_id", "text", "ids", "n_ids", "round_trip"]
+    assert {r.doc_id: r.round_trip for r in found.collect()} == {1: True, 2: False, 3: True}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(3)
     prose = lambda n: " ".join("".join(rng.choice("aeioutrns") for _ in range(rng.randrange(1, 8))) for _ in range(n))
