@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,3 +52,25 @@ def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of texts, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+
+
+def meetings(batches: Iterator[pa.RecordBatch], key: str, side: str) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
+    """Of rows sorted by ``key`` and ``side``: all rows of a key on side 0, with some of its rows on side 1.
+
+    The first is held, and is the same object as long as the key is; the second streams.
+    """
+    held: list[pa.RecordBatch] = []
+    table, current = None, None
+    for batch in batches:
+        keys, sides = batch.column(key).to_numpy(), batch.column(side).to_numpy()
+        new = np.flatnonzero((keys[1:] != keys[:-1]) | (sides[1:] != sides[:-1])) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if keys[a] != current:
+                held, table, current = [], None, keys[a]
+            if sides[a] == 0:
+                held.append(batch.slice(a, b - a))
+            elif held:
+                table = table or pa.Table.from_batches(held)
+                yield table, batch.slice(a, b - a)

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import contamination, fingerprints, jaccard, language, lines, oracles, pieces, pii, sharding, tokenfiles, warc
+from earshot.llm import (
+    contamination, fingerprints, jaccard, language, lines, oracles, pieces, pii, sharding, tokenfiles, variants, warc,
+)
 from earshot.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +131,9 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of shingles, and its component."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and its root."""
+    return variants.group(_table(spark, sf_dir, "documents"))
