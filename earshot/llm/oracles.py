@@ -66,3 +66,25 @@ SELECT d.doc_id, coalesce(len(d.words), 0)::BIGINT AS n_words, coalesce(n_hit, 0
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(d.words), 0) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT place, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+asked AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), totals),
+m AS (SELECT place, doc_id, 100 - 50 + ((50 * n * docs) // words) AS m FROM n, totals WHERE doc_id IS NOT NULL),
+scored AS (
+  SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN m USING (place) GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 50
+"""

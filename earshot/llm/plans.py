@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import (
-    contamination, fingerprints, jaccard, language, lines, oracles, pieces, pii, sharding, tokenfiles, variants, warc,
+    contamination, fingerprints, jaccard, language, lexical, lines, oracles, pieces, pii, sharding, tokenfiles, variants, warc,
 )
 from earshot.session import ensure_checkpoint_dir
 
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {
     "op1_count_vector_tree": oracles.OP1,
     "op5_line_windows": oracles.OP5,
     "op6_aho_corasick": oracles.OP6,
+    "op11_shared_terms": oracles.OP11,
 }
 
 
@@ -137,3 +138,9 @@ def op1_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its near words, its form and its root."""
     return variants.group(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
