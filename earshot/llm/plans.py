@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import (
-    contamination, fingerprints, jaccard, language, lexical, lines, oracles, pieces, pii, sharding, tokenfiles, variants, warc,
+    contamination, fingerprints, jaccard, language, lexical, lines, neighbours, oracles, pieces, pii, sharding, tokenfiles, variants, warc,
 )
 from earshot.session import ensure_checkpoint_dir
 
@@ -144,3 +144,9 @@ def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every benchmark item."""
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
