@@ -1,27 +1,44 @@
-"""Encodings of words, remembered by a worker within a bound."""
+"""Encodings of words, remembered within a bound of bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from itertools import chain
 
+#: About what a word and its encoding take besides their contents.
+_ENTRY = 200
+#: Longer words are encoded each time, so that one of them can't take the whole bound.
+LONG = 256
+
 
 class Memo:
-    """Bytes for each word. Two generations of at most ``bound`` words are kept: when the
-    young one is full it becomes the old one, and words still in use move on."""
+    """Bytes for each word. Two generations of about ``bound`` bytes each are kept: when
+    the young one is full it becomes the old one, and words still in use move on."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], bound: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], bound: int):
         self.encode = encode
         self.bound = bound
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
+        self.passing: list[str] = []
 
     def of(self, words: set[str]) -> dict[str, bytes]:
-        """A table with (at least) these words."""
+        """A table with (at least) these words, good until the next call."""
+        for word in self.passing:
+            del self.known[word]
         new = words.difference(self.known)
-        if new and len(self.known) + len(new) > self.bound:
+        self.passing = [w for w in new if len(w) > LONG]
+        size = _ENTRY * len(new) + 2 * sum(map(len, new))
+        if self.passing:
+            size -= sum(_ENTRY + 2 * len(w) for w in self.passing)
+        if new and self.size and self.size + size > self.bound:
+            kept = words.difference(self.passing)
             self.old, self.known, new = self.known, {}, words
+            size = _ENTRY * len(kept) + 2 * sum(map(len, kept))
+            self.size = 0
         if new:
+            self.size += size
             self.known |= {w: self.old[w] for w in new.intersection(self.old)}
             listed = list(new.difference(self.old))
             self.known.update(zip(listed, self.encode(listed)))

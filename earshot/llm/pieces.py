@@ -258,12 +258,15 @@ class Stream:
 
 
 class Encoder:
-    """Whole texts to ids, by way of the stretches between forced boundaries."""
+    """Whole texts to ids, by way of the stretches between forced boundaries.
 
-    def __init__(self, path: str):
-        self.pieces = Pieces(path)
-        self.words = Memo(self._words, 200_000)
-        self.stretches = Memo(lambda texts: map(self._search, texts), 200_000)
+    What it remembers lives as long as it does, which is one task.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.words = Memo(self._words, 32 << 20)
+        self.stretches = Memo(lambda texts: map(self._search, texts), 24 << 20)
         self._cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.pieces.cuts_at_space else None
 
     def _search(self, text: str) -> bytes:
@@ -292,31 +295,38 @@ class Encoder:
         return self.words.join_all([self._cut.findall(t) if self._cut else [t] * bool(t) for t in ready])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text (array of int)."""
+def encode(
+    docs: DataFrame, model: str, text: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with the ids of each text (array of int), and if asked for with what they decode to."""
 
     def make():
-        held = encoder(model)
+        held = Encoder(pieces_of(model))
+        back = decoder(model) if decoded else None
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             parts = held.encode(arrow.strings(batch.column(text)))
             ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-            return [pa.ListArray.from_arrays(pa.array(ends), values)]
+            found = [pa.ListArray.from_arrays(pa.array(ends), values)]
+            if back:
+                found.append(pa.array([back.decode(np.frombuffer(p, np.int32)) for p in parts], pa.string()))
+            return found
 
         return work
 
-    return arrow.map_columns(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    return arrow.map_columns(docs, fields + ([T.StructField(decoded, T.StringType())] if decoded else []), make)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

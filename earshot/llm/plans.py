@@ -114,7 +114,7 @@ def op7_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pieces.decode(pieces.encode(docs, model), model)
+    found = pieces.encode(docs, model, decoded="decoded")
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

@@ -44,6 +44,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _long_word(word: np.ndarray) -> np.uint64:
+    """The same sum for a word longer than a segment, piece by piece."""
+    up, _ = _powers(SEGMENT)
+    total, shift = 0, pow(_BASE, SEGMENT, 1 << 64)
+    for k in reversed(range(0, len(word), SEGMENT)):
+        piece = word[k:k + SEGMENT]
+        here = int((_OF_BYTE[piece] * up[:len(piece)]).sum(dtype=np.uint64))
+        total = (total * shift + here) % (1 << 64)
+    return np.uint64(total)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the number of its text."""
     flat = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_FOLD), np.uint8)
@@ -55,6 +66,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for a, b in zip(stops[:-1], stops[1:]):
         if a == b:
             continue
+        if ends[b - 1] - starts[b - 1] > SEGMENT:  # at most the last of a segment
+            b -= 1
+            hashes[b] = _long_word(flat[starts[b]:ends[b]])
+            if a == b:
+                continue
         first, last = starts[a], ends[b - 1]
         up, down = _powers(last - first + 1)
         sums = np.zeros(last - first + 1, np.uint64)

@@ -52,6 +52,8 @@ SAMPLE = 400
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Most tasks that read files.
+MAX_READERS = 100_000
 _END = struct.Struct("<QQ8s")
 
 #: White space, which the normal form makes one space and the word pattern leaves out.
@@ -78,8 +80,8 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words = Memo(self._words, 400_000)
-        self.parts = Memo(self._parts)
+        self.words = Memo(self._words, 96 << 20)
+        self.parts = Memo(self._parts, 48 << 20)
         self.by_word = True
         sample = "It's a TEST, of l'été; 10 words_and a\tü—ß."
         self.by_word = self._whole([sample])[0] == b"".join(self.encode([sample]))
@@ -264,9 +266,10 @@ def read(folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     one number for each, give where each file begins.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A stated number of partitions: the rows are few, and would be read by one task else.
     listed = manifest.select(
         "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")
-    ).repartition("file")
+    ).repartition(max(1, min(MAX_READERS, manifest.count())), "file")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from earshot.llm import contamination, language, pieces, pii, sharding, tokenfiles, warc
+from earshot.llm import contamination, language, memo, pieces, pii, sharding, shingles, tokenfiles, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -245,7 +246,7 @@ def test_unigram_search_is_that_of_the_library(tmp_path):
     path = tmp_path / "unigram.model"
     path.write_bytes(proto.SerializeToString())
     library = sentencepiece.SentencePieceProcessor(model_file=str(path))
-    held = pieces.Encoder(str(path))
+    held = pieces.Encoder(pieces.Pieces(str(path)))
     rng = random.Random(2)
     for _ in range(300):
         text = " ".join("".join(rng.choice("aeinrst,é世") for _ in range(rng.randrange(1, 12))) for _ in range(4))
@@ -253,7 +254,7 @@ def test_unigram_search_is_that_of_the_library(tmp_path):
 
 
 def test_streams_commit_as_they_go():
-    held = pieces.encoder(PIECES).pieces
+    held = pieces.pieces_of(PIECES)
     text = "▁" + "the▁quick▁brown▁fox▁" * 400
     for size in (1, 7, 1000):
         stream = pieces.Stream(held)
@@ -443,3 +444,62 @@ def test_pipeline(spark, tmp_path):
     assert all(r.ids == library.encode(r.text) and r.n_ids == len(r.ids) for r in rows.values())
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "n-gram jaccard join"
     assert hashlib.sha256(rows[1].text.encode()).digest() == hashlib.sha256(base.encode()).digest()
+
+
+def test_a_memo_keeps_to_its_bound_and_lets_long_words_pass():
+    held = memo.Memo(lambda words: [w.encode() for w in words], 20_000)
+    rng = random.Random(1)
+    for _ in range(300):
+        words = {f"w{rng.randrange(3000)}" for _ in range(20)} | {"x" * rng.choice([9, 5000])}
+        known = held.of(words)
+        assert all(known[w] == w.encode() for w in words)
+        assert sum(200 + 2 * len(w) for w in held.known if len(w) < memo.LONG) <= 20_000 + 5_000
+        assert sum(len(w) > memo.LONG for w in held.known) <= 1 and not any(len(w) > memo.LONG for w in held.old)
+
+
+def test_language_vectors_do_not_depend_on_the_cuts(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcéß語") for _ in range(5)) for _ in range(n)) for n in (0, 3, 400)] + ["語" * 900]
+    whole = language.bundle(texts)
+    grouped = language.bundle(texts, np.array([0, 1, 1, 0]), 2)
+    monkeypatch.setattr(language, "GRAMS", 7)
+    monkeypatch.setattr(language, "SEGMENT", 50)
+    assert np.array_equal(language.bundle(texts), whole)
+    assert np.array_equal(language.bundle(texts, np.array([0, 1, 1, 0]), 2), grouped)
+    assert np.array_equal(grouped[0], whole[0] + whole[3])
+
+
+def test_language_of_a_long_text_without_spaces_takes_bounded_memory():
+    rng = random.Random(3)
+    text = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(200_000))
+    tracemalloc.start()
+    language.bundle([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak
+
+
+def test_a_word_longer_than_a_segment_has_the_same_hash(monkeypatch):
+    texts = [b"aa " + b"abcdefg" * 4000 + b" bb cc", b"x" * 9000]
+    whole = shingles.word_hashes(texts)[0].tolist()
+    monkeypatch.setattr(shingles, "SEGMENT", 1000)
+    assert shingles.word_hashes(texts)[0].tolist() == whole
+
+
+def test_token_files_are_read_by_as_many_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of some") for i in range(200)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    written = tokenfiles.write(docs, f"file:{tmp_path}/ids", WORDS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    found = tokenfiles.read(f"file:{tmp_path}/ids", written)
+    assert written.count() > 2 and found.rdd.getNumPartitions() == written.count()
+    assert found.count() == 200
+
+
+def test_pipeline_keeps_the_row_with_the_least_text_of_those_with_one_id(spark, sf_dir):
+    rows = [(1, "b a c d e f", "en", 7), (1, "a b c d e f", "fr", 8), (1, "a b c d e f", "en", 9), (2, None, "x", 1), (None, "z", "x", 1), (None, "z", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[2], *rows[3:]], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
