@@ -31,11 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of alike documents the one with the smallest id stays.
 
-    Documents without an id can't be told apart and stay.
+    Of rows that share that id the one with the least text stays (nulls first, then by the
+    other columns). Documents without an id can't be told apart and stay.
     """
     first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return kept.select("doc_id", "row.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, beside its columns, and whether they decode to its text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.decode(pieces.encode(docs, model), model)
+    found = pieces.encode(docs, model, decoded="decoded")
     return found.select(
         *docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
