@@ -32,6 +32,8 @@ def map_columns(
                 if batch.num_rows:
                     arrays = [batch.column(f.name) for f in kept] + work(batch)
                     yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+        # Workers outlive their tasks; what was freed should go back to the system.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from earshot.llm import arrow
 from earshot.llm.memo import Memo
 
 SPACE = "▁"
-MAX_PAIRS = 500_000
+MAX_PAIRS = 150_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -265,8 +265,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.words = Memo(self._words, 32 << 20)
-        self.stretches = Memo(lambda texts: map(self._search, texts), 24 << 20)
+        self.words = Memo(self._words, 16 << 20)
+        self.stretches = Memo(lambda texts: map(self._search, texts), 12 << 20)
         self._cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.pieces.cuts_at_space else None
 
     def _search(self, text: str) -> bytes:
