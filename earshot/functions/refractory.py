@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right, insort
+
 import numpy as np
 
 
@@ -53,3 +56,38 @@ def entry_tables(local, owner, passing, chunk, gap, chunk_frames: int):
     events = np.where(hit, count[inside], 0)
     until = np.where(hit, local[last[inside]] + gap[rows[entry_row]] + 1, blocked)
     return rows, seen, sizes, events, until
+
+
+def step_events(frames, scores, gap: int):
+    """Events that each hit adds when hits join one by one from the highest score down.
+
+    ``frames`` is sorted. A new hit that isn't blocked starts an event; those after it
+    move until they fall on an event that was there before. The sum is never lowered.
+    """
+    added = np.zeros(len(frames), dtype=np.int64)
+    present, events = array("q"), array("q")
+    for at in np.argsort(-np.asarray(scores), kind="stable").tolist():
+        frame = int(frames[at])
+        insort(present, frame)
+        low = bisect_right(events, frame)
+        if low and frame <= events[low - 1] + gap:
+            continue
+        chain, high = array("q", [frame]), low
+        while True:
+            after = bisect_right(present, chain[-1] + gap)
+            if after == len(present):
+                high = len(events)
+                break
+            high = bisect_left(events, present[after], high)
+            if high < len(events) and events[high] == present[after]:
+                break
+            chain.append(present[after])
+        added[at] = len(chain) - (high - low)
+        events[low:high] = chain
+    return added
+
+
+def pieces(frames, gap: int) -> list[tuple[int, int]]:
+    """Ranges of hits no more than ``gap`` frames apart: none can block a hit of another."""
+    cuts = (np.flatnonzero(np.diff(frames) > gap) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(frames)]))

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from earshot.constants import METER_DECAY
 from earshot.functions import refractory
+from earshot.session import pin
 
 CHUNK_FRAMES = 4096
 FANOUT = 4096
@@ -74,6 +75,114 @@ def refractory_counts(
     )
 
 
+def event_steps(chunks: DataFrame, keys: list[str], chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+    """Rows (keys, score, events): what the hits of a score add to the event count.
+
+    The count above a threshold is the sum of ``events`` over all higher scores, so one
+    pass gives it for every threshold. ``chunks`` comes from :func:`chunk_hits` with
+    ``grouping`` among its columns. Hits further apart than ``grouping`` never block one
+    another, whatever the threshold, so a chunk falls into pieces; those that may touch
+    a piece of the next chunk are put together first. Hits that add nothing have no row.
+    """
+    columns = [*keys, "grouping"]
+    made = pin(_pieces(chunks, columns, chunk_frames))
+    whole = made.where("first is null").select(*keys, "score", "events")
+    # Only where pieces begin and end crosses the network here, twice a chunk at most.
+    edges = made.where("first is not null").select(*columns, "first", "last")
+    order = Window.partitionBy(*keys).orderBy("first")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(order) > F.col("grouping"), F.lit(True))
+    named = edges.withColumn("_new", apart.cast("int")).withColumn(
+        "_segment", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ).select(*keys, "first", "_segment")
+    touching = (
+        made.where("first is not null").join(named, [*keys, "first"])
+        .groupBy(*columns, "_segment")
+        .agg(F.array_sort(F.collect_list(F.struct("first", "hits"))).alias("parts"))
+        .select(*columns, F.flatten(F.transform("parts", lambda p: p["hits"])).alias("hits"))
+    )
+    joined = _steps(touching, columns)
+    return whole.unionByName(joined.select(*keys, "score", "events"))
+
+
+def _pieces(chunks: DataFrame, columns: list[str], chunk_frames: int) -> DataFrame:
+    """Steps of the pieces inside a chunk; the hits of those that may go on in another."""
+    schema = StructType([
+        *[chunks.schema[c] for c in columns], StructField("score", DoubleType()), StructField("events", LongType()),
+        StructField("first", LongType()), StructField("last", LongType()), chunks.schema["hits"],
+    ])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            hits = batch.column("hits")
+            offsets = hits.offsets.to_numpy()
+            values = pa.array(hits.values)
+            frames = values.field("frame_idx").to_numpy()
+            scores = values.field("score").to_numpy(zero_copy_only=False)
+            rows, cells, events, edges = [], [], [], []
+            gaps = batch.column("grouping").to_pylist()
+            starts = batch.column("chunk").to_numpy(zero_copy_only=False) * chunk_frames
+            for row, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                gap, start = gaps[row], int(starts[row])
+                for a, b in refractory.pieces(frames[low:high], gap):
+                    a, b = low + a, low + b
+                    if frames[a] - start < gap or start + chunk_frames - frames[b - 1] <= gap:
+                        edges.append((row, a, b))
+                    elif b - a == 1:
+                        rows.append(row)
+                        cells.append(a)
+                        events.append(1)
+                    else:
+                        added = refractory.step_events(frames[a:b], scores[a:b], gap)
+                        some = np.flatnonzero(added)
+                        rows += [row] * len(some)
+                        cells += (a + some).tolist()
+                        events += added[some].tolist()
+            n, m = len(rows), len(edges)
+            taken = pa.array(rows + [e[0] for e in edges], pa.int64())
+            ends = np.cumsum([0] + [0] * n + [b - a for _, a, b in edges], dtype=np.int32)
+            inside = np.concatenate([np.arange(a, b) for _, a, b in edges]) if m else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(taken) for c in columns],
+                pa.array(scores[cells].tolist() + [None] * m, pa.float64()), pa.array(events + [None] * m, pa.int64()),
+                pa.array([None] * n + [int(frames[a]) for _, a, _ in edges], pa.int64()),
+                pa.array([None] * n + [int(frames[b - 1]) for _, _, b in edges], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), values.take(pa.array(inside))),
+            ], names=schema.names)
+
+    return chunks.mapInArrow(run, schema)
+
+
+def _steps(segments: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (columns, score, events) of whole segments of hits."""
+    schema = StructType([
+        *[segments.schema[c] for c in columns], StructField("score", DoubleType()), StructField("events", LongType()),
+    ])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            hits = batch.column("hits")
+            offsets, values = hits.offsets.to_numpy(), hits.values
+            frames = values.field("frame_idx").to_numpy()
+            scores = values.field("score").to_numpy(zero_copy_only=False)
+            gaps = batch.column("grouping").to_pylist()
+            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                added = refractory.step_events(frames[a:b], scores[a:b], gaps[row])
+                some = np.flatnonzero(added)
+                at = pa.array(np.full(len(some), row))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(at) for c in columns], pa.array(scores[a + some]), pa.array(added[some])],
+                    names=schema.names,
+                )
+
+    return segments.mapInArrow(run, schema)
+
+
 def chunk_entries(
     chunks: DataFrame,
     keys: list[str],

@@ -12,7 +12,7 @@ everything that uses its thresholds reads ``score > threshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.constants import COMPARE_AT, FA_BUDGETS, THRESHOLDS
@@ -20,7 +20,12 @@ from earshot.functions import scalars
 from earshot.operators import events
 from earshot.session import broadcast_if_small, for_each, pin
 
-LADDER_STEPS = 16
+#: Bins of scores for each factor of two.
+BINS = 16
+#: Pairs and budgets that are sent to every task; beyond that they are joined by a shuffle.
+MAX_PAIRS = 10_000
+#: Slices of scores in which the sums over scores are made.
+SLICES = 256
 
 
 def grid(thresholds: list[float] = THRESHOLDS) -> Column:
@@ -117,45 +122,66 @@ def exact_thresholds(
     never lowers the event count (greedy selection with a fixed gap is a maximum
     packing), so the fit is monotone and can be searched.
 
-    The search is many-way and distributed. Two scans without a row shuffle
-    bracket the answer: at most ``allowed`` frames always fit, more than
-    ``allowed * (grouping + 1)`` frames never do. Only frames above the lower
-    bracket are shuffled, once, and each round narrows every bracket by several
-    exact counts until nothing lies inside.
+    A histogram of scores, one scan with counts added up before they are shuffled, gives
+    a floor: more than ``allowed * (grouping + 1)`` frames never fit. Only frames above
+    it are shuffled, once, into chunks. One pass over them gives the events that every
+    score adds to those above it; added up from the highest score down, the first score
+    to exceed the budget is the threshold. The number of jobs is the same for any input.
     """
     pair = ["set_name", "candidate"]
-    sets = broadcast_if_small(sets)
     limits = sets.select(
         "set_name", "grouping",
         F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("budget"),
         (F.col("budget") * F.col("hours")).alias("allowed"),
     )
     bracket = pin(_first_bracket(false_accepts, limits, pair))
-    floors = broadcast_if_small(
-        bracket.groupBy(*pair).agg(F.min("lo").alias("floor"), F.first("grouping").alias("grouping"))
+    # All tables of one row for a pair, or for its budgets, are as small as this one.
+    hint = F.broadcast if bracket.count() <= MAX_PAIRS else (lambda df: df)
+    floors = bracket.groupBy(*pair).agg(F.min("lo").alias("floor"), F.first("grouping").alias("grouping"))
+    chunks = events.chunk_hits(
+        false_accepts.join(hint(floors), pair).where("score > floor"), [*pair, "stream_id", "grouping"]
     )
-    chunks = pin(
-        events.chunk_hits(
-            false_accepts.join(floors, pair).where("score > floor"),
-            [*pair, "stream_id", "grouping"],
-        )
+    steps = pin(
+        events.event_steps(chunks, [*pair, "stream_id"])
+        .groupBy(*pair, "score").agg(F.sum("events").alias("events"))
+    )
+    found = bracket.join(_crossings(steps, bracket, pair, hint), [*pair, "budget"], "left").select(
+        *pair, "budget", F.coalesce("threshold", F.lit(-1.0)).alias("threshold")
     )
-    hits = chunks.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    # Brackets and probes keep one row per pair and budget, or fewer, all the way.
-    hint = F.broadcast if bracket.count() <= 100_000 else (lambda df: df)
-    while True:
-        probes = pin(_probes(chunks, hint(bracket), bracket, pair, _probe_count(hits)))
-        if probes.isEmpty():
-            break
-        bracket = pin(_narrow(chunks.join(hint(probes), pair), bracket, probes, pair))
     return (
         for_each(candidates.select("candidate").distinct(), limits.select("set_name", "budget"))
-        .join(bracket.select(*pair, "budget", F.col("hi").alias("threshold")),
-              [*pair, "budget"], "left")
+        .join(hint(found), [*pair, "budget"], "left")
         .select(*pair, "budget", "threshold")
     )
 
 
+def _crossings(steps: DataFrame, bracket: DataFrame, pair: list[str], hint) -> DataFrame:
+    """Rows (pair, budget, threshold): the highest score with which the sum exceeds ``allowed``.
+
+    Scores fall into ``SLICES`` slices by rough ranks. The sums of slices tell in which
+    one each budget is exceeded, and only that slice's scores are added up one by one.
+    """
+    ranks = [i / SLICES for i in range(1, SLICES)]
+    cuts = steps.groupBy(*pair).agg(F.percentile_approx("score", ranks, 10_000).alias("cuts"))
+    of = F.size(F.filter("cuts", lambda c: c >= F.col("score")))
+    sliced = steps.join(hint(cuts), pair).select(*pair, "score", "events", of.alias("slice"))
+    before = Window.partitionBy(*pair).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy(*pair, "slice").agg(F.sum("events").alias("events"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("events").over(before), F.lit(0)))
+    inside = (
+        sums.join(hint(bracket.select(*pair, "budget", "allowed")), pair)
+        .where("before <= allowed and before + events > allowed")
+        .select(*pair, "budget", "allowed", "slice", "before")
+    )
+    down = Window.partitionBy(*pair, "budget").orderBy(F.desc("score"))
+    return (
+        sliced.join(hint(inside), [*pair, "slice"])
+        .withColumn("total", F.col("before") + F.sum("events").over(down))
+        .where("total > allowed")
+        .groupBy(*pair, "budget").agg(F.max("score").alias("threshold"))
+    )
+
+
 def exact_profile(
     false_accepts: DataFrame, positives: DataFrame, sets: DataFrame, budgets=FA_BUDGETS
 ) -> DataFrame:
@@ -181,87 +207,26 @@ def recall_above(positives: DataFrame, thresholds: DataFrame, by: list[str]) ->
 
 
 def _first_bracket(false_accepts, limits, pair) -> DataFrame:
-    """Rows (pair, budget, grouping, allowed, lo, hi) with the answer in (lo, hi].
+    """Rows (pair, budget, grouping, allowed, lo): every score up to ``lo`` doesn't fit.
 
-    ``lo`` is known not to fit (-2 when nothing is known) and ``hi`` to fit.
+    ``lo`` is -2 when nothing is known. Scores are counted in bins of equal ratio, from
+    0 up and from 1 down, so the bins are narrow where few frames are.
     """
-    shares = [1.0] + [1.0 - 4.0 ** -i for i in range(1, LADDER_STEPS + 1)]
-    # Rungs only guide the search, so rough ranks will do: what is known about each
-    # rung is counted over all frames below.
-    ladder = false_accepts.groupBy(*pair).agg(
-        F.array_distinct(F.percentile_approx("score", shares, 1_000)).alias("rungs"),
-        F.max("score").alias("top"),
-    )
-    above = lambda rung: F.count_if(F.col("score") > F.get("rungs", F.lit(rung)))
-    counted = (
-        false_accepts.join(broadcast_if_small(pin(ladder)), pair)
-        .groupBy(*pair, "rungs", "top")
-        .agg(F.array(*[above(i) for i in range(len(shares))]).alias("frames"))
-    )
-    rungs = F.filter(
-        F.arrays_zip("rungs", "frames"), lambda r: r["rungs"].isNotNull()
-    )
-    fits = F.filter(rungs, lambda r: r["frames"] <= F.col("allowed"))
-    fails = F.filter(
-        rungs, lambda r: r["frames"] > (F.floor("allowed") * (F.col("grouping") + 1))
+    score = F.col("score")
+    fine = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1e-12))) * BINS).cast("int")
+    place = F.when(score <= 0.5, fine(score)).otherwise(-fine(1 - score))
+    bins = false_accepts.groupBy(*pair, place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("frames"), F.max("score").alias("high")
     )
-    return counted.join(limits, "set_name").select(
-        *pair, "budget", "grouping", "allowed",
-        F.coalesce(F.array_max(F.transform(fails, lambda r: r["rungs"])), F.lit(-2.0)).alias("lo"),
-        F.coalesce(F.array_min(F.transform(fits, lambda r: r["rungs"])), F.col("top")).alias("hi"),
+    order = Window.partitionBy(*pair).orderBy(F.desc("bin"))
+    counted = bins.select(
+        *pair, F.sum("frames").over(order).alias("frames"), F.lead("high").over(order).alias("below")
     )
-
-
-def _probe_count(hits: int) -> int:
-    """Probes per bracket and round: many cost passes over hits, few cost rounds."""
-    return 32 if hits <= 200_000 else 16 if hits <= 2_000_000 else 8
-
-
-def _probes(chunks, brackets, bracket, pair, count) -> DataFrame:
-    """Rows (pair, probes): thresholds strictly inside the open brackets."""
-    inside = (F.col("score") > F.col("lo")) & (F.col("score") < F.col("hi"))
-    picks = [i / (count + 1) for i in range(1, count + 1)]
-    scores = (
-        chunks.select(*pair, F.explode(F.array_distinct(F.transform("hits", lambda h: h["score"]))).alias("score"))
-        .join(brackets, pair)
-        .where(inside)
-        .groupBy(*pair, "budget")
-        .agg(F.percentile_approx("score", picks, 1_000).alias("probes"))
-        .select(*pair, F.explode("probes").alias("probe"))
-    )
-    lowest = bracket.where("lo < -1 and hi > -1").select(*pair, F.lit(-1.0).alias("probe"))
-    return (
-        scores.unionByName(lowest).groupBy(*pair)
-        .agg(F.array_sort(F.collect_set("probe")).alias("probes"))
-    )
-
-
-def _narrow(chunks, bracket, probes, pair) -> DataFrame:
-    keys = [*pair, "stream_id"]
-    counted = (
-        events.refractory_counts(
-            chunks, keys, F.col("probes"), F.col("grouping"), strict=True,
-        )
-        .groupBy(*pair, "threshold").agg(F.sum("events").alias("events"))
-    )
-    tried = (
-        probes.select(*pair, F.explode("probes").alias("threshold"))
-        .join(counted, [*pair, "threshold"], "left")
-        .na.fill(0, ["events"])
-    )
-    fits = F.col("events") <= F.col("allowed")
-    inside = (F.col("threshold") > F.col("lo")) & (F.col("threshold") < F.col("hi"))
+    fails = F.col("frames") > F.floor("allowed") * (F.col("grouping") + 1)
     return (
-        bracket.join(tried, pair, "left")
-        .groupBy(*pair, "budget", "grouping", "allowed", "lo", "hi")
-        .agg(
-            F.max(F.when(inside & ~fits, F.col("threshold"))).alias("above"),
-            F.min(F.when(inside & fits, F.col("threshold"))).alias("below"),
-        )
-        .select(
-            *pair, "budget", "grouping", "allowed",
-            F.coalesce("above", "lo").alias("lo"), F.coalesce("below", "hi").alias("hi"),
-        )
+        counted.join(limits, "set_name")
+        .groupBy(*pair, "budget", "grouping", "allowed")
+        .agg(F.coalesce(F.max(F.when(fails, F.col("below"))), F.lit(-2.0)).alias("lo"))
     )
 
 

@@ -1,9 +1,11 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from earshot.functions import refractory
 from earshot.operators import events
 
 SCHEMA = "stream_id long, frame_idx long, score double"
@@ -96,3 +98,29 @@ def test_the_floor_reaches_the_scan(spark, scores, tmp_path):
     plan = chunks._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(score,0.5)" in plan
     assert plan.count("Exchange") == 1
+
+
+def test_steps_of_scores_add_up_to_every_count():
+    rng = random.Random(7)
+    for _ in range(300):
+        gap, digits = rng.randrange(0, 6), rng.choice([1, 4])
+        hits = sorted(rng.sample(range(60), rng.randrange(1, 40)))
+        scores = [round(rng.random(), digits) for _ in hits]
+        added = refractory.step_events(np.array(hits), np.array(scores), gap)
+        assert (added >= 0).all()
+        for t in {*scores, -1.0}:
+            above = [h for h, s in zip(hits, scores) if s > t]
+            assert sum(a for a, s in zip(added, scores) if s > t) == len(brute.events(above, gap))
+
+
+@pytest.mark.parametrize("chunk", [8, 64])
+def test_event_steps_over_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(k, 4, i, round(rng.random(), 2)) for k in range(3) for i in sorted(rng.sample(range(300), [20, 120, 290][k]))]
+    scores = spark.createDataFrame(rows, "stream_id long, grouping int, frame_idx long, score double")
+    chunks = events.chunk_hits(scores, ["stream_id", "grouping"], None, chunk)
+    steps = events.event_steps(chunks, ["stream_id"], chunk).collect()
+    for k in range(3):
+        for t in (-1.0, 0.2, 0.5, 0.77, 0.9):
+            want = len(brute.events([i for s, _, i, x in rows if s == k and x > t], 4))
+            assert sum(r.events for r in steps if r.stream_id == k and r.score > t) == want
