@@ -190,10 +190,13 @@ def chunk_entries(
     grouping: int,
     chunk_frames: int = CHUNK_FRAMES,
     fanout: int = FANOUT,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows (keys, chunk, until): the first frame that isn't blocked as a chunk begins.
+    """Rows (keys, chunk, until, n): the first frame that isn't blocked as a chunk begins,
+    and the events before it.
 
-    ``chunks`` comes from :func:`chunk_hits` with the same ``chunk_frames``.
+    ``chunks`` comes from :func:`chunk_hits` with the same ``chunk_frames``, all streams
+    being free as they begin. ``before`` (keys, n) has events counted earlier.
     """
     limits = F.array(F.lit(float(threshold)))
     tables = _chunk_tables(
@@ -202,21 +205,37 @@ def chunk_entries(
     supers = _compose_level(tables, keys, chunk_frames, fanout)
 
     # Walk back down: the state in which each super-chunk, then each chunk, is entered.
-    free = F.lit(0).cast("long")
-    super_entry = (
-        supers.groupBy(*keys).agg(_children())
-        .select(*keys, F.explode(_entries(F.col("children"), free)).alias("e"))
-        .select(*keys, F.col("e.id").alias("super"), F.col("e.until").alias("until"))
-    )
-    return (
+    zero = F.lit(0).cast("long")
+    whole = supers.groupBy(*keys).agg(_children()).withColumn("until", zero)
+    if before is None:
+        whole = whole.withColumn("n", zero)
+    else:
+        whole = whole.join(before.select(*keys, "n"), keys, "left").na.fill(0, ["n"])
+    down = lambda df, name: df.select(
+        *keys, F.explode(_entries(F.col("children"), F.col("until"), F.col("n"))).alias("e")
+    ).select(*keys, F.col("e.id").alias(name), F.col("e.until").alias("until"), F.col("e.n").alias("n"))
+    return down(
         tables.withColumn("super", F.floor(F.col("chunk") / fanout))
         .groupBy(*keys, "super").agg(_children("chunk"))
-        .join(super_entry, [*keys, "super"])
-        .select(*keys, F.explode(_entries(F.col("children"), F.col("until"))).alias("e"))
-        .select(*keys, F.col("e.id").alias("chunk"), F.col("e.until").alias("until"))
+        .join(down(whole, "super"), [*keys, "super"]),
+        "chunk",
     )
 
 
+def fired(hits: str, until: Column, grouping: int) -> Column:
+    """The hits of a chunk, in order, that start events when it is entered with ``until``."""
+    start = F.struct(until.alias("until"), F.filter(hits, lambda h: F.lit(False)).alias("events"))
+
+    def take(state, hit):
+        fires = F.struct(
+            (hit["frame_idx"] + grouping + 1).alias("until"),
+            F.concat(state["events"], F.array(hit)).alias("events"),
+        )
+        return F.when(hit["frame_idx"] >= state["until"], fires).otherwise(state)
+
+    return F.aggregate(hits, start, take, lambda state: state["events"])
+
+
 def refractory_events(
     scores: DataFrame,
     keys: list[str],
@@ -228,22 +247,9 @@ def refractory_events(
     """Rows (keys, frame_idx, score): one per event, at the frame that starts it."""
     chunks = chunk_hits(scores, keys, threshold, chunk_frames)
     chunk_entry = chunk_entries(chunks, keys, threshold, grouping, chunk_frames, fanout)
-    start = F.struct(
-        F.col("until").alias("until"),
-        F.filter("hits", lambda h: F.lit(False)).alias("events"),
-    )
-
-    def take(state, hit):
-        fired = F.struct(
-            (hit["frame_idx"] + grouping + 1).alias("until"),
-            F.concat(state["events"], F.array(hit)).alias("events"),
-        )
-        return F.when(hit["frame_idx"] >= state["until"], fired).otherwise(state)
-
-    events = F.aggregate("hits", start, take, lambda state: state["events"])
     return (
         chunks.join(chunk_entry, [*keys, "chunk"])
-        .select(*keys, F.explode(events).alias("hit"))
+        .select(*keys, F.explode(fired("hits", F.col("until"), grouping)).alias("hit"))
         .select(*keys, "hit.frame_idx", "hit.score")
     )
 
@@ -418,19 +424,19 @@ def _fold(children: Column, until: Column) -> Column:
     return F.aggregate(children, start, step)
 
 
-def _entries(children: Column, until: Column) -> Column:
-    """Array of (id, until): the state in which each child is entered."""
+def _entries(children: Column, until: Column, n: Column) -> Column:
+    """Array of (id, until, n): the state in which each child is entered, and the events before."""
     zero = F.lit(0).cast("long")
-    nothing = F.filter(
-        F.array(F.struct(zero.alias("id"), zero.alias("until"))), lambda _: F.lit(False)
-    )
-    start = F.struct(until.cast("long").alias("until"), nothing.alias("seen"))
+    one = F.struct(zero.alias("id"), zero.alias("until"), zero.alias("n"))
+    nothing = F.filter(F.array(one), lambda _: F.lit(False))
+    start = F.struct(until.cast("long").alias("until"), n.cast("long").alias("n"), nothing.alias("seen"))
 
     def step(state, child):
-        entry = F.struct(child["id"].alias("id"), state["until"].alias("until"))
+        entry = F.struct(child["id"].alias("id"), state["until"].alias("until"), state["n"].alias("n"))
         row = _enter(child, state["until"])
         return F.struct(
-            row["until"].alias("until"), F.concat(state["seen"], F.array(entry)).alias("seen")
+            row["until"].alias("until"), (state["n"] + row["n"]).alias("n"),
+            F.concat(state["seen"], F.array(entry)).alias("seen"),
         )
 
     return F.aggregate(children, start, step, lambda state: state["seen"])

@@ -40,10 +40,12 @@ def middle(frames) -> str:
     return span.first()[0]
 
 
-def run_events(spark, frames, sink, name):
+def run_live(spark, frames, name, threshold, schema=live.FRAME_SCHEMA, scored=lambda stream: stream):
+    """Run once for each block that lands; the folder of what was counted."""
     folder = publish.shared_folder(spark, name)
     for _ in land_in_blocks(frames, f"{folder}/landing", middle(frames)):
-        sink(live.read_frames(spark, f"{folder}/landing"), folder).awaitTermination()
+        stream = scored(live.read_frames(spark, f"{folder}/landing", schema))
+        live.count_to(stream, folder, threshold, fx.GROUPING).awaitTermination()
     return folder
 
 
@@ -51,13 +53,8 @@ def run_events(spark, frames, sink, name):
 SELECT stream_id, frame_idx, score, row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS activations
 FROM ev JOIN hits USING (stream_id, frame_idx)""")
 def live_activations(spark, sf_dir):
-    def sink(stream, folder):
-        found = live.activations(stream, HIT, fx.GROUPING)
-        return live.append_to(found, f"{folder}/events", f"{folder}/checkpoint")
-
-    folder = run_events(spark, score_frames(spark, sf_dir), sink, "activations")
-    rows = spark.read.parquet(f"{folder}/events")
-    return rows.select("stream_id", "frame_idx", "score", "activations")
+    folder = run_live(spark, score_frames(spark, sf_dir), "activations", HIT)
+    return live.fired(spark, folder).select("stream_id", "frame_idx", "score", "activations")
 
 
 @query("str2_live_scoring", f"""WITH RECURSIVE
@@ -74,31 +71,22 @@ def live_scoring(spark, sf_dir):
             F.col("label").cast("long").alias("stream_id"), "vec_id", F.col("embedding").alias("x")),
         ["stream_id"], ["vec_id"], "frame_idx",
     ).select("stream_id", "frame_idx", "x", F.timestamp_seconds(F.col("frame_idx")).alias("ts"))
-    folder = publish.shared_folder(spark, "scoring")
     schema = "stream_id long, frame_idx long, x array<float>, ts timestamp"
-    for _ in land_in_blocks(frames, f"{folder}/landing", middle(frames)):
-        stream = live.read_frames(spark, f"{folder}/landing", schema)
-        scored = scoring.score_windows(stream, "x", scoring.LinearScorer(WEIGHTS, 0.1)).drop("x")
-        found = live.activations(scored, 0.55, fx.GROUPING)
-        live.append_to(found, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{folder}/events")
-    return rows.select("stream_id", "frame_idx", F.round("score", 6).alias("score"))
+    score = lambda stream: scoring.score_windows(stream, "x", scoring.LinearScorer(WEIGHTS, 0.1)).drop("x")
+    folder = run_live(spark, frames, "scoring", 0.55, schema, score)
+    return live.fired(spark, folder).select("stream_id", "frame_idx", F.round("score", 6).alias("score"))
 
 
 @query("str3_live_rates", evaluation.FRAME_EVENTS_SQL + """
 SELECT stream_id, coalesce(n, 0) AS activations, frames, round(frames * 600 / 3600, 6) AS hours,
-       round(coalesce(n, 0) / (frames * 600 / 3600), 6) AS per_hour
+       round(coalesce(n, 0) / (frames * 600 / 3600), 6) AS per_hour, CAST(0 AS BIGINT) AS late
 FROM (SELECT stream_id, count(*) AS frames FROM frames GROUP BY 1)
 LEFT JOIN (SELECT stream_id, count(*) AS n FROM ev GROUP BY 1) USING (stream_id)""")
 def live_rates(spark, sf_dir):
-    def sink(stream, folder):
-        running = live.rates(stream, HIT, fx.GROUPING, fx.STEP_SECONDS)
-        return live.update_to(running, f"{folder}/rates", f"{folder}/checkpoint")
-
-    folder = run_events(spark, score_frames(spark, sf_dir), sink, "rates")
-    return live.latest(spark, f"{folder}/rates").select(
+    folder = run_live(spark, score_frames(spark, sf_dir), "rates", HIT)
+    return live.rates(spark, folder, fx.STEP_SECONDS).select(
         "stream_id", "activations", "frames", F.round("hours", 6).alias("hours"),
-        F.round("per_hour", 6).alias("per_hour"),
+        F.round("per_hour", 6).alias("per_hour"), "late",
     )
 
 
