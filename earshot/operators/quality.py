@@ -16,24 +16,56 @@ def hard_examples(scored: DataFrame, low: float = 0.001, high: float = 0.999) ->
     return scored.where(~easy)
 
 
-def shape_audit(arrays: DataFrame, keys: list[str], value: str, frames: int, width: int) -> DataFrame:
-    """One row per input: row count, shapes seen and whether they all fit."""
+def shapes(arrays: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The header of each input: rows, and the least and largest frames and width (0 for a flat row)."""
     outer, inner = F.size(value), F.transform(F.col(value), lambda r: F.size(r))
     return arrays.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(outer).alias("min_frames"), F.max(outer).alias("max_frames"),
         F.min(F.array_min(inner)).alias("min_width"), F.max(F.array_max(inner)).alias("max_width"),
-    ).withColumn(
+    )
+
+
+def shape_audit(arrays: DataFrame, keys: list[str], value: str, frames: int, width: int) -> DataFrame:
+    """One row per input: row count, shapes seen and whether they all fit."""
+    return shapes(arrays, keys, value).withColumn(
         "fits",
         (F.col("min_frames") == frames) & (F.col("max_frames") == frames)
         & (F.col("min_width") == width) & (F.col("max_width") == width),
     )
 
 
-def same_counts(counts: DataFrame, reference: str, key: str = "condition") -> DataFrame:
-    """Rows whose count differs from the reference row's; conditions must be the same clips."""
-    want = counts.where(F.col(key) == reference).select("n_rows").scalar()
-    return counts.withColumn("want", want).where(F.col("n_rows") != F.col("want"))
+def input_violations(expected: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows (input, rule, found, wanted): everything that is wrong with a job's inputs.
+
+    ``expected`` has for each input ``input, dims, frames, width`` (dims: the numbers of
+    dimensions it may have; frames: that many if it has three; null where anything goes)
+    and ``same_as``, an input whose shape it must have, or null. ``headers`` has ``input,
+    shape``, the shape as in an array file's header. Only headers are compared, all
+    rules in one pass: an input is ``missing``, has the wrong number of ``dimensions``,
+    ``frames`` or ``width`` (its last dimension), or differs from the input that it must
+    be like (``same shape``). A wrong number of dimensions ends the rules for that input.
+    """
+    text = lambda c: F.concat(F.lit("("), F.array_join(c.cast("array<string>"), ", "), F.lit(")"))
+    model = headers.select(F.col("input").alias("same_as"), F.col("shape").alias("_model"))
+    both = expected.join(headers, "input", "left").join(model, "same_as", "left")
+    shape = F.col("shape")
+    there, flat = shape.isNotNull(), ~F.array_contains("dims", F.size(shape))
+    fits = there & ~F.coalesce(flat, F.lit(False))
+    last = F.element_at(shape, -1)
+
+    def rule(name, broken, found, wanted):
+        row = F.struct(F.lit(name).alias("rule"), found.alias("found"), wanted.alias("wanted"))
+        return F.when(F.coalesce(broken, F.lit(False)), row)
+
+    rules = F.array(
+        rule("missing", ~there, F.lit(None).cast("string"), F.lit("an array")),
+        rule("dimensions", there & flat, text(shape), F.array_join(F.col("dims").cast("array<string>"), " or ")),
+        rule("frames", fits & (F.size(shape) == 3) & (shape[1] != F.col("frames")), text(shape), F.col("frames").cast("string")),
+        rule("width", fits & (last != F.col("width")), text(shape), F.col("width").cast("string")),
+        rule("same shape", fits & (shape != F.col("_model")), text(shape), text(F.col("_model"))),
+    )
+    return both.select("input", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("input", "r.*")
 
 
 def probe_checksum(frames: DataFrame, value: str, rows: int | None = None) -> DataFrame:

@@ -98,3 +98,29 @@ def choose_candidate(
         "set_name", F.coalesce("exact", "grid", "rate")["candidate"].alias("candidate"),
         rule.alias("rule"),
     )
+
+
+def choose_published(
+    exact: DataFrame, conditions: DataFrame, grid: DataFrame, rates: DataFrame,
+    select_on: str, select_condition: str = "mixed", fallback: str = "upstream", baseline: str = "baseline",
+) -> DataFrame:
+    """One row (set_name, condition, candidate, rule): what a run publishes.
+
+    The set is ``select_on`` if anything was measured on it, else ``fallback``. Exact recall
+    on ``select_condition`` decides, if every candidate was measured on that condition there,
+    otherwise that on the mixed positives; then as in :func:`choose_candidate`. ``exact`` is
+    (set_name, candidate, recall), ``conditions`` has ``condition`` besides, and a NULL recall
+    still counts as measured. The baseline is never chosen.
+    """
+    known = exact.select("set_name").distinct().where(F.col("set_name") == select_on)
+    primary = F.when(known.agg(F.count(F.lit(1)).alias("n")).scalar() > 0, select_on).otherwise(fallback)
+    on = lambda df: df.where((F.col("set_name") == primary) & (F.col("candidate") != baseline))
+    wanted = on(conditions).where(F.col("condition") == select_condition).select("set_name", "candidate", "recall")
+    trained = on(exact)
+    absent = trained.join(wanted, ["set_name", "candidate"], "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
+    use = (F.lit(select_condition) != "mixed") & (absent == 0)
+    ranking = trained.select("set_name", "candidate", "recall").where(~use).unionByName(wanted.where(use))
+    chosen = choose_candidate(ranking, on(grid), on(rates), baseline)
+    return chosen.select(
+        "set_name", F.when(use, select_condition).otherwise("mixed").alias("condition"), "candidate", "rule"
+    )

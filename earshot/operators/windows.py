@@ -37,11 +37,24 @@ def sliding_windows(
     )
 
 
-def window_count(frames: Column, window: int = WINDOW_FRAMES) -> Column:
-    """Stride-1 windows in a set; fails when the set is shorter than one window."""
-    n = frames - window + 1
-    short = F.raise_error(F.concat(frames.cast("string"), F.lit(" frames are shorter than the window")))
-    return F.when(n > 0, n).otherwise(short.cast("long"))
+def window_counts(sets: DataFrame, window: int = WINDOW_FRAMES) -> DataFrame:
+    """``sets`` (with ``frames``) and how many ``windows`` each has, or the ``error`` of a short one."""
+    enough = F.col("frames") >= window
+    said = F.concat(F.col("frames").cast("string"), F.lit(f" frames are shorter than the {window}-frame window"))
+    return sets.withColumn("windows", F.when(enough, F.col("frames") - window + 1)).withColumn(
+        "error", F.when(~enough, said)
+    )
+
+
+def checked(frames: DataFrame, keys: list[str], window: int = WINDOW_FRAMES) -> DataFrame:
+    """``frames``, failing when any set has fewer than ``window`` of them: it would yield nothing."""
+    sets = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    short = window_counts(sets, window).where("error is not null")
+    name = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys], F.lit(":"), "error")
+    first = short.agg(F.min(name).alias("said")).first().said
+    if first is not None:
+        raise ValueError(first)
+    return frames
 
 
 def recut_flat(

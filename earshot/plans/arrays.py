@@ -121,7 +121,7 @@ def pool_summary(spark, sf_dir):
     return pool.pool_summary(pool.balance(cut, SEED), cut.where("reserved"))
 
 
-JOB_SEGMENT, JOB_SHORTEST, JOB_HOURS = 80, 24, 0.2
+JOB_SEGMENT, JOB_SHORTEST = 80, 24
 
 
 @query("agg2_pool_job", f"""
@@ -129,8 +129,8 @@ WITH laid AS (
   SELECT ['speech', 'music', 'env'][label % 3 + 1] AS role, sum(len(embedding)) AS total
   FROM embeddings WHERE vec_id % 11 <> 0 GROUP BY 1),
 cut AS (
-  SELECT role, least(total // {JOB_SEGMENT} + CASE WHEN total % {JOB_SEGMENT} >= {JOB_SHORTEST} THEN 1 ELSE 0 END,
-                     {pool.segment_cap(JOB_HOURS)}) AS n FROM laid),
+  SELECT role, total // {JOB_SEGMENT} + CASE WHEN total % {JOB_SEGMENT} >= {JOB_SHORTEST} THEN 1 ELSE 0 END AS n
+  FROM laid),
 size AS (SELECT CAST(min(n) - 6 AS BIGINT) AS files FROM cut)
 SELECT role, files, CAST(6 AS BIGINT) AS stress_reserve, round(files * 10 / 3600, 2) AS hours, true AS level
 FROM size CROSS JOIN (VALUES ('speech'), ('music'), ('env'), ('babble')) r(role)""")
@@ -141,7 +141,10 @@ def pool_job(spark, sf_dir):
     clips = table(spark, sf_dir, "embeddings").select(
         role.alias("role"), "vec_id", F.transform("embedding", lambda v: v.cast("double") * silent).alias("pcm")
     )
-    made, held = pool.build(clips, ["vec_id"], JOB_SEGMENT, JOB_SHORTEST, JOB_HOURS, SEED)
+    # Hours for all of the largest role; aud2_capped_segments has the cap.
+    longest = clips.groupBy("role").agg(F.sum(F.size("pcm")).alias("n")).agg(F.max("n")).first()[0] or 0
+    hours = (longest // JOB_SEGMENT + 1) * 10 / 3600
+    made, held = pool.build(clips, ["vec_id"], JOB_SEGMENT, JOB_SHORTEST, hours, SEED)
     peak = F.aggregate("pcm", F.lit(0.0), lambda top, v: F.greatest(top, F.abs(v)))
     right = (F.abs(scalars.rms("pcm") - 0.1) < 1e-6) | (F.abs(peak - 0.99) < 1e-6)
     level = made.groupBy("role").agg(F.bool_and(right).alias("level"))
@@ -218,6 +221,21 @@ def stream_windows(spark, sf_dir):
     )
 
 
+@query("win1_set_windows", f"""
+SELECT CAST(label AS BIGINT) AS stream_id, count(*) AS frames,
+       CASE WHEN count(*) >= {WINDOW} THEN count(*) - {WINDOW} + 1 END AS windows,
+       CASE WHEN count(*) < {WINDOW} THEN count(*) || ' frames are shorter than the {WINDOW}-frame window' END AS error
+FROM embeddings WHERE label <> 3 OR vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 9)
+GROUP BY 1""")
+def set_windows(spark, sf_dir):
+    """Windows of each set; one of the sets is cut shorter than a window."""
+    vectors = table(spark, sf_dir, "embeddings")
+    short = vectors.where("label = 3").orderBy("vec_id").limit(9)
+    rows = vectors.where("label <> 3").unionByName(short)
+    sized = rows.groupBy(F.col("label").cast("long").alias("stream_id")).agg(F.count(F.lit(1)).alias("frames"))
+    return windows.window_counts(sized, WINDOW)
+
+
 @query("win2_flat_recut", f"""
 SELECT idx, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 4) AS total
 FROM (SELECT *, vec_id // {WINDOW} AS idx, count(*) OVER () AS size FROM embeddings)
@@ -461,6 +479,51 @@ def shape_audit(spark, sf_dir):
     return quality.shape_audit(rows, ["label"], "x", 4, 16)
 
 
+#: Inputs of a job, as (name, dimensions, frames, width, input of the same shape). Two are
+#: made by cutting the vectors of a label another way, one isn't there.
+EXPECTED = [
+    ("positive", [3], 4, 16, None), ("positive_noise", [3], 4, 16, "positive"), ("positive_short", [3], 4, 16, "positive"),
+    ("flat", [2], None, 64, None), ("either", [2, 3], 4, 64, None), ("windows", [2, 3], 4, 16, None),
+    ("wide", [3], 4, 96, None), ("stacked", [2], None, 16, None), ("absent", [3], 4, 16, None),
+]
+
+
+@query("flt5_input_violations", """
+WITH sizes AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS n0 FROM embeddings),
+rules AS (
+  SELECT 'positive_short' AS input, 'same shape' AS rule, '(' || n0 || ', 4, 16)' AS found,
+         '(' || n || ', 4, 16)' AS wanted, n0 <> n AS broken FROM sizes
+  UNION ALL SELECT 'windows', 'frames', '(' || n || ', 8, 16)', '4', true FROM sizes
+  UNION ALL SELECT 'wide', 'width', '(' || n || ', 4, 16)', '96', true FROM sizes
+  UNION ALL SELECT 'stacked', 'dimensions', '(' || n || ', 4, 16)', '2', true FROM sizes
+  UNION ALL SELECT 'absent', 'missing', NULL, 'an array', true FROM sizes)
+SELECT input, rule, found, wanted FROM rules WHERE broken""")
+def input_violations(spark, sf_dir):
+    """Each rule broken once, and inputs that keep all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+
+    def cut(name, frames, width, rows=vectors):
+        x = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.slice("embedding", i % 4 * width + 1, width))
+        return rows.select(F.lit(name).alias("input"), x.alias("x"))
+
+    made = cut("positive", 4, 16)
+    for part in (
+        cut("positive_noise", 4, 16), cut("positive_short", 4, 16, vectors.where("label = 0")),
+        cut("windows", 8, 16), cut("wide", 4, 16), cut("stacked", 4, 16),
+    ):
+        made = made.unionByName(part)
+    headers = quality.shapes(made, ["input"], "x").select(
+        "input", F.array("n_rows", F.col("max_frames").cast("long"), F.col("max_width").cast("long")).alias("shape")
+    )
+    flat = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).cast("long").alias("width"))
+    for name in ("flat", "either"):
+        headers = headers.unionByName(flat.select(F.lit(name).alias("input"), F.array("n", "width").alias("shape")))
+    expected = spark.createDataFrame(
+        EXPECTED, "input string, dims array<int>, frames long, width long, same_as string"
+    )
+    return quality.input_violations(expected, headers)
+
+
 @query("flt6_probe_checksum", """
 SELECT count(*) AS n_rows, round(sum(list_sum(embedding::DOUBLE[])), 4) AS checksum FROM embeddings""")
 def probe_checksum(spark, sf_dir):

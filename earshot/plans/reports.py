@@ -10,6 +10,7 @@ from earshot.operators import report, roc, selection, stress
 from earshot.plans import evaluation
 from earshot.plans import fixtures as fx
 from earshot.plans.registry import query, table
+from earshot.session import pin
 from earshot.sources import metrics, publish
 
 BUDGET = 0.5
@@ -192,6 +193,51 @@ def choose_candidate(spark, sf_dir):
     return selection.choose_candidate(tight, grid, rates)
 
 
+#: (name, set asked for, condition asked for): a condition that all have, one that a
+#: candidate lacks, and a set on which nothing was measured.
+PUBLISHED = [("a", "open", "music"), ("b", "open", "babble"), ("c", "attic", "mixed")]
+FALLBACK = "holdout"
+
+
+@query("smp17_publish", evaluation.EXACT_SQL + f""",
+asked AS (FROM (VALUES {", ".join(map(str, PUBLISHED))}) a(name, select_on, select_condition)),
+trained AS (SELECT set_name, candidate, recall FROM exact WHERE budget = {evaluation.GATE} AND candidate <> 'baseline'),
+heard AS (SELECT set_name, candidate, condition, recall FROM cond
+          WHERE budget = {evaluation.GATE} AND candidate <> 'baseline' AND NOT (condition = 'babble' AND candidate = 'final')),
+primaries AS (
+  SELECT name, select_condition, CASE WHEN select_on IN (SELECT set_name FROM exact) THEN select_on ELSE '{FALLBACK}' END AS set_name
+  FROM asked),
+usable AS (
+  SELECT p.name, p.set_name, p.select_condition,
+         p.select_condition <> 'mixed' AND count(h.candidate) = count(*) AS ok
+  FROM primaries p JOIN trained t ON t.set_name = p.set_name
+  LEFT JOIN heard h ON h.set_name = p.set_name AND h.candidate = t.candidate AND h.condition = p.select_condition
+  GROUP BY p.name, p.set_name, p.select_condition),
+ranking AS (
+  SELECT u.name, u.set_name, u.ok, u.select_condition, t.candidate, CASE WHEN u.ok THEN h.recall ELSE t.recall END AS recall
+  FROM usable u JOIN trained t ON t.set_name = u.set_name
+  LEFT JOIN heard h ON h.set_name = u.set_name AND h.candidate = t.candidate AND h.condition = u.select_condition)
+SELECT name, set_name, CASE WHEN ok THEN select_condition ELSE 'mixed' END AS condition,
+       arg_min(candidate, (-recall, candidate)) FILTER (recall IS NOT NULL) AS candidate, 'exact' AS rule
+FROM ranking GROUP BY name, set_name, ok, select_condition""")
+def publish_choice(spark, sf_dir):
+    """What is published, by exact recall at the gate."""
+    scores, fa, sets = evaluation.scores_and_sets(spark, sf_dir)
+    thresholds = pin(roc.exact_thresholds(fa, sets, scores, [evaluation.GATE]))
+    exact = pin(roc.recall_above(fx.positives(scores), thresholds, []))
+    heard = pin(roc.recall_above(fx.conditions(scores), thresholds, ["condition"]).where(
+        "not (condition = 'babble' and candidate = 'final')"
+    ))
+    grid = exact.select("set_name", "candidate", "recall")
+    rates = exact.select("set_name", "candidate", F.lit(0.0).alias("lowest_rate"))
+    rows = None
+    for name, select_on, condition in PUBLISHED:
+        one = selection.choose_published(exact, heard, grid, rates, select_on, condition, FALLBACK)
+        one = one.select(F.lit(name).alias("name"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("ml2_candidate_scores", "WITH" + fx.CANDIDATES_SQL + """
 SELECT f.set_name, f.candidate, count(*) AS frames, round(avg(f.score), 9) AS mean_score,
        f.candidate <> 'baseline' AS selectable

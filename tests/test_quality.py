@@ -1,12 +1,57 @@
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import audio, batches, quality
+from earshot.operators import audio, batches, quality, selection, windows
 
 
-def test_conditions_must_hold_the_same_clips(spark):
-    counts = spark.createDataFrame([("mixed", 10), ("env", 10), ("music", 9)], "condition string, n_rows long")
-    assert [r.condition for r in quality.same_counts(counts, "mixed").collect()] == ["music"]
+def test_input_violations(spark):
+    expected = spark.createDataFrame(
+        [("a", [3], 16, 96, None), ("a_noise", [3], 16, 96, "a"), ("b", [2, 3], 16, 96, None), ("c", [2], None, 96, None),
+         ("d", [3], 16, 96, None), ("orphan", [3], 16, 96, "gone")],
+        "input string, dims array<int>, frames long, width long, same_as string")
+
+    def broken(**shapes):
+        rows = list(shapes.items())
+        found = quality.input_violations(expected, spark.createDataFrame(rows, "input string, shape array<long>"))
+        return sorted((r.input, r.rule) for r in found.collect())
+
+    good = {"a": [9, 16, 96], "a_noise": [9, 16, 96], "b": [70, 96], "c": [5, 96], "d": [1, 16, 96], "orphan": [1, 16, 96]}
+    assert broken(**good) == []
+    assert broken(**{**good, "b": [7, 16, 96]}) == []
+    assert broken(**{**good, "a_noise": [8, 16, 96], "b": [7, 17, 96], "c": [5, 1, 96], "d": [1, 16, 95]}) == [
+        ("a_noise", "same shape"), ("b", "frames"), ("c", "dimensions"), ("d", "width")]
+    assert broken(**{k: v for k, v in good.items() if k != "c"}) == [("c", "missing")]
+    assert len(broken(**{"x": [1]})) == 6
+
+
+def test_sets_shorter_than_a_window(spark):
+    frames = spark.createDataFrame([(s, i) for s, n in ((1, 16), (2, 15), (3, 40)) for i in range(n)], "s int, i int")
+    with pytest.raises(ValueError, match="2 : 15 frames are shorter"):
+        windows.checked(frames, ["s"], 16)
+    assert windows.checked(frames.where("s <> 2"), ["s"], 16).count() == 56
+    sized = frames.groupBy("s").agg(F.count("*").alias("frames"))
+    found = {r.s: (r.windows, r.error is None) for r in windows.window_counts(sized, 16).collect()}
+    assert found == {1: (1, True), 2: (None, False), 3: (25, True)}
+
+
+def test_what_is_published(spark):
+    pair = "set_name string, candidate string, recall double"
+    exact = spark.createDataFrame([("u", "x", 0.5), ("u", "y", 0.7), ("u", "baseline", 0.9), ("own", "x", 0.9), ("own", "y", 0.1)], pair)
+    cond = spark.createDataFrame(
+        [("u", "x", "env", 0.8), ("u", "y", "env", 0.2), ("u", "x", "music", 0.9), ("u", "x", "quiet", None), ("u", "y", "quiet", None)],
+        "set_name string, candidate string, condition string, recall double")
+    rates = exact.select("set_name", "candidate", F.lit(1.0).alias("lowest_rate"))
+
+    def choose(select_on, condition):
+        rows = selection.choose_published(exact, cond, exact, rates, select_on, condition, "u").collect()
+        return [tuple(r) for r in rows]
+
+    assert choose("u", "mixed") == [("u", "mixed", "y", "exact")]
+    assert choose("u", "env") == [("u", "env", "x", "exact")]
+    assert choose("u", "music") == [("u", "mixed", "y", "exact")]  # not all were measured on it
+    assert choose("u", "quiet") == [("u", "quiet", "y", "grid")]  # measured, but within no budget
+    assert choose("none", "mixed") == [("u", "mixed", "y", "exact")]
+    assert choose("own", "env") == [("own", "mixed", "x", "exact")]
 
 
 def test_shape_audit_finds_a_short_window(spark):
