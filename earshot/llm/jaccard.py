@@ -481,7 +481,10 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         whole.join(copied, ["a", "b", "n", "salt"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n")
     )
 
-    lists = _lists(_keyed(named, percent))
+    # A copy has the keys of the first of its set, so only that one gives keys.
+    copies = firsts.groupBy("doc_id").agg(F.bool_and(F.col("first") != F.col("doc_id")).alias("copy")).where("copy")
+    copies = broadcast_if_small(copies.select("doc_id"), max_rows=1_000_000)
+    lists = _lists(_keyed(named.join(copies, "doc_id", "left_anti"), percent))
     inside = (
         lists.select("list", F.explode("docs").alias("doc_id")).join(firsts, "doc_id")
         .select("list", F.col("first").alias("doc"), "n").distinct()
