@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove shuffle files that nothing refers to any more.
+
+    It acts when the driver's JVM collects garbage, which a driver with little to do
+    seldom does by itself; between large steps the disks would fill meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20
 ) -> DataFrame:
