@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import arrow
 from earshot.llm.shingles import mixed, shingle_sets, similar
-from earshot.session import broadcast_if_small, ensure_checkpoint_dir, pin
+from earshot.session import broadcast_if_small, ensure_checkpoint_dir, let_go, pin
 
 PERCENT = 80
 BLOCK = 4096
@@ -493,12 +493,14 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     inside = pin(
         inside.join(heads.where("head.doc < last"), "list").select("list", "doc", "n", "head")
     )
+    let_go(docs.sparkSession)
     first = F.col("head.doc")
     close = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
     starred = pin(
         inside.where((F.col("doc") != first) & close).select(first.alias("a"), F.col("doc").alias("b")).distinct()
     )
     links = pin(_verified(starred, named, percent))
+    let_go(docs.sparkSession)
     rough = components(links, rounds=2)
 
     labelled = inside.join(rough, "doc", "left").select(
@@ -518,6 +520,7 @@ def join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         _tree_candidates(trees, percent)
     )
     others = pin(found.distinct().join(starred, ["a", "b"], "left_anti"))
+    let_go(docs.sparkSession)
     more = _verified(others, named, percent)
     lowest = firsts.groupBy("doc_id").agg(F.min("first").alias("a"))
     twins = firsts.join(lowest, "doc_id").where("a != first").select("a", F.col("first").alias("b"))
