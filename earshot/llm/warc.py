@@ -20,7 +20,8 @@ Cases: a response that isn't HTML by its content type, or whose block is null, e
 no HTTP message, gives a metadata record only; an empty page gives an empty conversion
 record; a null id, URI or date is the empty string; bytes that aren't text in the named
 charset become U+FFFD; repeated rows give equal records; an empty table gives none;
-extra columns aren't read.
+extra columns aren't read. Malformed and very long pages are read whole, in time in
+proportion to their length.
 """
 
 from __future__ import annotations
@@ -57,14 +58,13 @@ _BREAKS = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
 )
-#: Comments, elements whose content is no text, tags, and declarations.
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|title)\b[^>]*>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?][^>]*>",
-    re.I | re.S,
-)
+#: Elements whose content is no text; of a title it is the title.
+_RAW = frozenset("script style template noscript title".split())
+_SHUT = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>\"'<]*+)")
+#: Tags without another "<" in them, which are nearly all.
+_TAG = re.compile(_NAME.pattern + r"((?:\"[^\"<]*+\"|'[^'<]*+'|[^>\"'<]++)*+)>")
+_MARK = re.compile(r"[>\"']")
 _HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _LANG = re.compile(r"(?<![\w:-])lang\s*=\s*[\"']?([\w-]+)", re.I)
 _ORIGIN = re.compile(r"https?://[^/?#]+", re.I)
@@ -105,27 +105,102 @@ class Page(NamedTuple):
     text: str
 
 
+class Tag(NamedTuple):
+    start: int
+    stop: int
+    name: str
+    closes: bool
+    #: Its attributes, or what is inside an element of ``_RAW``.
+    rest: str
+
+
+class _Ends:
+    """Ends of tags. What a search has read in vain no other search reads again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.read = (0, -1)
+        self.dead: set[int] = set()
+
+    def _mark(self, at: int) -> int:
+        found = _MARK.search(self.html, at)
+        return found.start() if found else -1
+
+    def find(self, at: int) -> int:
+        """The first ``>`` from a place on that isn't in quotes, or -1."""
+        if at > self.last:
+            return -1
+        if not self.read[0] <= at <= self.read[1]:
+            self.read = (at, self._mark(at))
+        mark, opened = self.read[1], []
+        while mark >= 0 and self.html[mark] != ">":
+            opened.append(mark)
+            shut = -1 if mark in self.dead else self.html.find(self.html[mark], mark + 1)
+            mark = self._mark(shut + 1) if shut >= 0 else -1
+        if mark < 0:
+            self.dead.update(opened)
+        return mark
+
+
+def tags(html: str) -> Iterator[Tag]:
+    """Tags, whole elements of ``_RAW``, and comments and declarations (without a name).
+
+    A ``<`` that begins none of them, or a tag without an end, is text. A comment or an
+    element of ``_RAW`` without an end goes on to the end of the page. The time is in
+    proportion to the page, whatever is in it.
+    """
+    ends = _Ends(html)
+    at = html.find("<")
+    while at >= 0:
+        tag = _tag_at(html, at, ends)
+        if tag:
+            yield tag
+        at = html.find("<", tag.stop if tag else at + 1)
+
+
+def _tag_at(html: str, at: int, ends: _Ends) -> Tag | None:
+    whole = _TAG.match(html, at)
+    named = whole or _NAME.match(html, at)
+    if named:
+        name, closes = named[2].lower(), named[1] == "/"
+        if name in _RAW and not closes:
+            inside = html.find(">", named.end(2)) + 1 if named.end(2) <= ends.last else 0
+            shut = _SHUT[name].search(html, inside) if inside else None
+            rest = html[inside:shut.start() if shut else len(html)]
+            return Tag(at, shut.end() if shut else len(html), name, closes, rest) if inside else None
+        if whole:
+            return Tag(at, whole.end(), name, closes, whole[3])
+        end = ends.find(named.end())
+        return Tag(at, end + 1, name, closes, html[named.end():end]) if end >= 0 else None
+    if html.startswith("<!--", at):
+        end = html.find("-->", at + 4)
+        return Tag(at, end + 3 if end >= 0 else len(html), "", False, "")
+    if html.startswith(("<!", "<?"), at) and at < ends.last:
+        return Tag(at, html.find(">", at) + 1, "", False, "")
+    return None
+
+
 def read_page(html: str, base: str) -> Page:
     """Title, language, links and visible text of a page, in one pass over its tags."""
     html = html.replace("\0", "")
     origin = _ORIGIN.match(base)
     title, lang, links, parts = "", "", [], []
     done = 0
-    for m in _TAG.finditer(html):
-        if done < m.start():
-            parts.append(_plain(html[done:m.start()]))
-        done = m.end()
-        name = (m["raw"] or m["name"] or "").lower()
-        if name == "title":
-            title = title or _plain(m["inside"])
-        elif name == "a" and not m["end"]:
-            link = _HREF.search(m["rest"])
+    for tag in tags(html):
+        if done < tag.start:
+            parts.append(_plain(html[done:tag.start]))
+        done = tag.stop
+        if tag.name == "title" and not tag.closes:
+            title = title or _plain(tag.rest)
+        elif tag.name == "a" and not tag.closes:
+            link = _HREF.search(tag.rest)
             if link:
                 links.append(_resolve(origin, base, _plain(link[1] or link[2] or link[3] or "").strip()))
-        elif name == "html" and not m["end"]:
-            found = _LANG.search(m["rest"])
+        elif tag.name == "html" and not tag.closes:
+            found = _LANG.search(tag.rest)
             lang = found[1] if found else ""
-        if name in _BREAKS:
+        if tag.name in _BREAKS:
             parts.append("\0")
     parts.append(_plain(html[done:]))
     lines = (" ".join(line.split()) for line in "".join(parts).split("\0"))
@@ -151,14 +226,14 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if not mark or not head.startswith(b"HTTP/"):
         return "", [], block
     first, *rest = head.decode("latin-1").split("\r\n")
-    fields: list[tuple[str, str]] = []
+    fields: list[tuple[str, list[str]]] = []
     for line in rest:
         if line[:1] in " \t" and fields:
-            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}")
+            fields[-1][1].append(line.strip())
         else:
             name, _, value = line.partition(":")
-            fields.append((name.strip(), value.strip()))
-    return first, fields, body
+            fields.append((name.strip(), [value.strip()]))
+    return first, [(name, " ".join(parts)) for name, parts in fields], body
 
 
 def _record(kind: str, source: dict, media: str, block: bytes, payload: str | None, copied: list[tuple[str, str]]) -> dict:
