@@ -1,13 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 The automaton holds every window of ``WINDOW`` consecutive words of the items
-(questions and answers), normalised; an item of fewer words is one window. Each text
-is normalised in the same way and scanned once, whole. A word inside an occurrence is
-hit, and runs of hit words are given as spans of the original text.
+(questions and answers), normalised; an item of fewer words is one window. Its letters
+are numbers: one for each of the words that the items use most, two for any other, as
+nodes with many children are slow to leave. Each text is normalised in the same way and
+scanned once, whole, stretch by stretch. A word inside an occurrence is hit, and runs of
+hit words are given as spans of the original text.
 
 Normal form: A-Z in lower case; words are runs of digits, a-z and characters beyond
-ASCII; one space between them and at both ends, so that matches begin and end with
-words.
+ASCII.
 
 Cases: a null or empty text has no words and no hits; a null or empty item has no
 window; items that share a window all count; a repeated row gets its own result; with
@@ -20,6 +21,9 @@ from __future__ import annotations
 import math
 import string
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -32,8 +36,9 @@ from pyspark.sql import types as T
 from earshot.llm import arrow
 
 WINDOW = 13
-#: Items are broadcast and scanned in blocks of about so many bytes of text.
-BLOCK_BYTES = 16 << 20
+#: Items are broadcast and scanned in blocks of about so many bytes of text. An automaton
+#: takes about 120 bytes for each of these, at worst.
+BLOCK_BYTES = 4 << 20
 
 _KEPT = {*string.digits.encode(), *string.ascii_lowercase.encode(), *range(128, 256)}
 _FOLD = bytes(
@@ -42,54 +47,119 @@ _FOLD = bytes(
 _WORDS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
-#: The last automaton a worker built, by the name of its block.
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
+#: Texts are turned into numbers in stretches of about so many bytes.
+STRETCH = 1 << 18
+
+
+#: So many words have a letter of their own; second letters begin at LOW.
+COMMON = 512
+LOW = 1 << 20
+
+
+class _Letters(dict):
+    """Letters of the words of the items, common words first; 0 for any other word."""
+
+    def __init__(self, words: list[bytes]):
+        side = max(256, math.isqrt(len(words)) + 1)
+        high, low = COMMON + 1, LOW
+        super().__init__(
+            (word, (at + 1,) if at < COMMON else (high + (at - COMMON) // side, low + (at - COMMON) % side))
+            for at, word in enumerate(words)
+        )
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        return (0,)
+
+    def of(self, words: list[bytes]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.__getitem__, words)))
+
+
+class Windows:
+    """The automaton of (id, text) items, and the length and owners of each window."""
+
+    def __init__(self, items: list[tuple[str, bytes]]):
+        uses = Counter(chain.from_iterable(text.translate(_FOLD).split() for _, text in items))
+        self.letters = _Letters(sorted(uses, key=lambda w: (-uses[w], w)))
+        self.lengths = bytearray()
+        #: The one item, or the list of items, that has the window.
+        self.owners: list[str | list[str]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for name, text in items:
+            words = text.translate(_FOLD).split()
+            for at in range(max(1, len(words) - WINDOW + 1)) if words else ():
+                self._add(name, words[at:at + WINDOW])
+        self.automaton.make_automaton()
+
+    def _add(self, name: str, window: list[bytes]) -> None:
+        letters = self.letters.of(window)
+        known = self.automaton.get(letters, -1)
+        if known < 0:
+            self.automaton.add_word(letters, len(self.owners))
+            self.owners.append(name)
+            self.lengths.append(len(window))
+        elif isinstance(self.owners[known], list):
+            self.owners[known].append(name)
+        elif self.owners[known] != name:
+            self.owners[known] = [self.owners[known], name]
+
+    def names(self, windows: set[int]) -> set[str]:
+        out: set[str] = set()
+        for number in windows:
+            owner = self.owners[number]
+            out.update(owner if isinstance(owner, list) else (owner,))
+        return out
 
-def normal(text: bytes) -> bytes:
-    return b" " + b" ".join(text.translate(_FOLD).split()) + b" "
 
-
-def build(items: list[tuple[str, bytes]]) -> ahocorasick.Automaton:
-    """The automaton of (id, text) items; a match tells its words and its items."""
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for name, text in items:
-        words = text.translate(_FOLD).split()
-        for at in range(max(1, len(words) - WINDOW + 1)) if words else ():
-            part = words[at:at + WINDOW]
-            key = (b" " + b" ".join(part) + b" ").decode("latin-1")
-            owners.setdefault(key, (len(part), set()))[1].add(name)
-    automaton = ahocorasick.Automaton()
-    for key, (words, names) in owners.items():
-        automaton.add_word(key, (words, frozenset(names)))
-    automaton.make_automaton()
-    return automaton
+#: The last automaton a worker built, by the name of its block.
+_BUILT: dict[str, Windows] = {}
 
 
-def _automaton(name: str, items: Broadcast) -> ahocorasick.Automaton:
+def _windows(name: str, items: Broadcast) -> Windows:
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = build(items.value)
+        _BUILT[name] = Windows(items.value)
     return _BUILT[name]
 
 
-def scan(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+def _stretches(flat: bytes) -> Iterator[list[bytes]]:
+    """Words of a text in lower case and spaces, some thousand at a time."""
+    at = 0
+    while at < len(flat):
+        end = flat.find(b" ", at + STRETCH)
+        end = len(flat) if end < 0 else end
+        words = flat[at:end].split()
+        if words:
+            yield words
+        at = end
+
+
+def scan(windows: Windows, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of a text, its runs of hit words (first, last), and the items found."""
-    flat = normal(text)
-    words = flat.count(b" ") - 1 if len(flat) > 2 else 0
-    if not words or not len(automaton):
-        return words, [], set()
-    found = list(automaton.iter(flat.decode("latin-1")))
-    if not found:
-        return words, [], set()
-    spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-    ends = np.searchsorted(spaces, [end for end, _ in found])
-    names: set[str] = set()
-    marks = []
-    for end, (_, (length, owners)) in zip(ends.tolist(), found):
-        names |= owners
-        marks.append((end - length, end - 1))
-    return words, merge(marks), names
+    n_words, n_letters, runs, found = 0, 0, [], set()
+    matches = None
+    for words in _stretches(text.translate(_FOLD)):
+        before = n_words
+        n_words += len(words)
+        if not windows.owners:
+            continue
+        letters = windows.letters.of(words)
+        if matches is None:
+            matches = windows.automaton.iter(letters)
+        else:
+            matches.set(letters)
+        hits = list(matches)
+        if hits:
+            codes = np.array(letters)
+            word_at = before - 1 + np.cumsum((codes <= COMMON) | (codes >= LOW))
+            lasts = word_at[np.array([at for at, _ in hits]) - n_letters].tolist()
+            for last, (_, number) in zip(lasts, hits):
+                found.add(number)
+                first = last - windows.lengths[number] + 1
+                while runs and first <= runs[-1][1] + 1:
+                    first = min(first, runs.pop()[0])
+                runs.append((first, last))
+        n_letters += len(letters)
+    return n_words, runs, windows.names(found)
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,11 +217,11 @@ def _scan_block(df: DataFrame, held: Broadcast, text: str, first: bool, last: bo
     name = uuid.uuid4().hex
 
     def make():
-        automaton = _automaton(name, held)
+        windows = _windows(name, held)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = arrow.raw(batch.column(text))
-            results = [scan(automaton, x) for x in texts]
+            results = [scan(windows, x) for x in texts]
             if not first:
                 before = zip(batch.column("_runs").to_pylist(), batch.column("_names").to_pylist())
                 results = [

@@ -58,9 +58,18 @@ def brute_contamination(text, items):
     return len(flat), len(hit), sorted(names), chars
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
-def test_contamination(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, stretch, common", [(4 << 20, 1 << 18, 128), (200, 7, 2), (4 << 20, 50, 0)])
+def test_contamination(spark, monkeypatch, block, stretch, common):
     monkeypatch.setattr(contamination, "BLOCK_BYTES", block)
+    # The tasks' module is another one than ours.
+    for text in ("é1 x1 a b the don", "b " * 40 + "é1 x1 a b the don a", "x" * 300 + " a b zebra"):
+        monkeypatch.setattr(contamination, "STRETCH", stretch)
+        monkeypatch.setattr(contamination, "COMMON", common)
+        items = [("1", "é1 x1 a"), ("2", "b b " * 7), ("3", "zebra"), ("4", "don a q"), ("5", "x1"), ("6", "the é1 " * 9)]
+        windows = contamination.Windows([(k, t.encode()) for k, t in items])
+        n, runs, names = contamination.scan(windows, text.encode())
+        want = brute_contamination(text, items)
+        assert (n, sum(b - a + 1 for a, b in runs), sorted(names)) == want[:3]
     rng = random.Random(1)
     vocabulary = ["the", "Été", "x1", "don", "a", "b"]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate((14, 20, 13, 3, 1, 40))]
@@ -87,6 +96,24 @@ def test_contamination(spark, monkeypatch, block):
     assert contamination.contamination(table(spark, []), none).count() == 0
 
 
+def test_contamination_takes_bounded_memory_for_items_and_long_texts():
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(20_000)]
+    # Word frequencies as in texts, the k-th word about 1 / k.
+    weights = [1 / (k + 1) for k in range(len(words))]
+    items = [(str(k), " ".join(rng.choices(words, weights, k=100)).encode()) for k in range(2_200)]
+    assert 1_000_000 < sum(len(t) for _, t in items)
+    windows = contamination.Windows(items)
+    assert windows.automaton.get_stats()["total_size"] < 125_000_000
+    text = b" ".join(t for _, t in items[:500])
+    tracemalloc.start()
+    n, runs, names = contamination.scan(windows, text * 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 500 * 100 * 5 - 4 and len(runs) == 1 or len(names) == 500
+    assert peak < 40_000_000
+
+
 # Personal data.
 
 
@@ -331,6 +358,35 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0)), "page_id").count() == 0
 
 
+@pytest.mark.parametrize("page, text, links", [
+    ("a <b x='1 > 2'>c</b> d", "a c d", []), ("a < b <3 c", "a < b <3 c", []), ("a<!-- x > y -->b<!-- c", "ab", []),
+    ("<a href='/u' title=\"x>y\">t</a>", "t", ["http://h/u"]), ("<a href=u <p>t", "t", ["http://h/u"]),
+    ("<a href='u>t", "<a href='u>t", []), ("a<!doctype x>b<?php c", "ab<?php c", []), ("a<script b", "a<script b", []),
+    ("a<SCRIPT>b</script >c<style>d", "ac", []), ("<title>a</title>b</title>c", "b\nc", []), ("<a 'q' <a \"", "<a 'q' <a \"", []),
+    ("<p 'a\" <p 'b>c", "c", []), ("<p \"'\" x>c<p '>", "c<p '>", []), ("<div><a href=x", "<a href=x", []),
+])
+def test_pages_with_odd_tags(page, text, links):
+    read = warc.read_page(page, "http://h/p")
+    assert (read.text, read.links) == (text, links)
+
+
+def test_tags_end_where_the_stated_pattern_says():
+    rng = random.Random(3)
+    whole = re.compile(r"<(/?)([a-z][^\s/>\"'<]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
+    for _ in range(3_000):
+        page = "".join(rng.choice(["<p", "<a ", "</p", ">", '"', "'", " x", "=", "<", "/"]) for _ in range(rng.randrange(25)))
+        assert [t[:2] for t in warc.tags(page)] == [m.span() for m in whole.finditer(page)], page
+
+
+def test_malformed_pages_take_time_in_proportion_to_their_length():
+    parts = ("<a ", "<a", '<a "', "<a '\" ", "<script ", "<!x ", '<a href="', "<title>", "<!--", "</script ", "<a \"'", "&#", "<a href=")
+    for part in parts:
+        for end in ("", ">", "'>", '">'):
+            warc.read_page(part * 100_000 + end, "http://h/")
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n" + b" z\r\n" * 300_000 + b"\r\nbody"
+    assert warc.split_http(block)[1] == [("X", "y" + " z" * 300_000)]
+
+
 def test_warc_derivatives_keep_every_source_header():
     block = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nServer: x\r\nX-Empty:\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n<p>t"
     headers = [
