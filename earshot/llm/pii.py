@@ -35,7 +35,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-# Letters that look like Latin ones, and the words for digits.
+# Letters that look like Latin ones, the words for digits, for dots and for "at".
 _ALIKE = dict(zip(
     "абвеіјкмнорсѕтухԁԛԝһАВЕІЈКМНОРСЅТУХαβγεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "abbeijkmhopcstyxdqwhABEIJKMHOPCSTYXabyeiknoptuxABEZHIKMNOPTYX",
@@ -46,7 +46,7 @@ _DIGIT_WORDS = {
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6",
     "sieben": "7", "acht": "8", "neun": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
@@ -54,9 +54,10 @@ _DIGIT_WORDS = {
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _OPEN, _SHUT = r"[(\[{<]", r"[)\]}>]"
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
+_AT_WORD = r"(?:at|ät|arroba|arobase)"
 _BRACKETED = rf"\s{{0,9}}{_OPEN}\s{{0,9}}(?:{_DOT_WORD}|\.)\s{{0,9}}{_SHUT}\s{{0,9}}"
-_DOT = rf"{_BRACKETED}|(?<=[\w)])\s{{1,9}}{_DOT_WORD}\s{{1,9}}(?=\w)"
-#: A bare "at" is only a sign before a domain that is spelled out: to any ending after a
+_DOT = rf"{_BRACKETED}|(?<=[\w)])\s{{1,9}}{_DOT_WORD}\s{{1,9}}(?=\w)|(?<=[A-Za-z0-9])[。｡](?=[a-z0-9])"
+#: A bare "at" (or its like) is only a sign before a domain that is spelled out: to any ending after a
 #: bracketed dot or a "dot" that isn't a noun, and to one of these after "point", "punkt"
 #: and "punto" ("at this point in").
 _TOP = "(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|at|ch|fr|be|ca|es|mx|it|nl|pl|ru|example|test)"
@@ -71,11 +72,15 @@ _DOMAIN_AHEAD = (
 _DISGUISES = {
     "digits": rf"(?P<digits>(?<!\w){_WORD}(?:[\s,-]{{1,3}}{_WORD})*(?!\w))",
     "plus": rf"(?P<plus>(?<!\w)plus\s{{1,9}}(?=[0-9]|{_WORD}\b))",
-    "signs": rf"(?P<at>\s{{0,9}}{_OPEN}\s{{0,9}}(?:at|@)\s{{0,9}}{_SHUT}\s{{0,9}}|\s{{1,9}}at\s{{1,9}}{_DOMAIN_AHEAD})"
+    "signs": rf"(?P<at>\s{{0,9}}{_OPEN}\s{{0,9}}(?:{_AT_WORD}|@)\s{{0,9}}{_SHUT}\s{{0,9}}|\s{{1,9}}{_AT_WORD}\s{{1,9}}{_DOMAIN_AHEAD})"
     rf"|(?P<dot>{_DOT})",
 }
 _EACH_WORD = re.compile(_WORD, re.IGNORECASE)
-_SIGN = re.compile(rf"{_OPEN}\s{{0,9}}(?:at|@|\.|{_DOT_WORD})\s{{0,9}}{_SHUT}", re.IGNORECASE)
+_SIGN = re.compile(rf"{_OPEN}\s{{0,9}}(?:{_AT_WORD}|@|\.|{_DOT_WORD})\s{{0,9}}{_SHUT}|[A-Za-z0-9][。｡][a-z0-9]", re.IGNORECASE)
+#: "un" is also an article: alone it only counts next to a digit.
+_ARTICLES = frozenset(("un",))
+_SURE_DIGITS = _DIGIT_WORDS.keys() - _ARTICLES
+_NEXT_TO_DIGIT = re.compile(r"\bun\b[\s.,-]{1,3}[0-9]|[0-9][\s.,-]{1,3}un\b", re.IGNORECASE)
 #: Runs of the letters that the words of the disguises are made of.
 _RUN = re.compile("[" + "".join(sorted(set("".join(_DIGIT_WORDS) + "abcdefghijklmnopqrstuvwxyz"))) + "]+")
 _DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
@@ -212,7 +217,8 @@ def _kinds(text: str) -> tuple[str, ...]:
     """
     words = set(_RUN.findall((text if text.isascii() else text.translate(_CASELESS)).lower()))
     return tuple(kind for kind, may in (
-        ("digits", not words.isdisjoint(_DIGIT_WORDS)), ("plus", "plus" in words),
+        ("digits", not words.isdisjoint(_SURE_DIGITS) or not words.isdisjoint(_ARTICLES) and _NEXT_TO_DIGIT.search(text)),
+        ("plus", "plus" in words),
         ("signs", not words.isdisjoint(_DOT_WORDS) or _SIGN.search(text)),
     ) if may)
 

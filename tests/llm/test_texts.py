@@ -156,6 +156,9 @@ def test_plain_spans_take_time_in_proportion_to_the_text():
     ("jоhn@exаmple.com", "email"), ("joh​n@ex​ample.com", "email"), ("john＠example．com", "email"),
     ("one nine two dot one six eight dot one dot one", "ip"), ("１９２.１６８.１.１", "ip"),
     ("４１１１ １１１１ １１１１ １１１１", "card"), ("four one one one " * 3 + "four one one two", None),
+    ("max (ät) beispiel (punkt) de", "email"), ("juan arroba ejemplo punto com", "email"), ("ann@mail。com", "email"),
+    ("jean (arobase) exemple (point) fr", "email"), ("+33 un deux trois quatre cinq six sept huit neuf", "phone"),
+    ("192.168.1.un", "ip"), ("un.deux.trois.quatre", "ip"),
     ("plus four nine one five one two three four five six seven", "phone"), ("+４９ 151 234 5678", "phone"),
 ])
 def test_disguises(hidden, kind):
@@ -378,6 +381,14 @@ def test_tags_end_where_the_stated_pattern_says():
         assert [t[:2] for t in warc.tags(page)] == [m.span() for m in whole.finditer(page)], page
 
 
+@pytest.mark.parametrize("clean", [
+    "Una arroba son once kilos, punto.", "Il y a un point de vue, un seul.", "En 2019, un homme. 10 et un.", "好。ok。no。",
+    "el punto de la arroba en la hoja",
+])
+def test_words_of_other_languages_alone_are_no_disguise(clean):
+    assert pii.disguised(clean, pii.plain(clean)) == []
+
+
 def test_malformed_pages_take_time_in_proportion_to_their_length():
     parts = ("<a ", "<a", '<a "', "<a '\" ", "<script ", "<!x ", '<a href="', "<title>", "<!--", "</script ", "<a \"'", "&#", "<a href=")
     for part in parts:
