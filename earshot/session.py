@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", app: str = "earshot", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -49,19 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def let_go(spark: SparkSession) -> None:
-    """Have Spark's cleaner remove shuffle files that nothing refers to any more.
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    It acts when the driver's JVM collects garbage, which a driver with little to do
-    seldom does by itself; between large steps the disks would fill meanwhile.
+    The shuffle files it was made from go as soon as it is written. Left to the driver's
+    garbage collection, those of all steps would stay on the disks together.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        # A plan of its own: the one ``df`` may have run already keeps its files.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
 
 
 def broadcast_if_small(
