@@ -12,6 +12,10 @@ from earshot.functions import scalars
 from earshot.session import broadcast_if_small
 
 
+#: Draws of one example that are held as an array.
+TURNS = 4096
+
+
 def holdout_rows(hours: float, window: int) -> int:
     return int(hours * 3600 / (window * SECONDS_PER_FRAME))
 
@@ -48,6 +52,36 @@ def batch_plan(
     )
 
 
+def drawn_examples(
+    examples: DataFrame, steps: int, sizes: dict[str, int], per_class: dict[str, int]
+) -> DataFrame:
+    """Rows (step, class, slot, idx, label, other columns): the batch plan with its examples.
+
+    ``examples`` has (class, idx). Its class makes ``steps * n`` draws, of which an example
+    is drawn at idx, idx + size and so on, so each works out its own and the plan, far
+    larger than the examples, is never joined. ``TURNS`` of them are held at a time.
+    """
+    of = lambda values: F.coalesce(*[
+        F.when(F.col("class") == name, F.lit(values[name]).cast("long")) for name in per_class
+    ])
+    turns = F.ceil((steps * F.col("_n") - F.col("idx")) / F.col("_size"))
+    first = F.col("_pack") * TURNS
+    pack = F.when(F.col("_turns") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("_turns") - 1) / TURNS)))
+    draw = F.col("idx") + F.col("_turn") * F.col("_size")
+    return (
+        examples.withColumns({"_n": of(per_class), "_size": of(sizes)})
+        .withColumn("_turns", turns)
+        .withColumn("_pack", F.explode(pack))
+        .withColumn("_turn", F.explode(F.sequence(first, F.least(first + TURNS, F.col("_turns")) - 1)))
+        .select(
+            F.floor(draw / F.col("_n")).alias("step"), "class",
+            F.pmod(draw, F.col("_n")).cast("int").alias("slot"), "idx",
+            F.when(F.col("class") == "positive", 1).otherwise(0).alias("label"),
+            *[c for c in examples.columns if c not in ("class", "idx")],
+        )
+    )
+
+
 def augmentation_rounds(clips: DataFrame, total: int, rounds: int) -> DataFrame:
     """Rows (clip columns, round, pos): the whole list repeated, copies far apart."""
     return clips.withColumn(

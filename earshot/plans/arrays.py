@@ -350,10 +350,13 @@ def cyclic_batches(spark, sf_dir):
     for name, rows in parts.items():
         rows = rows.select(F.lit(name).alias("class"), "idx", "id")
         examples = rows if examples is None else examples.unionByName(rows)
-    sizes = {r["class"]: r["count"] for r in examples.groupBy("class").count().collect()}
+    kinds = orders.agg(
+        F.count_if(~adversarial).alias("positive"), F.count_if(adversarial).alias("adversarial")
+    ).first()
+    sizes = {"negative": table(spark, sf_dir, "lineitem").count(), **kinds.asDict()}
     steps = -(-2 * sizes["negative"] // 1024)
-    plan = batches.batch_plan(spark, steps, sizes, BATCH_ROWS)
-    return plan.join(examples, ["class", "idx"]).groupBy("step", "class", "label").agg(
+    drawn = batches.drawn_examples(examples, steps, sizes, BATCH_ROWS)
+    return drawn.groupBy("step", "class", "label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"), F.sum("id").alias("id_sum")
     )
 
