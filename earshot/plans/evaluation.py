@@ -57,11 +57,31 @@ curve AS MATERIALIZED (
 )
 
 
-def exact_sql(rounds: int = 18, inputs: str = fx.CANDIDATES_SQL) -> str:
-    """Bisect the ranked thresholds of every set, candidate and budget.
+def bisect_sql(rounds: int | None) -> str:
+    """CTEs from ``ranked`` to the last ranks; without ``rounds``, until none is left between.
 
     The fold keeps count * 10^12 + first unblocked frame in one number.
     """
+    if rounds is None:
+        return f"""
+bisected AS (
+  SELECT set_name, candidate, budget, budget * hours AS allowed,
+         CAST(-1 AS BIGINT) AS lo, max(idx) AS hi
+  FROM ranked JOIN eval_sets USING (set_name) CROSS JOIN {BUDGET_SQL}
+  GROUP BY set_name, candidate, budget, hours
+  UNION ALL
+  SELECT set_name, candidate, budget, allowed,
+         CASE WHEN n <= allowed THEN lo ELSE mid END, CASE WHEN n <= allowed THEN mid ELSE hi END
+  FROM (
+    SELECT set_name, candidate, budget, allowed, lo, hi, mid, sum(list_reduce(
+             [CAST(0 AS BIGINT)] || list_transform(
+               list_filter(marks, lambda m: m.score > t.threshold), lambda m: m.frame_idx),
+             lambda acc, f: CASE WHEN f >= acc % 1000000000000
+               THEN (acc // 1000000000000 + 1) * 1000000000000 + f + {fx.GROUPING + 1}
+               ELSE acc END) // 1000000000000) AS n
+    FROM (SELECT *, (lo + hi) // 2 AS mid FROM bisected WHERE hi - lo > 1) m
+    JOIN ranked t USING (set_name, candidate) JOIN streams USING (set_name, candidate)
+    WHERE t.idx = mid GROUP BY ALL))"""
     steps = []
     for r in range(1, rounds + 1):
         steps.append(f"""
@@ -80,6 +100,18 @@ b{r} AS MATERIALIZED (
          CASE WHEN hi - lo <= 1 OR coalesce(n, 0) <= allowed THEN lo ELSE mid END AS lo,
          CASE WHEN hi - lo > 1 AND coalesce(n, 0) <= allowed THEN mid ELSE hi END AS hi
   FROM m{r} LEFT JOIN c{r} USING (set_name, candidate, budget))""")
+    return f"""
+b0 AS MATERIALIZED (
+  SELECT set_name, candidate, budget, budget * hours AS allowed,
+         CAST(-1 AS BIGINT) AS lo, max(idx) AS hi
+  FROM ranked JOIN eval_sets USING (set_name) CROSS JOIN {BUDGET_SQL}
+  GROUP BY set_name, candidate, budget, hours),""" + ",".join(steps)
+
+
+def exact_sql(rounds: int | None = 18, inputs: str = fx.CANDIDATES_SQL) -> str:
+    """Bisect the ranked thresholds of every set, candidate and budget."""
+    last = "bisected" if rounds is None else f"b{rounds}"
+    found = "hi - lo <= 1 AND idx = hi" if rounds is None else "idx = hi"
     return (
         "WITH RECURSIVE" + inputs + f""",
 streams AS MATERIALIZED (
@@ -90,15 +122,10 @@ ranked AS MATERIALIZED (
   SELECT set_name, candidate, threshold,
          row_number() OVER (PARTITION BY set_name, candidate ORDER BY threshold) - 1 AS idx
   FROM (SELECT DISTINCT set_name, candidate, score AS threshold FROM fa
-        UNION ALL SELECT DISTINCT set_name, candidate, -1.0 FROM fa)),
-b0 AS MATERIALIZED (
-  SELECT set_name, candidate, budget, budget * hours AS allowed,
-         CAST(-1 AS BIGINT) AS lo, max(idx) AS hi
-  FROM ranked JOIN eval_sets USING (set_name) CROSS JOIN {BUDGET_SQL}
-  GROUP BY set_name, candidate, budget, hours),""" + ",".join(steps) + f""",
+        UNION ALL SELECT DISTINCT set_name, candidate, -1.0 FROM fa)),""" + bisect_sql(rounds) + f""",
 thresholds AS MATERIALIZED (
   SELECT set_name, candidate, budget, threshold
-  FROM b{rounds} JOIN ranked USING (set_name, candidate) WHERE idx = hi),
+  FROM {last} JOIN ranked USING (set_name, candidate) WHERE {found}),
 exact AS MATERIALIZED (
   SELECT set_name, candidate, budget, threshold,
          avg(CASE WHEN score > threshold THEN 1.0 ELSE 0.0 END) AS recall
@@ -113,6 +140,8 @@ cond AS MATERIALIZED (
 
 
 EXACT_SQL = exact_sql()
+#: The same for any number of scores; 18 rounds reach no more than 2 ** 18 of them.
+ANY_SIZE_SQL = exact_sql(None)
 
 
 def transfer_sql(splits: int) -> str:
@@ -267,7 +296,7 @@ def recall_profile(spark, sf_dir):
     return roc.recall_profile(curve_rows(spark, sf_dir), ["set_name", "candidate"])
 
 
-@query("agg7_exact_profile", EXACT_SQL + "SELECT * FROM exact")
+@query("agg7_exact_profile", ANY_SIZE_SQL + "SELECT * FROM exact")
 def exact_profile(spark, sf_dir):
     return exact_rows(spark, sf_dir)
 
