@@ -161,7 +161,7 @@ eval_sets AS MATERIALIZED (
         WHERE candidate = 'final' GROUP BY ALL) d JOIN whole_sets w ON w.set_name = d.base),
 fa AS MATERIALIZED (SELECT set_name, candidate, stream_id, frame_idx, score FROM dealt WHERE half = 0)"""
     )
-    return exact_sql(18, inputs) + f""",
+    return exact_sql(None, inputs) + f""",
 rest AS MATERIALIZED (
   SELECT set_name, candidate, budget, stream_id, frame_idx
   FROM dealt JOIN thresholds USING (set_name, candidate) WHERE half = 1 AND score > threshold),
