@@ -367,7 +367,7 @@ def standard_error(spark, sf_dir):
     )
 
 
-@query("jn2_condition_thresholds", EXACT_SQL + """
+@query("jn2_condition_thresholds", ANY_SIZE_SQL + """
 SELECT set_name, candidate, budget, threshold, condition, count(*) AS clips,
        count(*) FILTER (score > threshold) AS clear
 FROM thresholds JOIN conditions USING (candidate) GROUP BY ALL""")

@@ -1,9 +1,19 @@
 """What only shows on larger tables, on small ones made to show it."""
 
+import os
+import sys
+
+import duckdb
 from pyspark.sql import functions as F
 
-from earshot import plans
-from earshot.operators import batches
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+import check  # noqa: E402
+
+import __spark_entry__ as entrypoint  # noqa: E402
+from earshot import plans, session  # noqa: E402
+from earshot.operators import batches  # noqa: E402
+from earshot.plans import evaluation  # noqa: E402
 
 
 def test_examples_work_out_their_own_draws(spark, monkeypatch):
@@ -23,3 +33,14 @@ def test_examples_work_out_their_own_draws(spark, monkeypatch):
 def test_the_batch_plan_is_never_broadcast(spark, sf_dir):
     plan = plans.queries()["smp13_cyclic_batches"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_thresholds_in_sql_for_any_number_of_scores(sf_dir):
+    """A fixed number of rounds ends before the search does once there are more scores than it reaches."""
+    con = check.connect(sf_dir)
+    rows = lambda sql: sorted(con.execute(sql + "SELECT * FROM exact").fetchall())
+    found = rows(evaluation.exact_sql(None))
+    assert found == rows(evaluation.exact_sql(18)) != rows(evaluation.exact_sql(5))
+    named = entrypoint.oracle_sql()
+    for name in ("agg7_exact_profile", "jn2_condition_thresholds", "agg23_split_half"):
+        assert "bisected" in named[name] and "b18" not in named[name]
