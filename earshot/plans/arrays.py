@@ -67,8 +67,8 @@ WITH placed AS (
 SELECT role, doc_id, seg,
        CAST(greatest(start, seg * {SEGMENT}) AS BIGINT) AS at,
        CAST(least(start + n_chars, (seg + 1) * {SEGMENT}) - greatest(start, seg * {SEGMENT}) AS BIGINT) AS take
-FROM placed JOIN range(0, 100000) s(seg)
-  ON seg * {SEGMENT} < start + n_chars AND (seg + 1) * {SEGMENT} > start
+FROM placed, LATERAL (SELECT unnest(range(CAST(start // {SEGMENT} AS BIGINT),
+                                          CAST((start + n_chars - 1) // {SEGMENT} + 1 AS BIGINT))) AS seg)
 WHERE n_chars > 0""")
 def segment_overlaps(spark, sf_dir):
     clips = table(spark, sf_dir, "documents").select(F.col("lang").alias("role"), "doc_id", "n_chars")

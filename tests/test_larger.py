@@ -44,3 +44,11 @@ def test_thresholds_in_sql_for_any_number_of_scores(sf_dir):
     named = entrypoint.oracle_sql()
     for name in ("agg7_exact_profile", "jn2_condition_thresholds", "agg23_split_half"):
         assert "bisected" in named[name] and "b18" not in named[name]
+
+
+def test_overlaps_in_sql_of_a_role_with_many_segments(spark, tmp_path):
+    """Segment numbers beyond 100,000, as a gigabyte of documents has them."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT i AS doc_id, 'en' AS lang, 150000000 + i AS n_chars FROM range(2) r(i)")
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    assert check.compare(spark, con, "jn9_segment_overlaps", str(tmp_path)).startswith("ok: 15000")
