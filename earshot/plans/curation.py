@@ -269,11 +269,15 @@ def held_out_speakers(spark, sf_dir):
 
 
 @query("smp3_smallest_total", f"""WITH {PAIR_SQL},
+size AS (SELECT n, v, greatest(n - v, 1) AS u, CAST(ceil(25000 / greatest(n - v, 1)) AS BIGINT) AS q
+         FROM n CROSS JOIN (SELECT count(*) AS v FROM held)),
+reach AS (  -- so many rows of pairs hold both quotas: q of the n - v others, or those that give 4000 of v each
+  SELECT n * greatest(q + v * CAST(ceil(q / u) AS BIGINT), CAST(ceil(4000 / greatest(v, 1)) AS BIGINT)) AS clips FROM size),
 walk AS (
   SELECT i, row_number() OVER (PARTITION BY val ORDER BY i) AS rn, val FROM (
     SELECT i, ((i % (n * n)) // n IN (FROM held)) OR ((i % (n * n)) % n IN (FROM held)) AS val
-    FROM n CROSS JOIN range(0, 60000) r(i)))
-SELECT max(i) + 1 AS total FROM walk WHERE (NOT val AND rn = 25000) OR (val AND rn = 4000)""")
+    FROM n CROSS JOIN (SELECT unnest(range(0, clips)) AS i FROM reach)))
+SELECT coalesce(max(i) + 1, 0) AS total FROM walk WHERE (NOT val AND rn = 25000) OR (val AND rn = 4000)""")
 def smallest_total(spark, sf_dir):
     return splits.smallest_total(speakers(spark, sf_dir), held_out(spark, sf_dir), 25000, 4000)
 

@@ -52,3 +52,12 @@ def test_overlaps_in_sql_of_a_role_with_many_segments(spark, tmp_path):
     con.execute("CREATE TABLE documents AS SELECT i AS doc_id, 'en' AS lang, 150000000 + i AS n_chars FROM range(2) r(i)")
     con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
     assert check.compare(spark, con, "jn9_segment_overlaps", str(tmp_path)).startswith("ok: 15000")
+
+
+def test_smallest_total_in_sql_with_many_speakers(spark, tmp_path):
+    """With 1,000 speakers, 4,000 clips of held-out ones take more than 60,000 clips."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey FROM range(1000) r(i)")
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey FROM range(3) r(i)")
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    assert check.compare(spark, con, "smp3_smallest_total", str(tmp_path)).startswith("ok")
