@@ -10,7 +10,7 @@ from earshot.operators import report, roc, selection, stress
 from earshot.plans import evaluation
 from earshot.plans import fixtures as fx
 from earshot.plans.registry import query, table
-from earshot.session import pin
+from earshot.session import pin, spread
 from earshot.sources import metrics, publish
 
 BUDGET = 0.5
@@ -545,8 +545,11 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS finished_
        round((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000000, 1) AS elapsed, count(*) AS n
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def times(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").join(
-        table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    size = orders.count() + items.count()
+    rows = spread(orders, size, "o_orderkey").join(
+        spread(items, size, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     return rows.groupBy(
         "o_orderkey", scalars.iso_utc("o_orderdate").alias("finished_at"),

@@ -79,6 +79,12 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
+def spread(df: DataFrame, rows: int, *keys: str, rows_per_task: int = 500_000) -> DataFrame:
+    """Deal ``df`` by ``keys`` over so many tasks that their share doesn't grow with ``rows``."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // rows_per_task)), *keys)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes in memory."""
     size = F.lit(16 * len(df.columns)).cast("long")

@@ -61,3 +61,13 @@ def test_smallest_total_in_sql_with_many_speakers(spark, tmp_path):
     con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey FROM range(3) r(i)")
     con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
     assert check.compare(spark, con, "smp3_smallest_total", str(tmp_path)).startswith("ok")
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    few, many = (session.spread(spark.range(10), rows, "id").rdd.getNumPartitions() for rows in (10, 36_000_000))
+    assert few == 4 and many == 72
+
+
+def test_elapsed_times_are_dealt_by_order_once(spark, sf_dir):
+    rows = plans.queries()["scl8_times"](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().toString()
