@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.session import broadcast_if_small, pin
+
 ROWS_PER_TASK = 2_000_000
 MAX_SPLITS = 4096
 OVERSAMPLE = 32
@@ -67,6 +69,37 @@ def row_positions(
     return prefix_sum(df, group, order, F.lit(1).cast("long"), out, rows_per_task)
 
 
+def head(
+    df: DataFrame, group: list[str], order: str, wanted: Column, bins: int = 4096
+) -> DataFrame:
+    """The rows that can be among the first ``wanted`` of their group by ``order``, a number.
+
+    They are found by counts in ``bins`` equal steps of ``order``, added up before they are
+    shuffled: all steps up to the one in which a group has its ``wanted`` rows. Rows without
+    ``order`` come first. ``wanted`` depends on the group only; without it no row is kept.
+    """
+    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    width = ((high or 0.0) - (low or 0.0)) / bins or 1.0
+    # Casts, differences and quotients are rounded, but never fall where ``order`` rises.
+    step = F.coalesce(F.floor((F.col(order).cast("double") - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1))
+    stepped = df.withColumn("_step", step)
+    before = Window.partitionBy(*group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (
+        stepped.groupBy(*group, "_step").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .where(F.col("_before") < wanted)
+        .groupBy(*group).agg(F.max("_step").alias("_end"))
+        .select(*[F.col(c).alias(f"_of_{c}") for c in group], "_end")
+    )
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return (
+        stepped.join(broadcast_if_small(pin(ends)), same & (F.col("_step") <= F.col("_end")))
+        .select(*df.columns)
+    )
+
+
 def _keys(group: list[str]) -> list:
     return list(group) if group else [F.lit(0)]
 

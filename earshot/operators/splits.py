@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from earshot.functions import scalars
-from earshot.operators.positions import prefix_sum, row_positions
+from earshot.operators.positions import head, prefix_sum, row_positions
 from earshot.session import broadcast_if_small
 
 
@@ -92,8 +93,12 @@ def smallest_total(
 
 def cap_to_quota(examples: DataFrame, quotas: dict[str, int], order: str = "idx") -> DataFrame:
     """The first rows of each (kind, split) in index order, up to the split's quota."""
-    placed = row_positions(examples, ["kind", "split"], [order], "place")
+    keys = ["kind", "split"]
     quota = F.coalesce(*[F.when(F.col("split") == s, F.lit(q)) for s, q in quotas.items()])
+    if isinstance(examples.schema[order].dataType, NumericType):
+        # Quotas are far smaller than what they are drawn from: only that much is sorted.
+        examples = head(examples, keys, order, quota)
+    placed = row_positions(examples, keys, [order], "place")
     return placed.where(F.col("place") < quota)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from earshot.functions import scalars
 from earshot.operators import splits
 from earshot.plans.registry import query, table
+from earshot.session import pin
 from earshot.sources import ingest, publish
 
 SEED = 11
@@ -309,7 +310,7 @@ SELECT kind, split, count(*) AS counted, count(*) AS listed, true AS agrees,
        count(*) >= CASE split WHEN 'train' THEN 9000 ELSE 1200 END AS meets_quota
 FROM capped GROUP BY kind, split""")
 def split_accounting(spark, sf_dir):
-    rows = splits.cap_to_quota(split_examples(spark, sf_dir), QUOTAS)
+    rows = pin(splits.cap_to_quota(split_examples(spark, sf_dir), QUOTAS))
     path = publish.shared_folder(spark, "split")
     rows.select("kind", "split", "idx").write.parquet(path)
     return splits.split_accounting(rows, spark.read.parquet(path), QUOTAS)

@@ -12,7 +12,7 @@ import check  # noqa: E402
 
 import __spark_entry__ as entrypoint  # noqa: E402
 from earshot import plans, session  # noqa: E402
-from earshot.operators import batches  # noqa: E402
+from earshot.operators import batches, positions, splits  # noqa: E402
 from earshot.plans import evaluation  # noqa: E402
 
 
@@ -71,3 +71,26 @@ def test_tasks_grow_in_number_with_the_rows(spark):
 def test_elapsed_times_are_dealt_by_order_once(spark, sf_dir):
     rows = plans.queries()["scl8_times"](spark, sf_dir)
     assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().toString()
+
+
+def test_only_the_rows_near_the_quota_are_sorted(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("a")).alias("kind"),
+        F.when(F.col("id") % 7 == 0, "val").when(F.col("id") % 11 == 0, "rest").otherwise("train").alias("split"),
+        F.when(F.col("id") % 5000 != 4999, F.col("id") * F.col("id") - 10 ** 7).alias("idx"), "id",
+    )
+    wanted = F.when(F.col("split") == "val", 20).when(F.col("split") == "train", 500)
+    near = positions.head(rows, ["kind", "split"], "idx", wanted)
+    assert near.count() < 3000
+    place = lambda df: positions.row_positions(df, ["kind", "split"], ["idx", "id"], "place").where(F.col("place") < wanted)
+    assert sorted(place(near).collect(), key=str) == sorted(place(rows).collect(), key=str)
+    assert positions.head(rows.limit(0), ["kind", "split"], "idx", wanted).isEmpty()
+
+
+def test_quotas_do_not_sort_every_example(spark, monkeypatch):
+    sorted_rows = []
+    whole = splits.row_positions
+    monkeypatch.setattr(splits, "row_positions", lambda df, *rest: sorted_rows.append(df.count()) or whole(df, *rest))
+    rows = spark.range(50_000).selectExpr("'k' as kind", "if(id % 9 = 0, 'val', 'train') as split", "id as idx")
+    capped = splits.cap_to_quota(rows, {"train": 100, "val": 10})
+    assert capped.count() == 110 and sorted_rows[0] < 1000
