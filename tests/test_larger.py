@@ -94,3 +94,15 @@ def test_quotas_do_not_sort_every_example(spark, monkeypatch):
     rows = spark.range(50_000).selectExpr("'k' as kind", "if(id % 9 = 0, 'val', 'train') as split", "id as idx")
     capped = splits.cap_to_quota(rows, {"train": 100, "val": 10})
     assert capped.count() == 110 and sorted_rows[0] < 1000
+
+
+def test_pieces_by_steps_of_a_whole_number(spark, monkeypatch):
+    """Found without splitters; nulls first, gaps, ties and negative numbers."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 500 = 3, null, (id div 3) * (id div 3) - 100000) as a", "id", "abs(hash(id)) % 9 as v"
+    )
+    plain = positions.prefix_sum(rows, [], ["a", "id"], "v", "before")
+    monkeypatch.setattr(positions, "_split_hot_groups", None)
+    cut = positions.prefix_sum(rows, [], ["a", "id"], "v", "before", rows_per_task=200)
+    assert "_piece" in cut._jdf.queryExecution().toString()
+    assert sorted(cut.collect(), key=str) == sorted(plain.collect(), key=str)
