@@ -10,7 +10,7 @@ from earshot.operators import audio, batches, positions, roc, scoring, stress
 from earshot.plans import evaluation, live
 from earshot.plans import fixtures as fx
 from earshot.plans.registry import query, table
-from earshot.session import broadcast_if_small
+from earshot.session import broadcast_if_small, spread
 from earshot.sources import ingest, npy, publish
 
 SEED = 3
@@ -239,6 +239,8 @@ def augmented(spark, sf_dir):
     responses = vectors(spark, sf_dir).groupBy(F.col("label").cast("long").alias("rir_no")).agg(
         F.min_by("embedding", "vec_id").alias("response")
     )
+    # Rows are small and their work is not: dealt by number, not left to be put together by size.
+    planned = spread(planned, 2 * files, "round", "clip_no", rows_per_task=20_000)
     return audio.apply_augmentation(planned, responses, SEED)
 
 

@@ -12,6 +12,7 @@ import check  # noqa: E402
 
 import __spark_entry__ as entrypoint  # noqa: E402
 from earshot import plans, session  # noqa: E402
+from earshot.functions import dsp  # noqa: E402
 from earshot.operators import batches, positions, splits  # noqa: E402
 from earshot.plans import evaluation  # noqa: E402
 
@@ -106,3 +107,15 @@ def test_pieces_by_steps_of_a_whole_number(spark, monkeypatch):
     cut = positions.prefix_sum(rows, [], ["a", "id"], "v", "before", rows_per_task=200)
     assert "_piece" in cut._jdf.queryExecution().toString()
     assert sorted(cut.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_mel_tables_are_made_once_for_a_block_size():
+    dsp._mel_tables.cache_clear()
+    for seed in range(5):
+        dsp.log_mel_features(dsp.white_noise(64, seed))
+    assert dsp._mel_tables.cache_info().misses == 1
+
+
+def test_augmentation_is_dealt_by_rows(spark, sf_dir):
+    plan = plans.queries()["aud11_features"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
