@@ -10,7 +10,8 @@ longer last piece. For a BPE model a piece may follow another only if merging th
 by rank gives the two back; the path that keeps to this is the one the merges give, so
 the ids are those of the merge algorithm. Where no piece spans two neighbouring
 characters every path has a boundary, so text is cut there and what the search gave
-for a stretch is remembered by the worker.
+for a stretch is remembered by the worker. Short stretches are searched many at a time:
+their lattices grow by one boundary at once, as arrays.
 
 Cases: a null or empty text has no ids; a character without a piece becomes byte
 pieces if the model has them, else the unknown id (one for a run); texts are encoded
@@ -22,6 +23,7 @@ space, as the format has it, and unknown ids become U+2047.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +38,11 @@ from earshot.llm.memo import Memo
 
 SPACE = "▁"
 MAX_PAIRS = 150_000
+#: Stretches of up to so many characters are searched together, so many at a time.
+SHORT = 64
+TOGETHER = 8192
+#: Slots for what arrays of pairs gave, two to the power of this.
+PAIR_BITS = 19
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -257,6 +264,190 @@ class Stream:
                 self.ids.append(self.pieces.unknown)
 
 
+class Lookup:
+    """Whole numbers (0 or more) by keys (0 or more), for arrays of keys; -1 for other keys."""
+
+    def __init__(self, table: dict[int, int]):
+        self.shift = np.uint64(64 - max(4, (2 * len(table)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.full(len(self.keys), -1, np.int32)
+        keys, values = np.fromiter(table.keys(), np.int64), np.fromiter(table.values(), np.int32)
+        slots = slots_of(keys, self.shift)
+        while keys.size:
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) & (len(self.keys) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slots = slots_of(keys, self.shift)
+        there = self.keys[slots]
+        out = self.values[slots]
+        wrong = np.flatnonzero(there != keys)
+        out[wrong] = -1
+        wrong = wrong[there[wrong] >= 0]
+        while wrong.size:
+            slots[wrong] = (slots[wrong] + 1) & (len(self.keys) - 1)
+            there = self.keys[slots[wrong]]
+            right = there == keys[wrong]
+            out[wrong[right]] = self.values[slots[wrong[right]]]
+            wrong = wrong[~right & (there >= 0)]
+        return out
+
+
+def slots_of(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64)
+
+
+class Lattices:
+    """The lattices of many short stretches side by side, for models with byte pieces."""
+
+    #: Follows the last character of a stretch; no code point.
+    _END = 0x1FFFFF
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        edges, ends, queue = {}, [-1], [(0, pieces.trie)]
+        for state, follow in queue:
+            for char, (below, piece) in follow.items():
+                edges[state << 21 | ord(char)] = len(ends)
+                queue.append((len(ends), below))
+                ends.append(-1 if piece is None else piece)
+        self.edges, self.ends = Lookup(edges), np.array(ends, np.int32)
+        self.score = np.array(pieces.score)
+        self.bytes = np.array(pieces.bytes, np.int32)
+        if pieces.merges:
+            ids = pieces.ids
+            self.wholes = Lookup({
+                ids[p[:i]] << 20 | ids[p[i:]]: whole
+                for p, whole in ids.items() for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids
+            })
+            self.halves = np.full((len(pieces.text), 2), -1, np.int64)
+            for whole, parts in pieces.halves.items():
+                self.halves[whole] = parts
+            self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
+            self.pair_holds = np.zeros(1 << PAIR_BITS, bool)
+
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Pieces.may_follow`` for arrays; a slot remembers the last pair that fell into it."""
+        keys = left << 20 | right
+        slots = slots_of(keys, np.uint64(64 - PAIR_BITS))
+        holds = self.pair_holds[slots]
+        new = np.flatnonzero(self.pairs[slots] != keys)
+        if new.size:
+            first, back = np.unique(keys[new], return_inverse=True)
+            found = self._hold(first >> 20, first & 0xFFFFF)
+            holds[new] = found[back]
+            # One pair for each slot, so that key and answer belong together.
+            taken, at = np.unique(slots_of(first, np.uint64(64 - PAIR_BITS)), return_index=True)
+            self.pairs[taken], self.pair_holds[taken] = first[at], found[at]
+        return holds
+
+    def _hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        holds = np.ones(len(left), bool)
+        live = np.arange(len(left))
+        bound, or_equal = np.full(len(left), np.inf), np.zeros(len(left), bool)
+        while live.size:
+            whole = self.wholes(left << 20 | right)
+            rank = -self.score[whole]
+            clash = (whole >= 0) & ((rank < bound) | or_equal & (rank == bound))
+            holds[live[clash]] = False
+            inner_left, inner_right = self.halves[left, 1], self.halves[right, 0]
+            undo_left = (inner_left >= 0) & ((inner_right < 0) | (self.score[left] < self.score[right]))
+            on = np.flatnonzero(~clash & ((inner_left >= 0) | (inner_right >= 0)))
+            bound = np.where(undo_left, -self.score[left], -self.score[right])[on]
+            left, right = np.where(undo_left, inner_left, left)[on], np.where(undo_left, right, inner_right)[on]
+            live, or_equal = live[on], ~undo_left[on]
+        return holds
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """What ``Stream`` gives for each text, as bytes."""
+        out = [b""] * len(texts)
+        by_length = np.argsort(list(map(len, texts)), kind="stable").tolist()
+        for at in range(0, len(texts), TOGETHER):
+            some = by_length[at:at + TOGETHER]
+            for i, part in zip(some, self._search([texts[i] for i in some])):
+                out[i] = part
+        return out
+
+    def _search(self, texts: list[str]) -> list[bytes]:
+        lengths = np.array([len(t) for t in texts])
+        inside = np.arange(lengths.max() + 1) < lengths[:, None]
+        chars = np.full(inside.shape, self._END, np.int64)
+        chars[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        piece, back = self._extend(np.ascontiguousarray(chars.T))
+        return self._trace(piece, back, chars, lengths)
+
+    def _steps(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every piece in the texts: boundary before, boundary after, id. Characters without a piece have -1.
+
+        Boundary ``b`` of text ``t`` is numbered ``b * texts + t``; steps are in that order of ``b`` before.
+        """
+        texts, flat = chars.shape[1], chars.ravel()
+        start = here = np.flatnonzero(flat != self._END)
+        state = np.zeros(len(start), np.int64)
+        loose = np.ones(len(flat), bool)
+        steps = []
+        while here.size:
+            state = self.edges(state << 21 | flat[here])
+            on = np.flatnonzero(state >= 0)
+            start, here, state = start[on], here[on] + texts, state[on].astype(np.int64)
+            piece = self.ends[state]
+            is_piece = np.flatnonzero(piece >= 0)
+            if not steps:
+                loose[start[is_piece]] = False
+            steps.append((start[is_piece], here[is_piece], piece[is_piece]))
+        alone = np.flatnonzero(loose & (flat != self._END))
+        steps.append((alone, alone + texts, np.full(len(alone), -1)))
+        start, end, piece = map(np.concatenate, zip(*steps))
+        order = np.argsort((start // texts).astype(np.uint16), kind="stable")
+        return start[order], end[order], piece[order].astype(np.int64)
+
+    def _extend(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each boundary: last piece of the best path (-1 a character, -2 no path), boundary before it."""
+        texts, wide = chars.shape[1], len(chars) - 1
+        start, end, piece = self._steps(chars)
+        last, back = np.full(chars.size, -2, np.int64), np.zeros(chars.size, np.int64)
+        last[:texts] = -1
+        total = np.full(chars.size, -np.inf)
+        total[:texts] = 0
+        bounds = np.searchsorted(start // texts, np.arange(wide + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            # From one boundary of a text no two steps end in the same.
+            s, e, p = start[a:b], end[a:b], piece[a:b]
+            if self.pieces.merges:
+                fits = (last[e] == -2) & (last[s] > -2)
+                asked = np.flatnonzero(fits & (last[s] >= 0) & (p >= 0))
+                fits[asked] = self.may_follow(last[s[asked]], p[asked])
+            else:
+                sums = total[s] + np.where(p >= 0, self.score[p], self.pieces.least)
+                fits = sums > total[e]
+                total[e[fits]] = sums[fits]
+            last[e[fits]], back[e[fits]] = p[fits], s[fits]
+        return last, back
+
+    def _trace(self, last: np.ndarray, back: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        texts = len(lengths)
+        at = lengths * texts + np.arange(texts)
+        chosen = np.full(chars.size, -2, np.int32)
+        while (at := at[at >= texts]).size:
+            chosen[back[at]] = last[at]
+            at = back[at]
+        chosen = chosen.reshape(chars.T.shape).T
+        on_path = chosen > -2
+        ids, sizes = chosen[on_path], on_path.astype(np.int64)
+        if (loose := ids < 0).any():
+            code = chars[on_path]
+            size = np.where(loose, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+            raw = code[loose].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            ids, sizes[on_path] = np.repeat(ids, size), size
+            ids[ids < 0] = self.bytes[np.frombuffer(raw.encode("utf-8", "surrogatepass"), np.uint8)]
+        ends = np.cumsum(4 * sizes.sum(axis=1)).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Encoder:
     """Whole texts to ids, by way of the stretches between forced boundaries.
 
@@ -265,8 +456,9 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.words = Memo(self._words, 16 << 20)
-        self.stretches = Memo(lambda texts: map(self._search, texts), 12 << 20)
+        self.words = Memo(self._words, 24 << 20)
+        self.stretches = Memo(self._stretches, 4 << 20)
+        self.lattices = lattices_of(pieces) if pieces.bytes else None
         self._cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.pieces.cuts_at_space else None
 
     def _search(self, text: str) -> bytes:
@@ -274,9 +466,25 @@ class Encoder:
         stream.feed(text)
         return np.array(stream.finish(), np.int32).tobytes()
 
+    def _by_length(self, texts: list[str], longer: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Short texts by the lattices, the others by ``longer``."""
+        short = [t for t in texts if len(t) <= SHORT]
+        found = self.lattices.encode(short)
+        if len(short) == len(texts):
+            return found
+        long = iter(longer([t for t in texts if len(t) > SHORT]))
+        rest = iter(found)
+        return [next(rest if len(t) <= SHORT else long) for t in texts]
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        return self._by_length(texts, lambda long: list(map(self._search, long)))
+
     def _words(self, words: list[str]) -> list[bytes]:
         if not self.pieces.bytes:  # a run of unknown characters has one id, also across a cut
             return list(map(self._search, words))
+        return self._by_length(words, self._cut_words)
+
+    def _cut_words(self, words: list[str]) -> list[bytes]:
         inside = self.pieces.inside
         cut = []
         for word in words:
@@ -300,6 +508,11 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def lattices_of(pieces: Pieces) -> Lattices:
+    return Lattices(pieces)
+
+
 @lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)

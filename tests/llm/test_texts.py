@@ -296,6 +296,54 @@ def test_streams_commit_as_they_go():
         assert stream.finish() == whole.finish()
 
 
+def test_new_short_words_are_searched_together(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(7)
+    syllables = ["th", "ing", "tion", "an", "re", "e", "é", "ß", "世", "界", "🙂", "1", ".", ",", "\n", "\u0000", "a" * 9]
+    words = ["".join(rng.choices(syllables, k=rng.randrange(1, 12))) for _ in range(20_000)]
+    texts = [" ".join(w for w in words[i:i + 20] if len(w) < pieces.SHORT) for i in range(0, len(words), 20)]
+    monkeypatch.setattr(pieces.Stream, "_extend", lambda *_: pytest.fail("one word by itself"))
+    found = pieces.Encoder(pieces.pieces_of(PIECES)).encode(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in found] == library.encode(texts)
+
+
+@pytest.mark.parametrize("model_type", [1, 2])
+def test_lattices_side_by_side_are_those_of_streams(tmp_path, model_type):
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(PIECES, "rb").read())
+    proto.trainer_spec.model_type = model_type
+    path = tmp_path / "pieces.model"
+    path.write_bytes(proto.SerializeToString())
+    held = pieces.Pieces(str(path))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aeinrst▁▁▁,é世🙂", k=k)) for k in range(pieces.SHORT + 1) for _ in range(6)]
+    encoder = pieces.Encoder(held)
+    assert encoder.lattices.encode(texts) == [encoder._search(t) for t in texts]
+    assert encoder.lattices.encode([]) == [] and encoder.lattices.encode(["", "a"])[0] == b""
+    if held.merges:
+        left, right = (np.array(rng.choices(list(held.ids.values()), k=5000)) for _ in range(2))
+        want = [held.may_follow(a, b) for a, b in zip(left.tolist(), right.tolist())]
+        for _ in range(2):
+            assert encoder.lattices.may_follow(left, right).tolist() == want
+
+
+def test_words_about_as_long_as_the_short_ones():
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aeinrst世é", [9] * 7 + [1, 1], k=k)) for k in range(pieces.SHORT - 3, pieces.SHORT + 4)]
+    texts += [" ".join(texts), "世界" * 100 + " " + "thing" * 60 + " x"]
+    found = pieces.Encoder(pieces.pieces_of(PIECES)).encode(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in found] == library.encode(texts)
+
+
+def test_lookups_by_arrays_of_keys():
+    rng = random.Random(1)
+    table = {rng.randrange(1 << 40): rng.randrange(1 << 20) for _ in range(3000)}
+    keys = [*table, *(rng.randrange(1 << 40) for _ in range(3000)), 0]
+    assert pieces.Lookup(table)(np.array(keys)).tolist() == [table.get(k, -1) for k in keys]
+    assert pieces.Lookup({})(np.array([0, 5])).tolist() == [-1, -1]
+
+
 def test_token_files(spark, tmp_path):
     library = Tokenizer.from_file(WORDS)
     rows = [(10 * i, t) for i, (_, t) in enumerate(ODD)] + [(None, "no id"), (3, "word " * 40), (3, "word " * 40)]
