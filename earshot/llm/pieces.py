@@ -23,6 +23,7 @@ space, as the format has it, and unknown ids become U+2047.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -38,11 +39,11 @@ from earshot.llm.memo import Memo
 
 SPACE = "▁"
 MAX_PAIRS = 150_000
-#: Stretches of up to so many characters are searched together, so many at a time.
+#: Stretches of up to so many characters are searched together, about so many characters at a time.
 SHORT = 64
-TOGETHER = 8192
+TOGETHER = 1 << 16
 #: Slots for what arrays of pairs gave, two to the power of this.
-PAIR_BITS = 19
+PAIR_BITS = 18
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -364,10 +365,12 @@ class Lattices:
     def encode(self, texts: list[str]) -> list[bytes]:
         """What ``Stream`` gives for each text, as bytes."""
         out = [b""] * len(texts)
-        by_length = np.argsort(list(map(len, texts)), kind="stable").tolist()
-        for at in range(0, len(texts), TOGETHER):
-            some = by_length[at:at + TOGETHER]
-            for i, part in zip(some, self._search([texts[i] for i in some])):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        by_length = np.argsort(lengths, kind="stable")
+        groups = np.cumsum(lengths[by_length]) // TOGETHER
+        for some in np.split(by_length, np.flatnonzero(np.diff(groups)) + 1):
+            some = some.tolist()
+            for i, part in zip(some, self._search([texts[i] for i in some]) if some else []):
                 out[i] = part
         return out
 
@@ -456,8 +459,9 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.words = Memo(self._words, 24 << 20)
-        self.stretches = Memo(self._stretches, 4 << 20)
+        own = weakref.proxy(self)  # in no cycle, so that the tables go when the encoder does
+        self.words = Memo(lambda words: own._words(words), 12 << 20)
+        self.stretches = Memo(lambda texts: own._stretches(texts), 2 << 20)
         self.lattices = lattices_of(pieces) if pieces.bytes else None
         self._cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.pieces.cuts_at_space else None
 

@@ -1,5 +1,6 @@
 """Decontamination, personal data, language, tokens, records, shards and the pipeline."""
 
+import gc
 import hashlib
 import itertools
 import math
@@ -7,6 +8,7 @@ import random
 import re
 import struct
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -336,6 +338,18 @@ def test_words_about_as_long_as_the_short_ones():
     assert [np.frombuffer(ids, np.int32).tolist() for ids in found] == library.encode(texts)
 
 
+def test_what_an_encoder_remembers_goes_with_it():
+    encoder = pieces.Encoder(pieces.pieces_of(PIECES))
+    encoder.encode(["some words " + "x" * 100])
+    gone = weakref.ref(encoder)
+    gc.disable()
+    try:
+        del encoder
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_lookups_by_arrays_of_keys():
     rng = random.Random(1)
     table = {rng.randrange(1 << 40): rng.randrange(1 << 20) for _ in range(3000)}
