@@ -77,10 +77,6 @@ _DISGUISES = {
 }
 _EACH_WORD = re.compile(_WORD, re.IGNORECASE)
 _SIGN = re.compile(rf"{_OPEN}\s{{0,9}}(?:{_AT_WORD}|@|\.|{_DOT_WORD})\s{{0,9}}{_SHUT}|[A-Za-z0-9][。｡][a-z0-9]", re.IGNORECASE)
-#: "un" is also an article: alone it only counts next to a digit.
-_ARTICLES = frozenset(("un",))
-_SURE_DIGITS = _DIGIT_WORDS.keys() - _ARTICLES
-_NEXT_TO_DIGIT = re.compile(r"\bun\b[\s.,-]{1,3}[0-9]|[0-9][\s.,-]{1,3}un\b", re.IGNORECASE)
 #: Runs of the letters that the words of the disguises are made of.
 _RUN = re.compile("[" + "".join(sorted(set("".join(_DIGIT_WORDS) + "abcdefghijklmnopqrstuvwxyz"))) + "]+")
 _DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
@@ -217,7 +213,7 @@ def _kinds(text: str) -> tuple[str, ...]:
     """
     words = set(_RUN.findall((text if text.isascii() else text.translate(_CASELESS)).lower()))
     return tuple(kind for kind, may in (
-        ("digits", not words.isdisjoint(_SURE_DIGITS) or not words.isdisjoint(_ARTICLES) and _NEXT_TO_DIGIT.search(text)),
+        ("digits", not words.isdisjoint(_DIGIT_WORDS)),
         ("plus", "plus" in words),
         ("signs", not words.isdisjoint(_DOT_WORDS) or _SIGN.search(text)),
     ) if may)

@@ -184,6 +184,13 @@ def test_disguises_in_part(hidden, kind):
         assert (kind, 4, 4 + len(hidden)) in pii.disguised(text, pii.plain(text)), text
 
 
+def test_un_counts_as_a_digit_wherever_it_stands():
+    for hidden, kind in (("+un un un un un un un un un", "phone"), ("+4(un)2345(un)789", "phone"), ("4un 0", None)):
+        text = f"Tel. {hidden}; voilà"
+        found = pii.disguised(text, pii.plain(text))
+        assert found == ([(kind, 5, 5 + len(hidden))] if kind else []), text
+
+
 def test_bare_at_before_prose_is_no_sign():
     for text in ("We met at this point in time.", "Wait at every dot you see.", "See it at West Point in May; one plus one is two."):
         assert pii.disguised(text, pii.plain(text)) == []
