@@ -8,6 +8,8 @@ columns. A scan adds up the squared distance block by block; after each, the dis
 far, scaled up, is an estimate, and a vector for which the hypothesis "within the best
 known distance" is rejected is given up. What is left gets its exact inner product from
 the original vectors, in double precision, added up from the first component to the last.
+Queries are scanned many at a time, so a block is one matrix product as long as many
+vectors are left.
 
 A query first scans its nearest list; its worst kept score is the bound it takes to all
 others. Lists are dealt into parts of at most ``PART`` vectors on average, queries into
@@ -51,6 +53,9 @@ RECALL = 0.97
 LIST, MAX_LISTS = 2048, 1024
 PART, CHUNK = 8192, 4096
 COLUMNS, ROWS = 16, 1024
+#: Queries scanned together; pairs are looked at one by one when one in ``FEW`` is left,
+#: and get their exact products ``PAIRS`` at a time.
+TOGETHER, FEW, PAIRS = 256, 16, 1 << 15
 #: How sure a test must be: the larger, the fewer true neighbours it gives up.
 EPSILON = 2.1
 SEED = 5
@@ -122,44 +127,97 @@ class Part:
         self.index, self.vectors, self.ids, self.begin = index, vectors, ids, begin
         stored = index.stored(vectors)
         self.width = stored.shape[1]
-        self.blocks = [np.ascontiguousarray(stored[:, k:k + COLUMNS]) for k in range(0, self.width, COLUMNS)]
+        self.blocks = [np.column_stack([x, np.ones(len(x)), (x**2).sum(axis=1)]) for x in self._cut(stored)]
+
+    def _cut(self, rotated: np.ndarray) -> list[np.ndarray]:
+        return [rotated[:, k:k + COLUMNS] for k in range(0, self.width, COLUMNS)]
+
+    def _asked(self, rotated: np.ndarray) -> list[np.ndarray]:
+        """Blocks whose product with a block of vectors is the squared distance in its columns."""
+        return [np.column_stack([-2 * x, (x**2).sum(axis=1), np.ones(len(x))]) for x in self._cut(rotated)]
 
     def scan(self, vector: np.ndarray, rotated: np.ndarray, bound: float, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the ``top`` best rows with at least the score ``bound``."""
-        scale = 2 * self.index.reach / lengths(vector[None])[0]
+        return self.scan_all(vector[None], rotated[None], np.array([bound]), top)[1:]
+
+    def scan_all(
+        self, vectors: np.ndarray, rotated: np.ndarray, bounds: np.ndarray, top: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, scores, ids): for the query at each place what ``scan`` gives, best first."""
+        found = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        for at in range(0, len(vectors), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            places, scores, ids = self._scan(vectors[some], rotated[some], bounds[some], top)
+            found.append((places + at, scores, ids))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _scan(
+        self, vectors: np.ndarray, rotated: np.ndarray, bounds: np.ndarray, top: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scale = 2 * self.index.reach / lengths(vectors)
         square = 2 * self.index.reach**2
-        scores, ids = np.empty(0), np.empty(0, np.int64)
+        asked, bounds = self._asked(rotated), bounds.copy()
+        places, scores, ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         for at in range(0, len(self.vectors), ROWS):
             # Rounding must not lose a vector at the bound itself.
-            limit = (square - scale * bound) * (1 + 1e-9) + square * 1e-12
-            alive = self._alive(rotated, limit, at, min(at + ROWS, len(self.vectors)))
-            exact = np.cumsum(self.vectors[alive] * vector, axis=1)[:, -1]
-            copies = self.begin[alive + 1] - self.begin[alive]
+            limits = (square - scale * bounds) * (1 + 1e-9) + square * 1e-12
+            query, row = self._pairs(asked, limits, at, min(at + ROWS, len(self.vectors)), top)
+            if not len(row):
+                continue
+            exact = np.concatenate([
+                np.cumsum(self.vectors[row[k:k + PAIRS]] * vectors[query[k:k + PAIRS]], axis=1)[:, -1]
+                for k in range(0, len(row), PAIRS)
+            ])
+            copies = self.begin[row + 1] - self.begin[row]
             first = np.cumsum(copies) - copies
-            rows = np.arange(copies.sum()) + np.repeat(self.begin[alive] - first, copies)
+            rows = np.arange(copies.sum()) + np.repeat(self.begin[row] - first, copies)
+            places = np.concatenate([places, np.repeat(query, copies)])
             scores, ids = np.concatenate([scores, np.repeat(exact, copies)]), np.concatenate([ids, self.ids[rows]])
-            order = np.lexsort((ids, -scores))[:top]
-            scores, ids = scores[order], ids[order]
-            if len(scores) == top:
-                bound = max(bound, scores[-1])
-        return scores, ids
+            order = np.lexsort((ids, -scores, places))
+            starts = np.searchsorted(places[order], np.arange(len(vectors)))
+            rank = np.arange(len(order)) - starts[places[order]]
+            last = order[rank == top - 1]
+            bounds[places[last]] = np.maximum(bounds[places[last]], scores[last])
+            order = order[rank < top]
+            places, scores, ids = places[order], scores[order], ids[order]
+        return places, scores, ids
+
+    def _pairs(
+        self, asked: list[np.ndarray], limits: np.ndarray, low: int, high: int, top: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The queries and vectors that no test gives up, pair by pair.
+
+        While many are left, whole blocks are multiplied; after that, single pairs are. A query
+        without a limit keeps its ``top`` nearest vectors, and those as near up to rounding.
+        """
+        far = np.zeros((len(limits), high - low))
+        alive = np.ones(far.shape, bool)
+        pairs = None
+        for k, (mine, block) in enumerate(zip(asked, self.blocks)):
+            done = min((k + 1) * COLUMNS, self.width)
+            sure = limits if done == self.width else limits * done / self.width * (1 + EPSILON / math.sqrt(done)) ** 2
+            if pairs is None:
+                far += mine @ block[low:high].T
+                alive &= far <= sure[:, None]
+                if np.count_nonzero(alive) * FEW < alive.size and done < self.width:
+                    pairs = np.nonzero(alive)
+                    far = far[pairs]
+            else:
+                query, row = pairs
+                far = far + np.einsum("ij,ij->i", mine[query], block[row + low])
+                ok = far <= sure[query]
+                pairs, far = (query[ok], row[ok]), far[ok]
+        if pairs is None:
+            free = np.flatnonzero(limits == np.inf)
+            if len(free) and top < high - low:
+                last = np.partition(far[free], top - 1, axis=1)[:, top - 1]
+                alive[free] = far[free] <= (last * (1 + 1e-9) + self.index.reach**2 * 1e-9)[:, None]
+            pairs = np.nonzero(alive)
+        return pairs[0], pairs[1] + low
 
     def _alive(self, rotated: np.ndarray, limit: float, low: int, high: int) -> np.ndarray:
-        """The vectors that no test gives up."""
-        alive = np.arange(low, high)
-        far = np.zeros(high - low)
-        for k, block in enumerate(self.blocks):
-            step = block[alive] - rotated[k * COLUMNS:(k + 1) * COLUMNS]
-            far = far + np.einsum("ij,ij->i", step, step)
-            if limit == np.inf:
-                continue
-            done = min((k + 1) * COLUMNS, self.width)
-            sure = limit if done == self.width else limit * done / self.width * (1 + EPSILON / math.sqrt(done)) ** 2
-            ok = far <= sure
-            alive, far = alive[ok], far[ok]
-            if not len(alive):
-                break
-        return alive
+        """The vectors that no test gives up for one query."""
+        return self._pairs(self._asked(rotated[None]), np.array([limit]), low, high, high - low)[1]
 
 
 def _usable(vector: str) -> Column:
@@ -191,11 +249,10 @@ def _meet(entries: DataFrame, asked: DataFrame, parts: list[int], chunks: int, i
             vectors = matrix(batch.column("vec"))
             rotated = index.asked(vectors)
             bounds = batch.column("bound").fill_null(-np.inf).to_numpy()
-            found = [block.scan(*x, top) for x in zip(vectors, rotated, bounds)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(batch.column("rep").to_numpy(), [len(s) for s, _ in found])),
-                pa.array(np.concatenate([s for s, _ in found])), pa.array(np.concatenate([i for _, i in found])),
-            ], ["rep", "score", "vec_id"])
+            places, scores, ids = block.scan_all(vectors, rotated, bounds, top)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column("rep").to_numpy()[places]), pa.array(scores), pa.array(ids)], ["rep", "score", "vec_id"]
+            )
 
     rows = held.select(*columns).unionByName(looking.select(*columns))
     return rows.repartition("meet").sortWithinPartitions("meet", "side").mapInArrow(run, "rep long, score double, vec_id long")

@@ -94,3 +94,32 @@ def test_a_scan_gives_up_most_vectors_and_keeps_the_near():
     assert 7 in alive and 8 <= len(alive) <= 10
     scores, ids = part.scan(query, rotated, -np.inf, 10)
     assert ids[0] == 7 and np.allclose(scores, near[:10])
+
+
+@pytest.mark.parametrize("few", [1, 16, 1 << 30])
+def test_queries_are_scanned_together_as_each_would_be(monkeypatch, few):
+    monkeypatch.setattr(neighbours, "FEW", few)
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    monkeypatch.setattr(neighbours, "TOGETHER", 30)
+    monkeypatch.setattr(neighbours, "ROWS", 500)
+    monkeypatch.setattr(neighbours, "EPSILON", 1e6)
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-3, 4, (1200, 24)).astype(float)  # many equal scores
+    begin = np.concatenate([[0], np.cumsum(1 + rng.integers(0, 3, 1200))])
+    ids = rng.permutation(begin[-1])
+    index = neighbours.fit(rows, np.sqrt((rows**2).sum(axis=1).max()), 4, 20, 0.97)
+    queries = rows[:100] * rng.integers(1, 5, (100, 1))
+    scores = np.repeat(queries @ rows.T, np.diff(begin), axis=1)
+    bounds = np.where(np.arange(100) % 3 == 0, -np.inf, np.sort(scores, axis=1)[:, -10])
+    bounds[1::9] = scores.max() + 1  # nothing is that near
+    want = []
+    for q in range(100):
+        near = sorted((-s, i) for s, i in zip(scores[q], ids) if s >= bounds[q])[:10]
+        want += [(q, -s, i) for s, i in near]
+    part = neighbours.Part(index, rows, ids, begin)
+    tiles, pairs = [], part._pairs
+    monkeypatch.setattr(part, "_pairs", lambda *x: tiles.append(len(x[1])) or pairs(*x))
+    found = part.scan_all(queries, index.asked(queries), bounds, 10)
+    assert list(zip(*(x.tolist() for x in found))) == want
+    assert tiles == [30] * 9 + [10] * 3
+    assert [len(x) for x in part.scan_all(queries[:0], index.asked(queries[:0]), bounds[:0], 10)] == [0, 0, 0]
