@@ -38,9 +38,9 @@ def map_columns(
     return df.mapInArrow(run, schema)
 
 
-def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that long texts don't pile up."""
-    rows = max(1, min(batch.num_rows, int(batch.num_rows * CHUNK_BYTES / max(1, batch.nbytes))))
+    rows = max(1, min(batch.num_rows, int(batch.num_rows * size / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from earshot.llm import arrow
-from earshot.llm.memo import Memo
+from earshot.llm.memo import IdTable, Memo
 from earshot.session import pin
 
 MAGIC = b"IDFILE01"
@@ -52,6 +52,8 @@ SAMPLE = 400
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Texts encoded together are cut after about so many bytes.
+TOGETHER_BYTES = 8 << 20
 #: Most tasks that read files.
 MAX_READERS = 100_000
 _END = struct.Struct("<QQ8s")
@@ -80,8 +82,8 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words = Memo(self._words, 96 << 20)
-        self.parts = Memo(self._parts, 48 << 20)
+        self.words = IdTable(self._words, 48 << 20)
+        self.parts = Memo(self._parts, 80 << 20)
         self.by_word = True
         sample = "It's a TEST, of l'été; 10 words_and a\tü—ß."
         self.by_word = self._whole([sample])[0] == b"".join(self.encode([sample]))
@@ -123,7 +125,7 @@ class WordEncoder:
             return self._whole(texts)
         # Four control characters are white space to Python alone.
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        found = self.words.join_all([[] if bad else t.split() for t, bad in zip(texts, odd)])
+        found = self.words.join_all(["" if bad else t for t, bad in zip(texts, odd)])
         return [self._whole([t])[0] if bad else ids for t, bad, ids in zip(texts, odd, found)]
 
 
@@ -191,7 +193,7 @@ def write(
         name, draft = f"{base}/part-{part:06d}.ids", f"{base}/.part-{part:06d}.{uuid.uuid4().hex}"
         out = None
         for whole in batches:
-            for batch in arrow.cut(whole):
+            for batch in arrow.cut(whole, TOGETHER_BYTES):
                 if not batch.num_rows:
                     continue
                 if out is None:

@@ -639,3 +639,23 @@ def test_pipeline_keeps_the_row_with_the_least_text_of_those_with_one_id(spark,
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[2], *rows[3:]], key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_an_id_table_keeps_to_its_bound_and_looks_up_a_word_once(monkeypatch):
+    monkeypatch.setattr(memo, "SEGMENT", 7)
+    asked = []
+    held = memo.IdTable(lambda words: asked.append(words) or [np.array([*w.encode()], "<u4").tobytes() for w in words], 20_000)
+    rng = random.Random(4)
+    for step in range(300):
+        texts = [" ".join(f"w{rng.randrange(1500)}" for _ in range(rng.randrange(9))) for _ in range(6)]
+        texts += ["", " a é\n\ta ", "　", "y" * rng.choice([1, 30_000])]
+        want = [np.array([*"".join(t.split()).encode()], "<u4").tobytes() for t in texts]
+        assert held.join_all(texts) == want and held.join_all(texts[::-1]) == want[::-1]
+        kept = sum(24 + len(w.encode()) * 5 for w in held.words.to_pylist())
+        assert kept <= 20_000 + 5 * 30_000 + 5_000
+    assert all(len(set(words)) == len(words) for words in asked) and held.join_all([]) == []
+    # The second call of a step finds all its words, so no more than one call in two encodes.
+    assert len(asked) <= 2 * 300 and "a" in asked[0] and sum("a" in words for words in asked) < 150
+    held.join_all(["b"])
+    held.join_all(["c"])
+    assert sum(24 + len(w.encode()) * 5 for w in held.words.to_pylist()) <= 20_100
